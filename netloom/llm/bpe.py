@@ -69,16 +69,33 @@ class Codec:
         added = self.tok.get_added_tokens_decoder()
         n = max([*self.tok.get_vocab(with_added_tokens=True).values(), *added]) + 1
         self.bytes_of = np.array([len((added[i].content.encode() if i in added else self.tok.id_to_token(i)) or "") for i in range(n)], np.int64)
+        self.model = self.tok.model
+        # Byte-level BPE's name of each byte: itself if it is printable, else the next character from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = (chr(256 + i) for i in range(256))
+        self.byte_names = {b: chr(b) if b in printable else next(rest) for b in range(256)}
         self.longest_added = max([len(x.content) for x in added.values()], default=0)
         self._forget()
 
     def _forget(self) -> None:
         self.memo = Memo()
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
+        self.start, self.count, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keeps the words used most, at most half of what is allowed, and none used only once."""
+        uses = self.uses[: len(self.memo)]
+        least = max(2, int(np.partition(uses, -self.most // 2)[-self.most // 2]) + 1)
+        kept = np.flatnonzero(uses >= least)
+        words, old = list(self.memo), (self.flat, self.start[kept], self.count[kept], uses[kept])
+        self._forget()
+        self.memo.update((words[i], n) for n, i in enumerate(kept.tolist()))
+        ends = np.cumsum(old[2])
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(old[1] - (ends - old[2]), old[2])
+        self._store(np.arange(len(kept)), old[0][at], old[2])
+        self.uses[: len(kept)] = old[3] // 2
+
     def plain(self, texts: list[str]) -> list[list[int]]:
         """The library's own encoding."""
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,32 +112,41 @@ class Codec:
         while len(self.memo) > len(self.start):
             self.start = np.concatenate((self.start, np.zeros_like(self.start)))
             self.count = np.concatenate((self.count, np.zeros_like(self.count)))
+            self.uses = np.concatenate((self.uses, np.zeros_like(self.uses)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.count[numbers] = counts
         self.start[numbers] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words, those that keep apart in a row all at once."""
+        """Encodes new words."""
         number = len(self.memo) - len(words)
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             apart = np.fromiter((JOINABLE.fullmatch(w) is not None for w in part), bool, len(part))
             numbers = np.arange(number + i, number + i + len(part))
             joined, others = [w for w, x in zip(part, apart, strict=True) if x], [w for w, x in zip(part, apart, strict=True) if not x]
-            if joined:
-                ids = np.array(self.plain(["".join(joined)])[0], np.uint32)
-                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(w.encode()) for w in joined]), side="left") + 1
-                self._store(numbers[apart], ids, np.diff(ends, prepend=0))
-            if others:
-                short = iter(self.plain([w for w in others if len(w) <= self.leaf]))
-                found = [next(short) if len(w) <= self.leaf else self.tree(w).tolist() for w in others]
-                self._store(numbers[~apart], np.array([x for ids in found for x in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+            for which, found in ((apart, self._letters(joined)), (~apart, self._any(others))):
+                if found:
+                    self._store(numbers[which], np.array([x for ids in found for x in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        """Letters after a space or a line end: with the space, the letters are one pre-token, so the library's model takes them as they are."""
+        if not words:
+            return []
+        bare = "\0".join(w[w[0] == "\n" :] for w in words).encode().decode("latin-1").translate(self.byte_names).split(self.byte_names[0])
+        tokenize, line = self.model.tokenize, self.plain(["\n"])[0]
+        found = [[t.id for t in tokenize(w)] for w in bare]
+        return [line + ids if w[0] == "\n" else ids for w, ids in zip(words, found, strict=True)]
+
+    def _any(self, words: list[str]) -> list[list[int]]:
+        short = iter(self.plain([w for w in words if len(w) <= self.leaf]))
+        return [next(short) if len(w) <= self.leaf else self.tree(w).tolist() for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and bounds: text i has ids ``bounds[i]:bounds[i+1]``."""
         if len(self.memo) > self.most:
-            self._forget()
+            self._shrink()
         look = self.memo.__getitem__
         numbers, n_words = [], []
         for t in texts:
@@ -130,6 +156,7 @@ class Codec:
         new, self.memo.new = self.memo.new, []
         self._learn(new)
         numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        self.uses[: len(self.memo)] += np.bincount(numbers, minlength=len(self.memo))
         counts = self.count[numbers]
         ends = np.cumsum(counts)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - (ends - counts), counts)
