@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import new_path, table
+from netloom.llm.common import crc_mod, new_path, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +16,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.packing import pack
+
+    words = F.regexp_replace(F.lower("text"), r"\s+", " ")
+    items = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(words).alias("cluster"))
+    return pack(items, "n_bytes", 8192)
+
+
+def op2_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.mips import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.llm.bpe import encode_decode
 
@@ -28,6 +43,29 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.langid import fit_language_id, predict_language
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_id(docs.where(crc_mod("doc_id", 4) != 2))
+    return predict_language(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.llm.token_orc import token_positions, write_token_orc
 
@@ -37,7 +75,12 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_inner_product_search": op2_inner_product_search,
     "op3_bpe": op3_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_orc": op9_token_orc,
 }
 
