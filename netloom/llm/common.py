@@ -104,3 +104,54 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(lens)
     bounds = np.concatenate(([0], np.searchsorted(start, ends, side="left")))
     return h, bounds
+
+
+_power_cache: dict[int, np.ndarray] = {}
+
+
+def cached_powers(base: int, n: int) -> np.ndarray:
+    """A view of the first ``n`` powers; a worker computes them once."""
+    if len(_power_cache.get(base, ())) < n:
+        _power_cache[base] = powers(base, max(n, 1 << 20))
+    return _power_cache[base][:n]
+
+
+def prefix_sums(b: np.ndarray) -> np.ndarray:
+    """Sums s with which ``(s[j] - s[i]) * BASE_INV**i`` is a polynomial hash of bytes i to j."""
+    out = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * cached_powers(BASE, len(b)), dtype=np.uint64, out=out[1:])
+    return out
+
+
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` as Parquet to the shared folder, which is smaller than a checkpoint; the frame that reads it, and its path."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class BitFilter:
+    """A set of longs as bits of a table of fixed size (``1 << bits`` bits): may claim too many members, never too few.
+
+    It is built by aggregation, has 2**bits / 8 bytes whatever the input's size, and only spares rows a shuffle: an exact
+    join must follow. When it is full it passes everything."""
+
+    def __init__(self, keys: DataFrame, bits: int) -> None:
+        column = keys.columns[0]
+        at = F.pmod(F.col(column), F.lit(1 << bits))
+        rows = keys.select(at.alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("m")).collect()
+        table = np.zeros((1 << bits) // 8, np.uint8)
+        for r in rows:
+            table[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["m"], np.uint8)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) & self.mask
+        return (self.shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -142,7 +142,5 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
     label = connected_components(edges)
     of_class = classes.join(links, "rep", "left").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("vec", F.col("n").alias("copies"), "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     linked = rows.join(of_class, "vec").select(F.col("id").alias(id_col), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    usual = F.size(F.col("vec"))
-    del usual
     rest = df.select(F.col(id_col)).join(linked.select(id_col).distinct(), id_col, "left_anti").select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -60,6 +60,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.llm.pivots import near_vectors
 
@@ -74,14 +80,24 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_positions(spark, path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.suffixes import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_inner_product_search": op2_inner_product_search,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_orc": op9_token_orc,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: SQL for those that SQL can express; the rest are tested against brute force.
