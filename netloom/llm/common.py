@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,3 +157,30 @@ class BitFilter:
     def has(self, h: np.ndarray) -> np.ndarray:
         at = h.view(np.uint64) & self.mask
         return (self.shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def passed(rows: DataFrame, known: BitFilter, wanted: bool) -> DataFrame:
+    """The rows whose key, the first column, may be (or isn't) in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(known.has(batch.column(0).to_numpy()) == wanted))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    return [(t or "").encode() for t in column.to_pylist()]
+
+
+def first_smallest(v: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values, the index of its smallest, leftmost if equal."""
+    n = len(v) - width + 1
+    best, at, span = v, np.arange(len(v), dtype=np.int32), 1
+    while span * 2 <= width:
+        later = best[span:] < best[:-span]
+        at = np.where(later, at[span:], at[:-span])
+        best = np.minimum(best[:-span], best[span:])
+        span *= 2
+    off = width - span
+    return np.where(best[off : off + n] < best[:n], at[off : off + n], at[:n])

@@ -66,6 +66,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.llm.chains import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.llm.pivots import near_vectors
 
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_substring_chains": op7_substring_chains,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_orc": op9_token_orc,
     "op10_suffix_dedup": op10_suffix_dedup,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE_INV, BitFilter, cached_powers, cut, discard, mix64, prefix_sums, steps, stored
+from netloom.llm.common import BASE_INV, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, steps, stored, utf8
 
 LENGTH, GRAM = 200, 40
 #: Neighbouring windows in a block.
@@ -33,19 +33,6 @@ PIECE = 1 << 20
 ANCHOR_BITS, DOC_BITS = 26, 23
 
 
-def _first_smallest(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, the index of its smallest, leftmost if equal."""
-    n = len(v) - width + 1
-    best, at, span = v, np.arange(len(v), dtype=np.int32), 1
-    while span * 2 <= width:
-        later = best[span:] < best[:-span]
-        at = np.where(later, at[span:], at[:-span])
-        best = np.minimum(best[:-span], best[span:])
-        span *= 2
-    off = width - span
-    return np.where(best[off : off + n] < best[:n], at[off : off + n], at[:n])
-
-
 @dataclass
 class Hashed:
     """Joined texts with what hashes of any of their substrings take."""
@@ -85,7 +72,7 @@ def find_anchors(texts: list[bytes], length: int, gram: int) -> Iterator[Anchors
         unit = np.repeat(np.arange(len(part)), lens)[: n - length + 1]
         inside = np.arange(n - length + 1) + length <= ends[unit]
         p = np.flatnonzero(inside)
-        a = _first_smallest(grams, length - gram + 1)[p].astype(np.int64)
+        a = first_smallest(grams, length - gram + 1)[p].astype(np.int64)
         new = np.flatnonzero((np.diff(a) != 0) | (np.diff(p) != 1)) + 1
         first, last = np.concatenate(([0], new)), np.concatenate((new, [len(p)])) - 1
         at, start, end = a[first], p[first], p[last] + length
@@ -96,10 +83,6 @@ def find_anchors(texts: list[bytes], length: int, gram: int) -> Iterator[Anchors
         yield Anchors(doc[u], at + shift[u], low.astype(np.int16), high.astype(np.int16), grams[at], context)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
-
-
 def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``rows`` (key long, text string) -> (key, spans array<struct<s:int,e:int>>), unmerged spans of repeated windows of the keys
     that have any; rows of equal keys must have equal texts, and are copies of one another. The result is written, its lineage cut."""
@@ -108,7 +91,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in find_anchors(_texts(batch.column(0)), length, gram):
+            for a in find_anchors(utf8(batch.column(0)), length, gram):
                 yield pa.RecordBatch.from_arrays([pa.array(a.gram.view(np.int64)), pa.array(a.context.view(np.int64))], names=["h", "c"])
 
     # Pass 1, the anchor.
@@ -119,7 +102,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for a in find_anchors(_texts(batch.column(1)), length, gram):
+            for a in find_anchors(utf8(batch.column(1)), length, gram):
                 i = np.flatnonzero(repeated.has(a.gram))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.gram[i].view(np.int64), a.context[i].view(np.int64), keys[a.doc[i]], a.at[i].astype(np.int32), a.low[i], a.high[i])], names=["h", "c", "key", "at", "low", "high"])
 
@@ -135,11 +118,11 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     done.append(units.where("not equal").join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("key", whole.alias("span")))
     by_doc = kinds.groupBy("key").agg(F.collect_list(F.struct("n", "at", "low", "high")).alias("u"))
     with_kinds = BitFilter(kinds.select("key"), DOC_BITS)
-    texts = _passed(rows.select("key", "text"), with_kinds, True).dropDuplicates(["key"]).join(by_doc, "key")
+    texts = passed(rows.select("key", "text"), with_kinds, True).dropDuplicates(["key"]).join(by_doc, "key")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, t, lists = batch.column(0).to_numpy(), _texts(batch.column(1)), batch.column(2)
+            keys, t, lists = batch.column(0).to_numpy(), utf8(batch.column(1)), batch.column(2)
             per, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
             n, at, low, high = (flat.field(i).to_numpy().astype(np.int64) for i in range(4))
             ends = np.cumsum(per)
@@ -181,16 +164,6 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     return found
 
 
-def _passed(rows: DataFrame, known: BitFilter, wanted: bool) -> DataFrame:
-    """The rows whose key, the first column, may be (or isn't) in the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(known.has(batch.column(0).to_numpy()) == wanted))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def merged(spans: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans or ()):
@@ -201,14 +174,14 @@ def merged(spans: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """For each row: the id, ``n_bytes``, ``spans`` (maximal removed runs of bytes: start, end), ``kept`` (the other bytes, joined), and
     the columns of ``carry`` as a struct of that name.
 
     A byte is removed if a window of ``length`` bytes over it also starts anywhere else, in this row or another;
     windows don't cross rows and are judged on the input. Null and empty texts have no bytes; texts shorter than a window keep all. Rows
     may have null or repeated ids: repeated rows are copies of one another. Whole texts of any length; ``kept`` may
-    begin or end inside a character, so it is binary."""
+    begin or end inside a character, so it is binary; with ``as_text`` it is a string, without characters that were cut."""
     if length <= 2 * GRAM:
         raise ValueError(f"length must be above {2 * GRAM}")
     carried = F.struct(*(F.col(c) for c in carry or [])) if carry else F.lit(True)
@@ -218,16 +191,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(1))
+            texts = utf8(batch.column(1))
             spans = [merged([(x["s"], x["e"]) for x in s] if s else None) for s in batch.column(2).to_pylist()]
             kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in s)], [*(x for x, _ in s), len(t)], strict=True)) for t, s in zip(texts, spans, strict=True)]
+            kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             pairs = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pairs, pa.array(kept, pa.binary())], names=["row", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pairs, kept], names=["row", "n_bytes", "spans", "kept"])
 
     # Only rows that may have spans are shuffled.
-    with_spans = _passed(rows, touched, True).join(found, "key", "left").select("row", "text", "spans")
-    without = _passed(rows, touched, False).select("row", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
+    with_spans = passed(rows, touched, True).join(found, "key", "left").select("row", "text", "spans")
+    without = passed(rows, touched, False).select("row", "text", F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"))
     kind = rows.schema["row"].dataType.simpleString()
-    out = with_spans.union(without).mapInArrow(apply, f"row {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    out = with_spans.union(without).mapInArrow(apply, f"row {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")
     columns = [F.col("row.id").alias(id_col), "n_bytes", "spans", "kept", *([F.col("row.carry").alias("carry")] if carry else [])]
     return out.select(*columns)
