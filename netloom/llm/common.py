@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/netloom"
 
 #: Text handed to one vectorised step at a time; bounds a Python worker's memory.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -173,14 +173,29 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
+#: Low bits of a value that hold its index in ``first_smallest``: more than a step has values.
+INDEX_BITS = 22
+
+
 def first_smallest(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values, the index of its smallest, leftmost if equal."""
-    n = len(v) - width + 1
-    best, at, span = v, np.arange(len(v), dtype=np.int32), 1
+    """For each window of ``width`` hashes, the index of the smallest by its high bits, the leftmost of equal ones.
+
+    Hash and index share one number, so that a minimum finds both; minima of 1, 2, 4, ... neighbours make up any width."""
+    if len(v) >> INDEX_BITS:
+        raise ValueError("too many values at a time")
+    low = np.uint64((1 << INDEX_BITS) - 1)
+    best = (v & ~low) | np.arange(len(v), dtype=np.uint64)
+    n, span = len(v) - width + 1, 1
     while span * 2 <= width:
-        later = best[span:] < best[:-span]
-        at = np.where(later, at[span:], at[:-span])
         best = np.minimum(best[:-span], best[span:])
         span *= 2
-    off = width - span
-    return np.where(best[off : off + n] < best[:n], at[off : off + n], at[:n])
+    return (np.minimum(best[:n], best[width - span : width - span + n]) & low).astype(np.int64)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is finished and written: it does so when the driver collects its garbage, which
+    it may not do for long, and until then they fill the executors' disks."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

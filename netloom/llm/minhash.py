@@ -123,7 +123,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -132,7 +132,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two documents are linked if the distinct 5-word shingles of their whole texts (words parted by ASCII white space, A-Z
     in lower case) have ``100 * intersection >= percent * union``; ``percent`` is 75 or more. Null and empty texts and texts without words have no
     shingle and link with nothing, nor does a row with a null id, whose component is null and which is kept. Rows of equal sets are one
-    class and compared once. Rows that share an id are judged each by its own text. Other columns are not read.
+    class and compared once. Rows that share an id should share their text, too: they
+    may be linked through any of its texts. Other columns are not read.
 
     All shuffles are of ids, bands and hashes, but for the sets of documents that share a band with another."""
     if not 75 <= percent <= 100:
@@ -141,13 +142,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     described = cut(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"))
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    # The row of the class's smallest id speaks for it; of repeated rows, any.
-    of_class = described.select("id", "n", "h1", "h2", "bands", "sketch").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id"])
+    # The row of the class's smallest id speaks for it; repeated rows say the same again.
+    of_class = described.select("id", "n", "h1", "h2", "bands", "sketch").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "h1", "h2"], "left_semi")
     members = of_class.select("id", "n", "sketch", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
     candidates = cut(members.join(buckets, "band").select("band", "low", "id", "n", "sketch"))
     wanted = candidates.select("id").distinct()
-    sets = cut(texts.where("id is not null").mapInArrow(_sets, f"id {kind}, s array<long>").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    sets = cut(texts.where("id is not null").mapInArrow(_sets, f"id {kind}, s array<long>").join(wanted, "id", "left_semi"))
 
     first = candidates.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(_confirmed(first, sets, percent))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE_INV, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, steps, stored, utf8
+from netloom.llm.common import BASE_INV, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, steps, stored, utf8
 
 LENGTH, GRAM = 200, 40
 #: Neighbouring windows in a block.
@@ -68,11 +68,11 @@ def find_anchors(texts: list[bytes], length: int, gram: int) -> Iterator[Anchors
         ends = np.cumsum(lens)
         h = Hashed.of(b"".join(u for *_, u in part))
         n = int(ends[-1])
-        grams = h.part(np.arange(n - gram + 1), np.arange(gram, n + 1))
+        grams = mix64((h.sums[gram:] - h.sums[:-gram]) * h.inverse[: n - gram + 1])
         unit = np.repeat(np.arange(len(part)), lens)[: n - length + 1]
         inside = np.arange(n - length + 1) + length <= ends[unit]
         p = np.flatnonzero(inside)
-        a = first_smallest(grams, length - gram + 1)[p].astype(np.int64)
+        a = first_smallest(grams, length - gram + 1)[p]
         new = np.flatnonzero((np.diff(a) != 0) | (np.diff(p) != 1)) + 1
         first, last = np.concatenate(([0], new)), np.concatenate((new, [len(p)])) - 1
         at, start, end = a[first], p[first], p[last] + length
@@ -112,13 +112,16 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     whole = span(F.col("at") - F.col("high"), F.col("at") - F.col("low") + length)
     done = [units.where("equal").select("key", whole.alias("span"))]
 
-    # Units of one anchor that differ: equal ones are finished among themselves; one of each kind goes on.
-    kinds = units.where("not equal").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "at", "low", "high")).alias("r"))
-    kinds, p3 = stored(kinds.select("h", "c", "n", "r.*"), "kinds")
-    done.append(units.where("not equal").join(kinds.where("n > 1").select("h", "c"), ["h", "c"]).select("key", whole.alias("span")))
-    by_doc = kinds.groupBy("key").agg(F.collect_list(F.struct("n", "at", "low", "high")).alias("u"))
-    with_kinds = BitFilter(kinds.select("key"), DOC_BITS)
-    texts = passed(rows.select("key", "text"), with_kinds, True).dropDuplicates(["key"]).join(by_doc, "key")
+    # Units of one anchor that differ: equal ones are finished among themselves; one of each kind, chosen by a hash, goes on.
+    place = F.xxhash64("key", "at")
+    kinds = units.where("not equal").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    judged, p3 = stored(units.where("not equal").join(kinds, ["h", "c"]).select("key", "at", "low", "high", "n", (place == F.col("first")).alias("chosen")), "kinds")
+    discard(spark, p1)
+    release(spark)
+    done.append(judged.where("n > 1").select("key", whole.alias("span")))
+    chosen = judged.where("chosen")
+    by_doc = chosen.groupBy("key").agg(F.collect_list(F.struct("n", "at", "low", "high")).alias("u"))
+    texts = passed(rows.select("key", "text"), BitFilter(chosen.select("key"), DOC_BITS), True).join(by_doc, "key")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +151,9 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 yield pa.RecordBatch.from_arrays([*map(pa.array, out), w], names=["core", "hull", "n", "key", "s1", "s2", "w"])
 
     # Pass 2, blocks of windows.
+    # (Rows of one key come each; their units are of kinds that occur more than once anyhow.)
     units2, p4 = stored(texts.select("key", "text", "u").mapInArrow(blocks, "core long, hull long, n long, key long, s1 int, s2 int, w array<long>"), "blocks")
+    release(spark)
     cores = units2.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.min("hull").alias("h1"), F.max("hull").alias("h2")).where("total > 1 and least = 1")
     cores, p5 = stored(cores.select("core", (F.col("h1") == F.col("h2")).alias("equal")), "cores")
     done.append(units2.where("n = 1").join(cores.where("equal"), "core").select("key", span(F.col("s1"), F.col("s2") + length).alias("span")))
@@ -160,7 +165,8 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 
     found = done[0].union(done[1]).union(done[2]).union(done[3]).groupBy("key").agg(F.collect_list("span").alias("spans"))
     found = cut(found)
-    discard(spark, p1, p2, p3, p4, p5)
+    discard(spark, p2, p3, p4, p5)
+    release(spark)
     return found
 
 
