@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BitFilter, crc_mod, cut, discard, passed, stored, table
+from netloom.llm.common import DOC_BITS, BitFilter, crc_mod, cut, discard, passed, stored, table
 from netloom.llm.langid import UNKNOWN, fit_language_id, predict_language
 from netloom.llm.minhash import near_duplicates
 from netloom.llm.packing import pack
-from netloom.llm.suffixes import DOC_BITS, remove_repeats
+from netloom.llm.suffixes import remove_repeats
 from netloom.llm.toxicity import fit_toxicity, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder (tests, local runs).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/netloom"
 
+#: Bits of a filter for documents: 1 MB.
+DOC_BITS = 23
+
 #: Text handed to one vectorised step at a time; bounds a Python worker's memory.
 STEP_CHARS = 500_000
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import cut, mix64, steps, word_hashes
+from netloom.llm.common import DOC_BITS, BitFilter, cut, discard, mix64, passed, release, steps, stored, word_hashes
 from netloom.llm.components import connected_components
 
 WORDS = 5
@@ -140,23 +140,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("percent must be from 75 to 100: the bands are made for that")
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    described = cut(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"))
+    spark = df.sparkSession
+    described, _ = stored(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"), "signatures")
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     # The row of the class's smallest id speaks for it; repeated rows say the same again.
-    of_class = described.select("id", "n", "h1", "h2", "bands", "sketch").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "h1", "h2"], "left_semi")
-    members = of_class.select("id", "n", "sketch", F.explode("bands").alias("band"))
+    of_class = described.select("id", "n", "h1", "h2", "bands").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "h1", "h2"], "left_semi")
+    members = of_class.select("id", F.explode("bands").alias("band"))
+    members, p2 = stored(members, "members")
+    release(spark)
     buckets = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
-    candidates = cut(members.join(buckets, "band").select("band", "low", "id", "n", "sketch"))
+    candidates, p3 = stored(members.join(buckets, "band").select("band", "low", "id"), "candidates")
+    discard(spark, p2)
+    release(spark)
     wanted = candidates.select("id").distinct()
-    sets = cut(texts.where("id is not null").mapInArrow(_sets, f"id {kind}, s array<long>").join(wanted, "id", "left_semi"))
+    keyed = passed(texts.where("id is not null").select(F.xxhash64("id").alias("key"), "id", "t"), BitFilter(wanted.select(F.xxhash64("id").alias("key")), DOC_BITS), True)
+    sets, p4 = stored(keyed.select("id", "t").mapInArrow(_sets, f"id {kind}, s array<long>").join(wanted, "id", "left_semi"), "sets")
+    release(spark)
 
     first = candidates.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(_confirmed(first, sets, percent))
     label = connected_components(links)
+    release(spark)
 
-    placed = candidates.join(label.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    placed = candidates.join(label.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("band", "id", "low", "c")
     mixed = placed.groupBy("band").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select("band")
-    rest = placed.join(mixed, "band").select("band", "id", "n", "sketch", "c", "low")
+    traits = described.where("n > 0").select("id", "n", "sketch")
+    rest = placed.join(mixed, "band").join(traits, "id")
+    rest, p5 = stored(rest.select("band", "id", "n", "sketch", "c", "low"), "mixed")
     x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sketch", "c", "low"))) for s in "xy")
     differing = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
     # Links that round one has refused needn't be asked again; sizes and sketches rule out most others.
@@ -165,7 +175,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (differing <= most_differing_bits(percent / 100))
     )
     second = x.join(y, "band").where(possible).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    label = connected_components(links.union(_confirmed(second, sets, percent)))
+    more = cut(_confirmed(second, sets, percent))
+    label = cut(connected_components(links.union(more)))
+    discard(spark, p3, p4, p5)
+    release(spark)
 
     named = classes.join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     rows = described.select("id", "n", "h1", "h2")

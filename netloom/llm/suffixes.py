@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE_INV, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, steps, stored, utf8
+from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, steps, stored, utf8
 
 LENGTH, GRAM = 200, 40
 #: Neighbouring windows in a block.
 BLOCK = 16
 #: Longer texts are looked at in pieces of so many bytes, which overlap by a window.
 PIECE = 1 << 20
-#: Bits of the filters for anchors and for documents: 8 MB and 1 MB.
-ANCHOR_BITS, DOC_BITS = 26, 23
+#: Bits of the filter for anchors: 8 MB.
+ANCHOR_BITS = 26
 
 
 @dataclass
