@@ -115,8 +115,10 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     # Units of one anchor that differ: equal ones are finished among themselves; one of each kind, chosen by a hash, goes on.
     place = F.xxhash64("key", "at")
     kinds = units.where("not equal").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    judged, p3 = stored(units.where("not equal").join(kinds, ["h", "c"]).select("key", "at", "low", "high", "n", (place == F.col("first")).alias("chosen")), "kinds")
-    discard(spark, p1)
+    # Written first, so that Spark can split the join's skewed units: it can't if one side comes from an aggregation.
+    kinds, p6 = stored(kinds, "kinds")
+    judged, p3 = stored(units.where("not equal").join(kinds, ["h", "c"]).select("key", "at", "low", "high", "n", (place == F.col("first")).alias("chosen")), "judged")
+    discard(spark, p1, p6)
     release(spark)
     done.append(judged.where("n > 1").select("key", whole.alias("span")))
     chosen = judged.where("chosen")
