@@ -149,8 +149,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members, p2 = stored(members, "members")
     release(spark)
     buckets = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
+    # Written first, so that Spark can split the join's skewed buckets: it can't if one side comes from an aggregation.
+    buckets, p6 = stored(buckets, "buckets")
     candidates, p3 = stored(members.join(buckets, "band").select("band", "low", "id"), "candidates")
-    discard(spark, p2)
+    discard(spark, p2, p6)
     release(spark)
     wanted = candidates.select("id").distinct()
     keyed = passed(texts.where("id is not null").select(F.xxhash64("id").alias("key"), "id", "t"), BitFilter(wanted.select(F.xxhash64("id").alias("key")), DOC_BITS), True)
@@ -181,6 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     release(spark)
 
     named = classes.join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    named = cut(named)
     rows = described.select("id", "n", "h1", "h2")
     out = rows.join(named, ["n", "h1", "h2"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component"))
