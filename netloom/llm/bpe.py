@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import steps
+from netloom.llm.common import small_batches, steps
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces after each of which a pre-token ends, whatever surrounds them.
@@ -234,6 +234,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     ``tokenizer`` is the path of a ``tokenizers`` file. Whole texts are encoded; a null or empty text has no ids and
     decodes to the empty string; ids may be null or repeated; other columns are not read. No shuffle: rows stay where
     they are read, and a long text's leaves are encoded as one batch."""
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

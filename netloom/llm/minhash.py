@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import DOC_BITS, BitFilter, cut, discard, mix64, passed, release, steps, stored, word_hashes
+from netloom.llm.common import DOC_BITS, BitFilter, cut, discard, mix64, passed, release, small_batches, steps, stored, word_hashes
 from netloom.llm.components import connected_components
 
 WORDS = 5
@@ -140,7 +140,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("percent must be from 75 to 100: the bands are made for that")
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     described, _ = stored(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"), "signatures")
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     # The row of the class's smallest id speaks for it; repeated rows say the same again.

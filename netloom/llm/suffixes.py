@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, steps, stored, utf8
+from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, small_batches, steps, stored, utf8
 
 LENGTH, GRAM = 200, 40
 #: Neighbouring windows in a block.
@@ -86,7 +86,7 @@ def find_anchors(texts: list[bytes], length: int, gram: int) -> Iterator[Anchors
 def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``rows`` (key long, text string) -> (key, spans array<struct<s:int,e:int>>), unmerged spans of repeated windows of the keys
     that have any; rows of equal keys must have equal texts, and are copies of one another. The result is written, its lineage cut."""
-    spark = rows.sparkSession
+    spark = small_batches(rows.sparkSession)
     only = rows.select("text")
 
     def digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,6 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     units, p2 = stored(units, "units")
     span = lambda start, end: F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"))
     whole = span(F.col("at") - F.col("high"), F.col("at") - F.col("low") + length)
-    done = [units.where("equal").select("key", whole.alias("span"))]
 
     # Units of one anchor that differ: equal ones are finished among themselves; one of each kind, chosen by a hash, goes on.
     place = F.xxhash64("key", "at")
@@ -118,10 +117,11 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     # Written first, so that Spark can split the join's skewed units: it can't if one side comes from an aggregation.
     kinds, p6 = stored(kinds, "kinds")
     judged, p3 = stored(units.where("not equal").join(kinds, ["h", "c"]).select("key", "at", "low", "high", "n", (place == F.col("first")).alias("chosen")), "judged")
-    discard(spark, p1, p6)
+    finished = units.where("equal").select("key", whole.alias("span")).union(judged.where("n > 1").select("key", whole.alias("span")))
+    done, q1 = stored(finished.select("key", "span.*"), "spans")
+    chosen, p7 = stored(judged.where("chosen").select("key", "n", "at", "low", "high"), "chosen")
+    discard(spark, p1, p2, p3, p6)
     release(spark)
-    done.append(judged.where("n > 1").select("key", whole.alias("span")))
-    chosen = judged.where("chosen")
     by_doc = chosen.groupBy("key").agg(F.collect_list(F.struct("n", "at", "low", "high")).alias("u"))
     texts = passed(rows.select("key", "text"), BitFilter(chosen.select("key"), DOC_BITS), True).join(by_doc, "key")
 
@@ -152,22 +152,26 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 out = (core.view(np.int64), hull.view(np.int64), n[some][r], keys[x:y][doc][r], (at[some][r] - b_high).astype(np.int32), (at[some][r] - b_low).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, out), w], names=["core", "hull", "n", "key", "s1", "s2", "w"])
 
-    # Pass 2, blocks of windows.
-    # (Rows of one key come each; their units are of kinds that occur more than once anyhow.)
+    # Pass 2, blocks of windows. (Rows of one key come each; their units are of kinds that occur more than once anyhow.)
     units2, p4 = stored(texts.select("key", "text", "u").mapInArrow(blocks, "core long, hull long, n long, key long, s1 int, s2 int, w array<long>"), "blocks")
+    discard(spark, p7)
     release(spark)
     cores = units2.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.min("hull").alias("h1"), F.max("hull").alias("h2")).where("total > 1 and least = 1")
     cores, p5 = stored(cores.select("core", (F.col("h1") == F.col("h2")).alias("equal")), "cores")
-    done.append(units2.where("n = 1").join(cores.where("equal"), "core").select("key", span(F.col("s1"), F.col("s2") + length).alias("span")))
+    in_blocks, q2 = stored(units2.where("n = 1").join(cores.where("equal"), "core").select("key", span(F.col("s1"), F.col("s2") + length).alias("span")).select("key", "span.*"), "spans")
 
     # Pass 3, the windows of blocks that differ.
     windows = units2.join(cores.where("not equal").select("core"), "core").select("key", "n", "s1", F.posexplode("w").alias("i", "window")).select("key", "n", (F.col("s1") + F.col("i")).alias("s"), "window")
+    windows, p8 = stored(windows, "windows")
+    discard(spark, p4, p5)
+    release(spark)
     equal = windows.groupBy("window").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("window")
-    done.append(windows.where("n = 1").join(equal, "window").select("key", span(F.col("s"), F.col("s") + length).alias("span")))
+    equal, p9 = stored(equal, "equal")
+    in_windows = windows.where("n = 1").join(equal, "window").select("key", span(F.col("s"), F.col("s") + length).alias("span")).select("key", "span.*")
 
-    found = done[0].union(done[1]).union(done[2]).union(done[3]).groupBy("key").agg(F.collect_list("span").alias("spans"))
+    found = done.union(in_blocks).union(in_windows).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     found = cut(found)
-    discard(spark, p2, p3, p4, p5)
+    discard(spark, p8, p9, q1, q2)
     release(spark)
     return found
 
