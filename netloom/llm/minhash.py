@@ -5,7 +5,7 @@ many hashes are evaluated for as many unbiased values, and the two, which are ha
 minima would. The values are banded; documents that share a band are candidates, confirmed on their full shingle sets.
 
 Candidates are taken in two rounds, so that a bucket of n near copies costs n comparisons and not n squared: first each member
-with the bucket's smallest id; then, in buckets that are not one component by then, the pairs of different components. Pairs inside
+with the bucket's smallest id; then, in buckets that are not one component by then, members of different components. Pairs inside
 a component can't change the result.
 """
 
@@ -24,9 +24,8 @@ from netloom.llm.components import connected_components
 WORDS = 5
 #: 128 permutations give 256 values, in 51 bands of 5: a pair of similarity 0.75 is missed with probability 1e-6.
 PERMUTATIONS, BAND = 128, 5
-#: Bits of the sketch that rules pairs out before their sets are compared, one a value. At similarity s,
-#: (1 + s) / 2 of the bits agree; pairs are passed from 5 standard deviations below that for 0.75 on.
-SKETCH_LONGS = 2 * PERMUTATIONS // 64
+#: Members of a cell that are compared at a time with as many.
+CELL_BLOCK = 512
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(1, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -75,19 +74,8 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """One bit of each value, as longs."""
-    bits = (mix64(signature.astype(np.uint64) + np.uint64(1)) >> np.uint64(63)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
-
-
-def most_differing_bits(similarity: float) -> int:
-    n, agree = 2 * PERMUTATIONS, (1 + similarity) / 2
-    return int(n * (1 - agree) + 5 * (n * agree * (1 - agree)) ** 0.5) + 1
-
-
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, text -> key, size, two hashes of the set, bands, sketch; the last two null for an empty set."""
+    """key, text -> key, size, two hashes of the set, bands; the last null for an empty set."""
     for batch in batches:
         keys, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
         for a, b in steps(texts):
@@ -95,18 +83,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(bounds)
             full = np.flatnonzero(size)
             sums, more = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-            band_lists, sketches = [None] * len(size), [None] * len(size)
+            band_lists = [None] * len(size)
             if len(full):
                 ends = np.concatenate((bounds[full], [len(flat)]))
                 sums[full] = np.add.reduceat(flat, ends[:-1])
                 more[full] = np.add.reduceat(mix64(flat ^ np.uint64(0x5851F42D4C957F2D)), ends[:-1])
                 sig = signatures(flat, ends)
-                for i, x, y in zip(full.tolist(), bands(sig), sketch(sig), strict=True):
-                    band_lists[i], sketches[i] = x, y
+                for i, x in zip(full.tolist(), bands(sig), strict=True):
+                    band_lists[i] = x
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [keys.slice(a, b - a), pa.array(size), pa.array(sums.view(np.int64)), pa.array(more.view(np.int64)), pa.array(band_lists, longs), pa.array(sketches, longs)],
-                names=["id", "n", "h1", "h2", "bands", "sketch"],
+                [keys.slice(a, b - a), pa.array(size), pa.array(sums.view(np.int64)), pa.array(more.view(np.int64)), pa.array(band_lists, longs)],
+                names=["id", "n", "h1", "h2", "bands"],
             )
 
 
@@ -126,6 +114,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def _links_of(ids: np.ndarray, part: np.ndarray, sizes: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and of ``right`` that join what isn't joined yet: a forest, not all pairs. ``part``: the rows' components so far."""
+    root = {c: c for c in part.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    ends = np.cumsum(sizes)
+    codes = np.unique(values, return_inverse=True)[1]
+    row = np.repeat(np.arange(len(ids)), sizes)
+    wanted = np.zeros(len(ids), bool)
+    wanted[right] = True
+    inside = wanted[row]
+    order = np.argsort(codes[inside], kind="stable")
+    posted, at = row[inside][order], np.searchsorted(codes[inside][order], np.arange(codes.max(initial=-1) + 2))
+    out = []
+    for i in left.tolist():
+        mine = codes[ends[i] - sizes[i] : ends[i]]
+        first, count = at[mine], at[mine + 1] - at[mine]
+        total = np.cumsum(count)
+        rows = posted[np.repeat(first - (total - count), count) + np.arange(total[-1])]
+        both = np.bincount(rows, minlength=len(ids))
+        for j in np.flatnonzero(100 * both >= percent * np.maximum(sizes[i] + sizes - both, 1)).tolist():
+            x, y = find(part[i]), find(part[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _other_links(mixed: DataFrame, sets: DataFrame, percent: int, kind: str) -> tuple[DataFrame, list[str]]:
+    """Round two: ``mixed`` (band, id, c), the members of buckets with several components c -> links (a, b) that join these, and paths to discard.
+
+    Members many of whose shingles no other member has can't be similar enough to any, and go. The rest fall into cells, whose members share
+    buckets; a cell's sets are compared in pairs of blocks, by counts over shared shingles. Only the links that join components leave a task."""
+    mixed, p1 = stored(mixed, "mixed")
+    own = sets.join(mixed.select("id").distinct(), "id", "left_semi").distinct()
+    lone = own.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    lone = lone.groupBy("id").agg(F.count("*").alias("lone"))
+    able = own.select("id", F.size("s").alias("n")).join(lone, "id", "left").where(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= percent * F.col("n")).select("id")
+    able, p2 = stored(able, "able")
+    rest, p3 = stored(mixed.join(able, "id"), "rest")
+    buckets = rest.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("id").alias("low")).where("c1 < c2").select("band", "low")
+    buckets, p4 = stored(buckets, "buckets")
+    meet = rest.join(buckets, "band")
+    cells = cut(connected_components(meet.select(F.col("low").alias("a"), F.col("id").alias("b"))))
+    members = cells.select(F.col("v").alias("id"), F.col("component").alias("cell")).join(rest.select("id", "c").distinct(), "id").join(own, "id")
+    sizes = cells.groupBy(F.col("component").alias("cell")).agg(F.ceil(F.count("*") / F.lit(float(CELL_BLOCK))).cast("int").alias("blocks"))
+    sizes = cut(sizes)
+    placed = members.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            _, i, j = held[0][0]
+            own, ids, c = (np.array([h[k] for h in held]) for k in (1, 2, 3))
+            sizes, values = np.array([len(h[4]) for h in held]), np.concatenate([h[4] for h in held])
+            links = _links_of(ids, c, sizes, values, np.flatnonzero(own == i), np.flatnonzero(own == j), percent)
+            a, b = zip(*links, strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], names=["a", "b"])
+
+        for batch in batches:
+            type_ = batch.schema.field("id").type
+            lists = batch.column(6)
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for r, (cell, i, j, own, id_, c) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                if held and held[0][0] != (cell, i, j):
+                    yield done()
+                    held = []
+                held.append(((cell, i, j), own, id_, c, flat[bounds[r] : bounds[r + 1]].copy()))
+        if held:
+            yield done()
+
+    found = pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "id").mapInArrow(compare, f"a {kind}, b {kind}")
+    return cut(found), [p1, p2, p3, p4]
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``df``: the id, ``n_shingles``, ``component_id`` (smallest id reachable over links), ``kept``.
 
@@ -141,7 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     spark = small_batches(df.sparkSession)
-    described, _ = stored(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>, sketch array<long>"), "signatures")
+    described, _ = stored(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>"), "signatures")
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     # The row of the class's smallest id speaks for it; repeated rows say the same again.
     of_class = described.select("id", "n", "h1", "h2", "bands").join(classes.withColumnRenamed("rep", "id"), ["id", "n", "h1", "h2"], "left_semi")
@@ -166,20 +236,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     placed = candidates.join(label.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("band", "id", "low", "c")
     mixed = placed.groupBy("band").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select("band")
-    traits = described.where("n > 0").select("id", "n", "sketch")
-    rest = placed.join(mixed, "band").join(traits, "id")
-    rest, p5 = stored(rest.select("band", "id", "n", "sketch", "c", "low"), "mixed")
-    x, y = (rest.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "sketch", "c", "low"))) for s in "xy")
-    differing = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
-    # Links that round one has refused needn't be asked again; sizes and sketches rule out most others.
-    possible = (
-        (F.col("c_x") != F.col("c_y")) & (F.col("id_x") < F.col("id_y")) & (F.col("id_x") != F.col("low_x"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (differing <= most_differing_bits(percent / 100))
-    )
-    second = x.join(y, "band").where(possible).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    more = cut(_confirmed(second, sets, percent))
+    more, paths = _other_links(placed.join(mixed, "band").select("band", "id", "c"), sets, percent, kind)
     label = cut(connected_components(links.union(more)))
-    discard(spark, p3, p4, p5)
+    discard(spark, *paths)
+    discard(spark, p3, p4)
     release(spark)
 
     named = classes.join(label.select(F.col("v").alias("rep"), "component"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
