@@ -74,12 +74,13 @@ def resolve(blocks: DataFrame, policy: str = "none", width: int = V4, bucket: in
     if policy == "none":
         # Equal records are one value, so that neighbours join; the shortest handle for a record is its first insertion.
         text = F.to_json(F.struct("record"))
-        ids = blocks.select("seq", F.sha2(text, 256).alias("digest"))
+        # (The pieces of a range are insertions of one seq and record.)
+        ids = blocks.select("seq", F.sha2(text, 256).alias("digest")).distinct()
         first = ids.groupBy("digest").agg(F.min("seq").alias("record_id"))
         named = ids.join(first, "digest").select("seq", "record_id")
         points = winners(blocks, width, bucket).join(named, "seq", "left").select("bits", "record_id")
         leaves = canonical_leaves(points, "record_id", width, bucket)
-        records = blocks.select(F.col("seq").alias("record_id"), "record")
+        records = blocks.select(F.col("seq").alias("record_id"), "record").dropDuplicates(["record_id"])
         return leaves.join(records, "record_id", "left").select("prefix", "plen", "record")
     points = cut_points(blocks, width, bucket)
     over = covering(points, blocks, width)

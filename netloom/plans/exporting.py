@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,6 @@ def json_lines(rows: DataFrame, key: str, value: Column) -> DataFrame:
     """``line``: the record as JSON with sorted keys, ``key`` set to ``value``. JSON records keep their types."""
     if rows.schema["record"].dataType.simpleString().startswith("map"):
         return rows.select("*", json_object(put(F.col("record"), key, value)).alias("line"))
-    import json
-
-    import pandas as pd
-
     from netloom.functions.values import canonical
 
     @F.pandas_udf("string")
@@ -68,8 +67,6 @@ def lookup_lines(hits: DataFrame, format: str = "json", header: bool = True) ->
     if format.startswith("json"):
         lines = json_lines(hits, "ip", F.col("ip")).select("pos", "line").orderBy("pos")
         if format == "json-pretty":
-            import json
-
             pretty = F.udf(lambda s: json.dumps(json.loads(s), indent=2, ensure_ascii=False), "string")
             lines = lines.withColumn("line", pretty("line"))
         return lines

@@ -43,7 +43,10 @@ def _rows_from_cells(spark: SparkSession, path: str, o: ImportOptions) -> tuple[
     start = 3 if key else 2 if multi else 1
     if o.fields_from_header:
         fields = header[start:]
-        table = table.where(F.col("seq") > F.lit(first[0]["seq"])) if first else table
+        if first:
+            top = first[0]["seq"]
+            at = F.struct(*(F.lit(top[k]).cast(t).alias(k) for k, t in (("path", "string"), ("start", "long"), ("id", "long"))))
+            table = table.where(F.col("seq") > at)
     else:
         fields = list(o.fields)
     width = start + len(fields)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +83,6 @@ def metadata_text(row: dict, json_format: bool = False) -> str:
 
 def scan_types(documents: DataFrame, column: str, mode: str = "compat") -> DataFrame:
     """Sizes by type over the bytes of a column, as if each value were a data section: type, size."""
-    import pandas as pd
-
     names = list(COUNTERS.values())
 
     @F.pandas_udf("array<long>")

@@ -73,6 +73,7 @@ class MmdbSource(DataSource):
 
 def read_mmdb(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
     """prefix, plen, net, record_id, record (JSON) of a file's leaves; with ``empty`` those without data too, so that they part the address space."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MmdbSource)
     return spark.read.format("mmdb").option("path", path).option("empty", str(empty).lower()).load()
 
