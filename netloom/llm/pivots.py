@@ -20,7 +20,7 @@ from netloom.llm.components import connected_components
 from netloom.llm.vectors import matrix, valid
 
 #: Reference points, drawn from the vectors by a hash; the length of a head; the shared pivots that a pair needs.
-PIVOTS, HEAD, SHARED = 256, 6, 2
+PIVOTS, HEAD, SHARED = 256, 8, 2
 #: Rows of a list that are compared at a time. A longer list is dealt out in pairs of blocks.
 BLOCK = 1_024
 
@@ -55,6 +55,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
     dealt out in pairs of blocks, each of which any task may compare. Of verified pairs, only counts and one edge a vector and list leave a task."""
     rows = valid(df, id_col, vec_col)
     kind = df.schema[id_col].dataType.simpleString()
+    vec_kind = rows.schema["vec"].dataType.simpleString()
     # One class per vector; the hash makes grouping cheap, the vector itself decides.
     classes = cut(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     drawn = classes.select(F.xxhash64("vec", F.lit(11)).alias("h"), "vec").orderBy("h").limit(pivots).collect()
@@ -76,7 +77,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
         links = classes.select("rep", F.lit(0).cast("long").alias("links"))
         edges = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     else:
-        described = classes.select("rep", "n", "vec").mapInArrow(describe, f"rep {kind}, n long, vec array<double>, head array<int>")
+        described = classes.select("rep", "n", "vec").mapInArrow(describe, f"rep {kind}, n long, vec {vec_kind}, head array<int>")
         pairs = F.array(*(F.least(F.col("head")[i], F.col("head")[j]) * PIVOTS + F.greatest(F.col("head")[i], F.col("head")[j]) for i, j in combinations(range(k), 2)))
         member = described.select("rep", "n", "vec", "head", F.explode(pairs).alias("key"))
         sizes = described.select(F.explode(pairs).alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id`` and ``vec array<double>`` of the rows whose id isn't null and whose vector is neither null, empty or zero nor holds null or
+    """``id`` and ``vec`` (array<float> if it is that, else array<double>) of the rows whose id isn't null and whose vector is neither null, empty or zero nor holds null or
     non-finite components, and has the table's most frequent size (the smaller one of equally frequent sizes)."""
     v = F.col("vec")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
+    kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("vec")).where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
     sizes = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     return rows.where(F.size("vec") == (sizes[0]["size"] if sizes else 0))
 
@@ -22,4 +23,4 @@ def matrix(lists: pa.Array) -> np.ndarray:
     """A list column whose lists are equally long, as rows of doubles."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))

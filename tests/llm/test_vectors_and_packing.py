@@ -42,19 +42,19 @@ def test_search_of_few_and_none(spark):
 
 def test_anisotropic_codes_keep_the_parallel_part():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(1500, 16))
+    x = rng.normal(size=(1500, 64))
     q = mips.fit(x)
     plain = mips.Quantiser(q.books, 1.0)
 
     def parallel(p):
         codes = mips.encode(x, p)
-        r = (mips._parts(x) - p.books[np.arange(8), codes]).reshape(len(x), -1)
+        r = (mips._parts(x) - p.books[np.arange(32), codes]).reshape(len(x), -1)
         return np.abs((r * x).sum(1) / np.linalg.norm(x, axis=1)).mean()
 
     assert parallel(q) < 0.8 * parallel(plain)
     codes = mips.encode(x, q)
-    y = rng.normal(size=16)
-    assert np.allclose(mips.scan(y, q, mips.packed(codes)), (q.books[np.arange(8), codes].reshape(len(x), -1)) @ y, atol=1e-4)
+    y = rng.normal(size=64)
+    assert np.allclose(mips.scan(y, q, mips.packed(codes)), (q.books[np.arange(32), codes].reshape(len(x), -1)) @ y, atol=1e-3)
 
 
 def test_near_vectors_equal_brute_force(spark):
