@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import steps
+from netloom.llm.common import small_batches, steps
 
 #: n-grams of 1 to 3 characters, hashed to so many places.
 ORDERS, PLACES = (1, 2, 3), 1 << 15
@@ -109,6 +109,7 @@ def fit_language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Document frequencies are counted over all of these rows, summed where they lie and then by place. The
     weights are fitted by one task on at most about ``sample`` documents, evenly over the languages, whose
     hashed ids are smallest; a limit of twice that guards it."""
+    small_batches(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
     by_lang = {r["y"]: r["count"] for r in df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("y")).count().collect()}
     if not by_lang:
@@ -151,7 +152,7 @@ def predict_language(df: DataFrame, model: LanguageModel | None, id_col: str = "
     empty or has no letter, or if there is no model.
 
     Whole texts, no shuffle; the model (1 MB for four languages) is broadcast. Ids may be null or repeated; other columns are not read."""
-    shared = df.sparkSession.sparkContext.broadcast(model and (model.languages, model.idf, np.ascontiguousarray(model.weights, np.float64), model.bias, model.temperature))
+    shared = small_batches(df.sparkSession).sparkContext.broadcast(model and (model.languages, model.idf, np.ascontiguousarray(model.weights, np.float64), model.bias, model.temperature))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
