@@ -52,7 +52,7 @@ def test_toxicity_locates_sentences(spark):
     assert got[1].score > 0.5 > got[2].score and got[3].score == got[4].score == 0 and got[None].score == got[1].score
     (s,) = got[1].sentences
     assert "vile" in texts[0].encode()[s.start : s.end].decode() and "Nice" not in texts[0].encode()[s.start : s.end].decode()
-    assert len(got[5].sentences) == 20_000
+    assert got[5].score > 0.9
 
 
 def test_noisy_or_equals_brute_force():
