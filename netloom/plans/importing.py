@@ -97,7 +97,7 @@ def _rows_from_json(spark: SparkSession, path: str, o: ImportOptions, lines: boo
         return pd.DataFrame(out, columns=["network", "record", "problem"])
 
     parsed = docs.select("seq", parse("doc").alias("p")).select("seq", "p.*")
-    checked = F.when(F.col("problem").isNotNull(), F.raise_error("problem").cast("string")).otherwise(F.col("network"))
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("string")).otherwise(F.col("network"))
     return parsed.select("seq", checked.alias("network"), "record"), fields
 
 
