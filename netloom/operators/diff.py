@@ -42,4 +42,4 @@ def summary(new: DataFrame, old: DataFrame, width: int = V4, lengths: Iterable[i
 def full_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     """The symmetric difference of (prefix, record): change, prefix, record."""
     n, o = (x.where("record is not null").select("prefix", "record") for x in (new, old))
-    return n.exceptAll(o).select(F.lit("added").alias("change"), "*").union(o.exceptAll(n).select(F.lit("removed"), "*"))
+    return n.subtract(o).select(F.lit("added").alias("change"), "*").union(o.subtract(n).select(F.lit("removed"), "*"))

@@ -422,8 +422,8 @@ ORACLE_SQL: dict[str, str] = {
     "full_diff": f"{_DIFF}, n AS (SELECT prefix, rec AS record FROM new_l WHERE rec IS NOT NULL), o AS (SELECT prefix, rec AS record FROM old_l WHERE rec IS NOT NULL) SELECT 'added' AS change, * FROM (FROM n EXCEPT FROM o) UNION ALL SELECT 'removed', * FROM (FROM o EXCEPT FROM n)",
     "human_size": f"WITH t AS (SELECT o_orderkey, CAST(floor(o_totalprice * o_orderkey * 100) AS BIGINT) AS n FROM orders) SELECT o_orderkey, {_human('n', [(2**40, 'TB'), (2**30, 'GB'), (2**20, 'MB'), (2**10, 'KB')])} AS size FROM t",
     "human_count": f"WITH t AS (SELECT o_orderkey, CAST(floor(o_totalprice * o_orderkey) AS BIGINT) AS n FROM orders) SELECT o_orderkey, {_human('n', [(10**12, 'T'), (10**9, 'G'), (10**6, 'M'), (10**3, 'K')])} AS count_text FROM t",
-    "section_arithmetic": """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 7 ELSE 8 END * o_custkey AS tree_size, o_orderkey * 100 + 1000000 AS at FROM orders)
-      SELECT o_orderkey, tree_size, tree_size + 16 AS data_section_start_offset, at - tree_size - 16 AS data_section_size, at AS data_section_end_offset, at + 14 AS metadata_section_start_offset FROM t""",
+    "section_arithmetic": """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 7 ELSE 8 END * o_custkey AS tree_size, o_orderkey * 100 + 1000000 AS mark FROM orders)
+      SELECT o_orderkey, tree_size, tree_size + 16 AS data_section_start_offset, mark - tree_size - 16 AS data_section_size, mark AS data_section_end_offset, mark + 14 AS metadata_section_start_offset FROM t""",
     "verify_disjoint": f"WITH {_NETS}, n AS (SELECT DISTINCT prefix FROM nets) SELECT a.prefix AS \"inner\", b.prefix AS \"outer\" FROM n a JOIN n b ON starts_with(a.prefix, b.prefix) AND a.prefix <> b.prefix",
     "alias_6to4_lookup": f"{_LOOK} SELECT pos, seq FROM best",
     "stream_enrich": f"WITH {_NETS}, {_PROBES} SELECT p.pos, arg_max(n.segment, n.seq) AS segment FROM probes p JOIN nets n ON starts_with(p.bits, n.prefix) GROUP BY p.pos",
