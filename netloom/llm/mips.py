@@ -2,7 +2,8 @@
 
 A product quantiser of two dimensions and sixteen centres (four bits) a subspace is fitted under a loss in which the part of the
 residual that is parallel to a vector weighs more than the part across it, as it is the parallel part that spoils large inner
-products. Queries scan the codes by table look-ups, two codes a byte, and the best of each block are reranked by exact inner products.
+products. Queries scan the codes by table look-ups, two codes a byte. Of each block the best are reranked by exact inner products, and then
+every vector that the quantisation error leaves a chance against them, so that the result is exact however many vectors lie close together.
 """
 
 from __future__ import annotations
@@ -107,6 +108,33 @@ def scan(query: np.ndarray, q: Quantiser, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Residuals:
+    """What quantisation may have changed in the inner products of a block of vectors ``x``."""
+
+    norm: np.ndarray  # of each vector
+    kept: np.ndarray  # the share of a vector's own direction that its code keeps
+    across: np.ndarray  # the norm of the residual's part across the vector
+
+    @classmethod
+    def of(cls, x: np.ndarray, codes: np.ndarray, q: Quantiser) -> Residuals:
+        norm = np.linalg.norm(x, axis=1)
+        r = (_parts(x) - q.books[np.arange(codes.shape[1]), codes]).reshape(len(x), -1)[:, : x.shape[1]]
+        along = (r * x).sum(1) / norm
+        return cls(norm, 1 - along / norm, np.linalg.norm(r - (along / norm)[:, None] * x, axis=1))
+
+    def open(self, query: np.ndarray, approximate: np.ndarray, least: float, slack: float) -> np.ndarray:
+        """The vectors whose inner product with ``query`` may be ``least`` or more.
+
+        score * kept = approximate + query . (residual across x), whose last term is at most across * |query's part across x|. That part shrinks
+        as the score grows, so for a score of ``least`` (at least 0) or more it is at most sqrt(|query|^2 - (least / |x|)^2)."""
+        if least == -np.inf:
+            return np.arange(len(approximate))
+        size = (query**2).sum()
+        part = np.sqrt(np.maximum(size - (max(least, 0.0) / self.norm) ** 2, 0.0) + 1e-12 * size)
+        return np.flatnonzero((self.kept <= 0) | (approximate >= least * self.kept - self.across * part - slack))
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", query_id_col: str = "vec_id", rerank: int = 10, sample: int = SAMPLE, block: int = VECTORS, query_block: int = QUERIES) -> DataFrame:
     """The ``k`` vectors of largest inner product with each query, but the query's own id: query_id, rank from 1, id, score.
 
@@ -114,8 +142,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     whose id is null, take no part; a query with fewer candidates gets them all; ties go to the smaller id. Repeated rows count each.
 
     The quantiser is fitted by one task on ``sample`` vectors at most. Every vector is encoded. Blocks of vectors meet blocks of queries:
-    a task scans its block's codes for its queries and reranks the best ``k * rerank`` of each exactly; what remains,
-    ``k`` rows a query and block, is ranked by a window whose ranks are limited before the shuffle."""
+    a task scans its block's codes for its queries and reranks the best ``k * rerank`` of each exactly, then all others that may reach the
+    ``k``-th of these by the bound on their quantisation errors; what remains, ``k`` rows a query and block, is ranked by a window whose ranks are limited before the shuffle."""
     spark = vectors.sparkSession
     rows = valid(vectors, id_col, vec_col)
     asked = valid(queries, query_id_col, vec_col)
@@ -150,12 +178,20 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
         if vs.num_rows and qs.num_rows:
             vs = vs.sort_by("id")
             x, ids = matrix(vs.column("vec")), vs.column("id").to_numpy()
-            codes = packed(encode(x, q))
+            plain = encode(x, q)
+            codes, residuals = packed(plain), Residuals.of(x, plain, q)
             keep = k * rerank + 1
             for query_id, y in zip(qs.column("id").to_pylist(), matrix(qs.column("vec")), strict=True):
                 approximate = scan(y, q, codes)
-                best = np.argpartition(-approximate, keep)[:keep] if keep < len(x) else np.arange(len(x))
-                best = np.sort(best[ids[best] != query_id])
+                if keep < len(x):
+                    first = np.argpartition(-approximate, keep)[:keep]
+                    score = np.sort((x[first[ids[first] != query_id]] * y).sum(1))
+                    # Rounding of the scan's sums of single precision, and of the exact scores.
+                    slack = 1e-6 * (len(codes) + 1) * np.abs(y).sum() * max(np.abs(books).max(), np.abs(x).max())
+                    best = residuals.open(y, approximate, score[-k] if len(score) >= k else -np.inf, slack)
+                else:
+                    best = np.arange(len(x))
+                best = best[ids[best] != query_id]
                 score = (x[best] * y).sum(1)
                 top = np.lexsort((ids[best], -score))[:k]
                 out["query_id"].append(np.full(len(top), query_id))

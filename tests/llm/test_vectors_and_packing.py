@@ -40,6 +40,24 @@ def test_search_of_few_and_none(spark):
     assert search(df.limit(0), df, k=5).count() == search(df, df.limit(0), k=5).count() == 0
 
 
+def test_search_of_a_hot_family_and_exact_copies(spark):
+    rng = np.random.default_rng(4)
+    u = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = u(rng.normal(size=(3000, 32)))
+    x[rng.permutation(3000)[:1000]] = u(u(rng.normal(size=32)) + 0.03 * rng.normal(size=(1000, 32)))
+    x[rng.permutation(3000)[:900]] = x[7]
+    x[::100] = np.where(np.arange(30)[:, None] % 2, x[7], x[::100])
+    df = vectors(spark, x)
+    got = {}
+    for r in search(df.where("vec_id % 50 = 0"), df, k=20, block=1500, rerank=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == 60
+    for q, v in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        assert [i for _, i in sorted(v)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
+
+
 def test_anisotropic_codes_keep_the_parallel_part():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 64))
