@@ -1,14 +1,12 @@
-"""Embedding near-duplicates through a pivot-permutation index.
+"""Embedding near-duplicates through cells of pivots.
 
-Each vector is described by its nearest pivots in order (the head of its permutation of the pivots). Inverted lists are kept for
-pairs of pivots in a head, so that vectors that meet in a list share two pivots at least; the shared pivots are counted, and
-pairs with enough of them are verified by their exact cosine.
+Each vector belongs to the cell of its nearest pivot. A bound on how far a vector lies from the plane between two pivots tells which
+other cells may hold vectors near it; it meets those alone, and no near pair is lost. Pairs are verified by their exact cosine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,116 +17,145 @@ from netloom.llm.common import cut
 from netloom.llm.components import connected_components
 from netloom.llm.vectors import matrix, valid
 
-#: Reference points, drawn from the vectors by a hash; the length of a head; the shared pivots that a pair needs.
-PIVOTS, HEAD, SHARED = 256, 8, 2
-#: Rows of a list that are compared at a time. A longer list is dealt out in pairs of blocks.
-BLOCK = 1_024
-
-
-def _cosine_links(ids: np.ndarray, n: np.ndarray, unit: np.ndarray, head: np.ndarray, key: int, at: np.ndarray, to: np.ndarray, least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (from ``at``, from ``to``) that have enough shared pivots and this list as the first that they share, and are near."""
-    cos = unit[at] @ unit[to].T
-    i, j = np.nonzero(cos >= least - 1e-9)
-    i, j = at[i], to[j]
-    keep = ids[i] != ids[j]
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return i, j
-    exact = (unit[i] * unit[j]).sum(1) >= least
-    i, j = i[exact], j[exact]
-    common = (head[i][:, :, None] == head[j][:, None, :]).any(2)  # which of i's pivots j has
-    big = np.int64(PIVOTS + 1)
-    mine = np.sort(np.where(common, head[i], big), axis=1)
-    first = mine[:, 0] * PIVOTS + mine[:, 1]
-    ok = (common.sum(1) >= shared) & (first == key)
-    return i[ok], j[ok]
-
-
-def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, head: int = HEAD, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``df``: the id, ``n_links`` (other rows of cosine ``least`` or more), ``component_id``, ``kept``.
+#: The most reference points, and for each of them how many vectors are drawn by a hash, from which distant ones are picked.
+PIVOTS, DRAWN = 256, 16
+#: Rows of a block. A larger cell is dealt out in blocks, and pairs of blocks are compared, so many rows at a time with the other block.
+BLOCK, STRIP = 4_096, 256
+
+
+def distant(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of unit vectors, each as far as possible from those before it, so that a dense family doesn't hold most of them."""
+    at, near = [0], x @ x[0]
+    while len(at) < min(n, len(x)):
+        at.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[at[-1]])
+    return x[at]
+
+
+def cells_to_meet(unit: np.ndarray, points: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's own cell, and a table (vectors, cells) of those that may hold vectors of cosine ``least`` or more with it.
+
+    If y of cell q is within r of x of cell p, then x.(p - q) <= y.(p - q) + r |p - q| <= r |p - q|, as y is no nearer to p than to q."""
+    sims = unit @ points.T
+    own = sims.argmax(1)
+    reach = np.sqrt(max(0.0, 2 - 2 * least))
+    apart = np.linalg.norm(points[:, None] - points[None], axis=2)
+    return own, sims[np.arange(len(unit)), own][:, None] - sims <= reach * apart[own] + 1e-6
+
+
+def near_pairs(unit: np.ndarray, at: np.ndarray, to: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (from ``at``, from ``to``) of cosine ``least`` or more, a strip of rows at a time. Single precision decides where its rounding can't matter."""
+    single, margin = unit.astype(np.float32), 1e-6 * (unit.shape[1] + 1)
+    for x in range(0, len(at), STRIP):
+        cos = single[at[x : x + STRIP]] @ single[to].T
+        i, j = np.nonzero(cos >= least - margin)
+        sure = cos[i, j] > least + margin
+        i, j = at[x : x + STRIP][i], to[j]
+        doubt = np.flatnonzero(~sure)
+        for y in range(0, len(doubt), 65_536):
+            d = doubt[y : y + 65_536]
+            sure[d] = (unit[i[d]] * unit[j[d]]).sum(1) >= least
+        yield i[sure], j[sure]
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of components once i and j are joined pairwise; ``root`` maps each index to the least of its component."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``df``: the id, ``n_links`` (other rows of cosine ``least`` or more), ``component_id``, ``kept``. Exact.
 
     Vectors that are null, empty or zero or hold null or non-finite components or are of an unusual size link with nothing;
     rows with a null id too (their component is null, and they are kept). Equal vectors are one class, whose copies are counted, not compared. Rows
-    that share an id are different vectors of it and link with one another's neighbours, not among themselves. ``pivots`` may be 256 at most.
+    that share an id are different vectors of it and link with one another's neighbours, not among themselves.
 
-    Pivots are drawn by a hash of the vector; lists of one member are dropped; a list longer than ``block`` is
-    dealt out in pairs of blocks, each of which any task may compare. Of verified pairs, only counts and one edge a vector and list leave a task."""
+    There are as many pivots as blocks, ``pivots`` at most; a cell larger than ``block`` is dealt out in blocks. Any task may compare
+    a pair of blocks, each of which holds those rows that may have near vectors in the other. Of verified pairs, only counts and a spanning forest leave a task."""
     rows = valid(df, id_col, vec_col)
     kind = df.schema[id_col].dataType.simpleString()
     vec_kind = rows.schema["vec"].dataType.simpleString()
     # One class per vector; the hash makes grouping cheap, the vector itself decides.
     classes = cut(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    drawn = classes.select(F.xxhash64("vec", F.lit(11)).alias("h"), "vec").orderBy("h").limit(pivots).collect()
-    points = np.array([r["vec"] for r in drawn])
-    if len(points):
-        points = points / np.linalg.norm(points, axis=1)[:, None]
-    k = min(head, len(points))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column(2))
-            sims = (x / np.linalg.norm(x, axis=1)[:, None]) @ points.T
-            near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), k).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["rep", "n", "vec", "head"])
-
-    if k < 2:  # fewer than two classes of vectors
-        described, lists = None, None
+    n_cells = min(pivots, -(-classes.count() // block))
+    drawn = classes.select(F.xxhash64("vec", F.lit(11)).alias("h"), "vec").orderBy("h").limit(DRAWN * n_cells).collect()
+    if not drawn:
         links = classes.select("rep", F.lit(0).cast("long").alias("links"))
         edges = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     else:
-        described = classes.select("rep", "n", "vec").mapInArrow(describe, f"rep {kind}, n long, vec {vec_kind}, head array<int>")
-        pairs = F.array(*(F.least(F.col("head")[i], F.col("head")[j]) * PIVOTS + F.greatest(F.col("head")[i], F.col("head")[j]) for i, j in combinations(range(k), 2)))
-        member = described.select("rep", "n", "vec", "head", F.explode(pairs).alias("key"))
-        sizes = described.select(F.explode(pairs).alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        blocks = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
-        own = F.pmod(F.xxhash64("rep", "key"), F.col("blocks").cast("long")).cast("int")
-        # A row of block i meets blocks i..: it goes to the tasks (i, j) for j >= i and (j, i) for j < i.
-        lists = (
-            member.join(F.broadcast(sizes), "key").withColumn("blocks", blocks).withColumn("own", own)
-            .select("rep", "n", "vec", "head", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .select("rep", "n", "vec", "head", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        )
+        points = np.array([r["vec"] for r in drawn], np.float64)
+        points = distant(points / np.linalg.norm(points, axis=1)[:, None], n_cells)
+        unit_rows = lambda vecs: (x := matrix(vecs)) / np.linalg.norm(x, axis=1)[:, None]
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array((unit_rows(batch.column(0)) @ points.T).argmax(1).astype(np.int32))], names=["cell"])
+
+        per_cell = classes.select("vec").mapInArrow(cells, "cell int").groupBy("cell").count().collect()
+        blocks = np.ones(len(points), np.int64)  # of each cell; one even if rounding moves a row there later
+        for r in per_cell:
+            blocks[r["cell"]] = -(-r["count"] // block)
+        first = np.concatenate(([0], np.cumsum(blocks)))
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own, meets = cells_to_meet(unit_rows(batch.column(2)), points, least)
+                    own = first[own] + batch.column(3).to_numpy() % blocks[own]
+                    others = np.repeat(meets, blocks, axis=1)
+                    bounds = np.concatenate(([0], np.cumsum(others.sum(1))))
+                    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.nonzero(others)[1].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(own.astype(np.int32)), lists], names=["rep", "n", "vec", "own", "others"])
+
+        described = classes.select("rep", "n", "vec", F.xxhash64("vec", F.lit(13)).alias("h")).mapInArrow(describe, f"rep {kind}, n long, vec {vec_kind}, own int, others array<int>")
+        lists = described.select("rep", "n", "vec", "own", F.explode("others").alias("other")).select("rep", "n", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: pa.Table | None = None
 
             def done(t: pa.Table) -> pa.RecordBatch:
-                ids, n, own, i_block, key = (t.column(c).to_numpy() for c in ("rep", "n", "own", "i", "key"))
-                j_block = t.column("j").to_numpy()
-                x = matrix(t.column("vec"))
-                unit = x / np.linalg.norm(x, axis=1)[:, None]
-                heads = matrix(t.column("head")).astype(np.int64)
-                edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(i_block) != 0) | (np.diff(j_block) != 0)) + 1
-                bounds = np.concatenate(([0], edge, [len(key)]))
-                reps, links, least_rep = [], [], []
+                ids, n, own, i_block, j_block = (t.column(c).to_numpy() for c in ("rep", "n", "own", "i", "j"))
+                edge = np.flatnonzero((np.diff(i_block) != 0) | (np.diff(j_block) != 0)) + 1
+                bounds = np.concatenate(([0], edge, [len(ids)]))
+                reps, links, joined = [], [], []
                 for a, b in zip(bounds, bounds[1:], strict=False):
-                    if b - a < 2:
-                        continue
-                    every = np.arange(a, b)
                     same = i_block[a] == j_block[a]
-                    at = every if same else every[own[a:b] == i_block[a]]
-                    to = every if same else every[own[a:b] == j_block[a]]
-                    i, j = _cosine_links(ids, n, unit, heads, key[a], at, to, least, shared)
-                    if not same:
-                        i, j = np.concatenate((i, j)), np.concatenate((j, i))
-                    if len(i):
-                        count = np.bincount(i - a, n[j], b - a)
-                        low = ids[a:b].copy()
-                        np.minimum.at(low, i - a, ids[j])
-                        hit = np.flatnonzero(count)
-                        reps.append(ids[a:b][hit])
-                        links.append(count[hit].astype(np.int64))
-                        least_rep.append(low[hit])
+                    every = np.arange(b - a)
+                    at = every if same else np.flatnonzero(own[a:b] == i_block[a])
+                    to = every if same else np.flatnonzero(own[a:b] == j_block[a])
+                    if b - a < 2 or not len(at) or not len(to):
+                        continue
+                    mine, unit = ids[a:b], unit_rows(t.column("vec").slice(a, b - a))
+                    count, root = np.zeros(b - a, np.int64), every.copy()
+                    for i, j in near_pairs(unit, at, to, least):
+                        other = mine[i] != mine[j]
+                        i, j = i[other], j[other]
+                        np.add.at(count, i, n[a:b][j])
+                        if not same:
+                            np.add.at(count, j, n[a:b][i])
+                        root = join_roots(root, i, j)
+                    hit = np.flatnonzero(count)
+                    reps.append(mine[hit])
+                    links.append(count[hit])
+                    joined.append(mine[root[hit]])
                 join = lambda v, like: np.concatenate(v) if v else np.zeros(0, like)
                 of = t.schema.field("rep").type
-                return pa.RecordBatch.from_arrays([pa.array(join(reps, ids.dtype), of), pa.array(join(links, np.int64)), pa.array(join(least_rep, ids.dtype), of)], names=["rep", "links", "low"])
+                return pa.RecordBatch.from_arrays([pa.array(join(reps, ids.dtype), of), pa.array(join(links, np.int64)), pa.array(join(joined, ids.dtype), of)], names=["rep", "links", "low"])
 
             for batch in batches:
                 t = pa.Table.from_batches([batch])
                 held = t if held is None else pa.concat_tables([held, t])
-                last = [held.column(c)[-1] for c in ("key", "i", "j")]
-                open_ = pa.compute.and_(pa.compute.and_(pa.compute.equal(held.column("key"), last[0]), pa.compute.equal(held.column("i"), last[1])), pa.compute.equal(held.column("j"), last[2]))
+                last = [held.column(c)[-1] for c in ("i", "j")]
+                open_ = pa.compute.and_(pa.compute.equal(held.column("i"), last[0]), pa.compute.equal(held.column("j"), last[1]))
                 n_open = pa.compute.sum(open_).as_py()
                 if n_open < held.num_rows:
                     yield done(held.slice(0, held.num_rows - n_open).combine_chunks())
@@ -136,7 +163,7 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
             if held is not None and held.num_rows:
                 yield done(held.combine_chunks())
 
-        sorted_lists = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        sorted_lists = lists.repartition("i", "j").sortWithinPartitions("i", "j")
         verified = cut(sorted_lists.mapInArrow(verify, f"rep {kind}, links long, low {kind}"))
         links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
         edges = verified.select(F.col("rep").alias("a"), F.col("low").alias("b"))

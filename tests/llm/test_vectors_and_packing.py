@@ -92,6 +92,22 @@ def test_near_vectors_equal_brute_force(spark):
         assert {got[i].component_id for i in (5, 345, 346, 347, 348)} == {5} and got[5].n_links >= 4
 
 
+def test_near_vectors_of_a_hot_family_and_a_path(spark):
+    rng = np.random.default_rng(7)
+    u = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = u(rng.normal(size=(2100, 64)))
+    x[:700] = u(u(rng.normal(size=64)) + 0.022 * rng.normal(size=(700, 64)))
+    turn = np.radians([20, 50, 5, 35])  # 2-0-3-1 is a path: neighbours are 15 degrees apart
+    x[2096:] = 0
+    x[2096:, 0], x[2096:, 1] = np.cos(turn), np.sin(turn)
+    adj = (x @ x.T >= 0.95) & ~np.eye(2100, dtype=bool)
+    assert 1e5 < adj.sum() and adj[2096:].sum() == 6
+    for block in (4096, 150):
+        got = {r.vec_id: r for r in near_vectors(vectors(spark, x), 0.95, block=block).collect()}
+        assert [got[i].n_links for i in range(2100)] == adj.sum(1).tolist()
+        assert {got[i].component_id for i in range(2096, 2100)} == {2096} and {got[i].component_id for i in range(700)} == {0}
+
+
 def test_near_vectors_of_few_and_none(spark):
     df = vectors(spark, np.ones((3, 4)))
     assert [(r.n_links, r.component_id) for r in near_vectors(df).collect()] == [(2, 0)] * 3
