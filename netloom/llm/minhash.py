@@ -35,9 +35,10 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     """Distinct shingle hashes of each text, ascending, one after another, and bounds. A text of fewer words is one shingle, one without words none."""
     h, bounds = word_hashes([t.lower() for t in texts])
     n = np.diff(bounds)
-    rolled = np.zeros(max(len(h) - words + 1, 0), np.uint64)
+    m = max(len(h) - words + 1, 0)
+    rolled = np.zeros(m, np.uint64)
     for j in range(words):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - words + 1 + j]
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : j + m]
     rolled = mix64(rolled)
     sets = []
     for i, k in enumerate(n):

@@ -156,6 +156,13 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert cover(a) == cover(b) == {(d, p) for d, (_, t) in enumerate(rows) for p in range(len(t) - length + 1)}
 
 
+@pytest.mark.parametrize("text", ["a b c", "a", "a b c d e"])
+def test_a_single_short_document(spark, text):
+    assert [len(x) for x in minhash.shingles([text.encode()])] == [1, 2]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()] == [(1, 1, True)]
+
+
 def test_chains_and_alignment():
     rng = random.Random(2)
 
