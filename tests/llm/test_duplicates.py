@@ -205,3 +205,14 @@ def test_passages(spark):
     one = got[(1, 0)]
     assert abs(one.start - 20) <= 3 and abs(one.end - 100) <= 3 and one.similarity >= 0.75 and got[(9, 2)].similarity == 1
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passage_whose_pieces_are_in_earlier_documents(spark):
+    rng = random.Random(8)
+    p = words(rng, 60)
+    docs = {1: words(rng, 60) + p[:45], 2: p[15:] + words(rng, 60), 3: p[:45] + words(rng, 60), 4: words(rng, 60) + p[15:], 5: words(rng, 30) + p, 9: p + words(rng, 40)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
+    got = [(r.doc_id, r.source_id, r.start, r.end, r.source_start, r.source_end) for r in repeated_passages(df).collect()]
+    assert got == [(9, 5, 0, 60, 30, 90)]
+    again = spark.createDataFrame([(1, " ".join(p[:30] + words(rng, 60) + p)), (2, " ".join(p))], "doc_id long, text string")
+    assert [(r.doc_id, r.source_id, r.source_start, r.source_end) for r in repeated_passages(again).collect()] == [(2, 1, 90, 150)]
