@@ -216,3 +216,18 @@ def test_passage_whose_pieces_are_in_earlier_documents(spark):
     assert got == [(9, 5, 0, 60, 30, 90)]
     again = spark.createDataFrame([(1, " ".join(p[:30] + words(rng, 60) + p)), (2, " ".join(p))], "doc_id long, text string")
     assert [(r.doc_id, r.source_id, r.source_start, r.source_end) for r in repeated_passages(again).collect()] == [(2, 1, 90, 150)]
+
+
+def test_passages_of_many_changes(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        p = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        q = list(p)
+        for i in rng.sample(range(60), 9):
+            q[i] = f"x{rng.randrange(10**6)}"
+        noise = [[f"n{rng.randrange(10**6)}" for _ in range(50)] for _ in range(4)]
+        rows += [(2 * k, " ".join(noise[0] + p + noise[1])), (2 * k + 1, " ".join(noise[2] + q + noise[3]))]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.source_id == r.doc_id - 1 and r.end - r.start >= 50 and r.similarity >= 0.75 for r in got)
+    assert len({r.doc_id for r in got}) >= 36
