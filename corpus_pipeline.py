@@ -36,7 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Texts without words stay, and rows with a null id."""
+    """One document of each group of near-duplicates: the one with the smallest id. Texts without words stay, and rows with a null id.
+
+    Ids should be unique: rows are removed by id, so rows that share the kept id all stay, even with equal texts."""
     gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
     keyed = docs.select(F.xxhash64("doc_id").alias("key"), *COLUMNS)
     known = BitFilter(gone.select(F.xxhash64("doc_id").alias("key")), DOC_BITS)
