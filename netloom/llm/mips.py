@@ -159,8 +159,10 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
             yield pa.RecordBatch.from_arrays([pa.array([q.books.astype("<f8").tobytes()], pa.binary()), pa.array([q.weight])], names=["b", "w"])
 
     share = min(1.0, sample / max(n, 1))
-    h = F.xxhash64("vec")
+    h = F.xxhash64("id", "vec")
     chosen = rows.where(F.pmod(h, F.lit(1 << 30)) <= share * (1 << 30)).select(h.alias("h"), "vec").limit(2 * sample)
+    if not chosen.head(1):  # few different rows, none of which the hash takes
+        chosen = rows.select(h.alias("h"), "vec").limit(sample)
     found = chosen.repartition(1).mapInArrow(learn, "b binary, w double").collect()
     names = ["query_id", "rank", id_col, "score"]
     if not found or not n_queries:

@@ -58,6 +58,15 @@ def test_search_of_a_hot_family_and_exact_copies(spark):
         assert [i for _, i in sorted(v)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
 
 
+def test_search_of_few_distinct_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(2, 16))
+    df = vectors(spark, x[np.arange(600) % 2])
+    for sample in (8, 1):
+        rows = search(df.where("vec_id < 2"), df, k=5, sample=sample).collect()
+        got = {q: [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in (0, 1)}
+        assert got == {0: [2, 4, 6, 8, 10], 1: [3, 5, 7, 9, 11]}
+
+
 def test_anisotropic_codes_keep_the_parallel_part():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 64))
