@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import small_batches, steps
+from netloom.llm.common import text_steps
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces after each of which a pre-token ends, whatever surrounds them.
@@ -36,8 +36,8 @@ CLASSES = (regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"[^\
 
 #: Characters in a leaf, and in the first window to each side of a join.
 LEAF, WINDOW = 16_384, 64
-#: Distinct words that one worker remembers.
-MEMO = 400_000
+#: Distinct words that one worker remembers, and their characters; longer words than so many are soon forgotten.
+MEMO, MEMO_CHARS, LONG = 400_000, 1 << 24, 64
 
 
 def _class(c: str) -> int:
@@ -50,10 +50,12 @@ class Memo(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.chars += len(word)
         return n
 
 
@@ -84,13 +86,15 @@ class Codec:
         self.used = 0
 
     def _shrink(self) -> None:
-        """Keeps the words used most, at most half of what is allowed, and none used only once."""
-        uses = self.uses[: len(self.memo)]
-        least = max(2, int(np.partition(uses, -self.most // 2)[-self.most // 2]) + 1)
-        kept = np.flatnonzero(uses >= least)
-        words, old = list(self.memo), (self.flat, self.start[kept], self.count[kept], uses[kept])
+        """Keeps the words used most, at most half of what is allowed, and none that is long or used only once."""
+        words, uses = list(self.memo), self.uses[: len(self.memo)]
+        half = min(self.most // 2, len(uses))
+        least = max(2, int(np.partition(uses, -half)[-half]) + (half < len(uses)))
+        kept = np.flatnonzero((uses >= least) & (np.fromiter(map(len, words), np.int64, len(words)) <= LONG))
+        old = self.flat, self.start[kept], self.count[kept], uses[kept]
         self._forget()
         self.memo.update((words[i], n) for n, i in enumerate(kept.tolist()))
+        self.memo.chars = sum(map(len, self.memo))
         ends = np.cumsum(old[2])
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(old[1] - (ends - old[2]), old[2])
         self._store(np.arange(len(kept)), old[0][at], old[2])
@@ -145,7 +149,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and bounds: text i has ids ``bounds[i]:bounds[i+1]``."""
-        if len(self.memo) > self.most:
+        if len(self.memo) > self.most or self.memo.chars > MEMO_CHARS:
             self._shrink()
         look = self.memo.__getitem__
         numbers, n_words = [], []
@@ -234,16 +238,14 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     ``tokenizer`` is the path of a ``tokenizers`` file. Whole texts are encoded; a null or empty text has no ids and
     decodes to the empty string; ids may be null or repeated; other columns are not read. No shuffle: rows stay where
     they are read, and a long text's leaves are encoded as one batch."""
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in steps(texts):
-                ids, bounds = c.encode(texts[a:b])
-                out = [keys.slice(a, b - a), id_lists(ids, bounds)]
+            for a, b, texts in text_steps(batch.column(1)):
+                ids, bounds = c.encode([t.decode() for t in texts])
+                out = [batch.column(0).slice(a, b - a), id_lists(ids, bounds)]
                 if decode:
                     flat = ids.tolist()
                     out.append(pa.array([c.decode(flat[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)], pa.string()))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, local runs).
+#: Used only by local sessions that name no shared folder (tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/netloom"
 
 #: Bits of a filter for documents: 1 MB.
@@ -21,9 +23,11 @@ STEP_CHARS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a cluster must name one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = LOCAL_CHECKPOINTS
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -31,14 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder. What is left there when the driver ends is deleted."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to reliable storage and returns it with its lineage cut.
 
-    Spark's cleaner removes the files once the returned frame is garbage."""
+    Spark deletes the files once the returned frame is garbage if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; they are small."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -47,18 +54,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a batch that goes to Python, unless the session says otherwise: whole texts may be long.
-BATCH_ROWS = 1_000
-
-
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Bounds what a worker, and the JVM for it, holds of texts at a time; a session that has its own bound keeps it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,16 +63,28 @@ def crc_mod(id_col: str, mod: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
 
 
-def steps(texts: list, chars: int = STEP_CHARS):
+def spans_of(sizes, most: int) -> Iterator[tuple[int, int]]:
+    """Slices (start, end) whose sizes add up to about ``most``; none is empty."""
+    start = size = i = 0
+    for i, n in enumerate(sizes, 1):
+        size += n
+        if size >= most:
+            yield start, i
+            start, size = i, 0
+    if start < i:
+        yield start, i
+
+
+def steps(texts: list, chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Slices (start, end) of a list of texts holding about ``chars`` characters each; no text is cut."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    yield from spans_of(map(len, texts), chars)
+
+
+def text_steps(column: pa.Array, chars: int = STEP_CHARS) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, texts in UTF-8, nulls as empty) of a column: whatever the size of a batch, Python holds about ``chars`` bytes of texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in spans_of(sizes, chars):
+        yield a, b, [t or b"" for t in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -173,19 +180,19 @@ class BitFilter:
         at = h.view(np.uint64) & self.mask
         return (self.shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-
-def passed(rows: DataFrame, known: BitFilter, wanted: bool) -> DataFrame:
-    """The rows whose key, the first column, may be (or isn't) in the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(self, batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        """The rows whose key, the first column, may be (or isn't) in it."""
         for batch in batches:
-            yield batch.filter(pa.array(known.has(batch.column(0).to_numpy()) == wanted))
+            yield batch.filter(pa.array(self.has(batch.column(0).to_numpy()) == wanted))
 
-    return rows.mapInArrow(run, rows.schema)
+    def free(self) -> None:
+        """Lets all workers forget it. Only when what used it is written, so that no task can run again."""
+        self.shared.destroy()
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode() for t in column.to_pylist()]
+def passed(rows: DataFrame, known: BitFilter, wanted: bool) -> DataFrame:
+    """The rows whose key, the first column, may be (or isn't) in the filter."""
+    return rows.mapInArrow(lambda batches: known.passing(batches, wanted), rows.schema)
 
 
 #: Low bits of a value that hold its index in ``first_smallest``: more than a step has values.

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import small_batches, steps
+from netloom.llm.common import steps, text_steps
 
 #: n-grams of 1 to 3 characters, hashed to so many places.
 ORDERS, PLACES = (1, 2, 3), 1 << 15
@@ -109,7 +109,6 @@ def fit_language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Document frequencies are counted over all of these rows, summed where they lie and then by place. The
     weights are fitted by one task on at most about ``sample`` documents, evenly over the languages, whose
     hashed ids are smallest; a limit of twice that guards it."""
-    small_batches(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
     by_lang = {r["y"]: r["count"] for r in df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("y")).count().collect()}
     if not by_lang:
@@ -118,9 +117,8 @@ def fit_language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PLACES, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in steps(texts):
-                for c in _counts(texts[a:b]):
+            for *_, texts in text_steps(batch.column(0)):
+                for c in _counts([t.decode() for t in texts]):
                     total += c > 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
@@ -152,16 +150,16 @@ def predict_language(df: DataFrame, model: LanguageModel | None, id_col: str = "
     empty or has no letter, or if there is no model.
 
     Whole texts, no shuffle; the model (1 MB for four languages) is broadcast. Ids may be null or repeated; other columns are not read."""
-    shared = small_batches(df.sparkSession).sparkContext.broadcast(model and (model.languages, model.idf, np.ascontiguousarray(model.weights, np.float64), model.bias, model.temperature))
+    shared = df.sparkSession.sparkContext.broadcast(model and (model.languages, model.idf, np.ascontiguousarray(model.weights, np.float64), model.bias, model.temperature))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for a, b in steps(texts):
-                for i, c in zip(range(a, b), _counts(texts[a:b]) if m else (), strict=False):
-                    if LETTER.search(texts[i]):
+            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            for a, b, raw in text_steps(batch.column(1)) if m else ():
+                texts = [t.decode() for t in raw]
+                for i, text, c in zip(range(a, b), texts, _counts(texts), strict=True):
+                    if LETTER.search(text):
                         at, x = _vector(c, m[1])
                         s = (x @ m[2][at] + m[3]) / m[4]
                         p = np.exp(s - s.max())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import DOC_BITS, BitFilter, cut, discard, mix64, passed, release, small_batches, steps, stored, word_hashes
+from netloom.llm.common import DOC_BITS, BitFilter, cut, discard, mix64, release, stored, text_steps, word_hashes
 from netloom.llm.components import connected_components
 
 WORDS = 5
@@ -78,9 +78,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, text -> key, size, two hashes of the set, bands; the last null for an empty set."""
     for batch in batches:
-        keys, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for a, b in steps(texts):
-            flat, bounds = shingles(texts[a:b])
+        keys = batch.column(0)
+        for a, b, texts in text_steps(batch.column(1)):
+            flat, bounds = shingles(texts)
             size = np.diff(bounds)
             full = np.flatnonzero(size)
             sums, more = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
@@ -99,11 +99,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-        for a, b in steps(texts):
-            flat, bounds = shingles(texts[a:b])
+def _sets(batches: Iterator[pa.RecordBatch], known: BitFilter) -> Iterator[pa.RecordBatch]:
+    """key, id, text -> id, set, of the rows whose key may be known."""
+    for batch in known.passing(batches, True):
+        keys = batch.column(1)
+        for a, b, texts in text_steps(batch.column(2)):
+            flat, bounds = shingles(texts)
             yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))], names=["id", "s"])
 
 
@@ -211,7 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError("percent must be from 75 to 100: the bands are made for that")
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    spark = small_batches(df.sparkSession)
+    spark = df.sparkSession
     described, _ = stored(texts.mapInArrow(_describe, f"id {kind}, n long, h1 long, h2 long, bands array<long>"), "signatures")
     classes = described.where("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     # The row of the class's smallest id speaks for it; repeated rows say the same again.
@@ -226,8 +227,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(spark, p2, p6)
     release(spark)
     wanted = candidates.select("id").distinct()
-    keyed = passed(texts.where("id is not null").select(F.xxhash64("id").alias("key"), "id", "t"), BitFilter(wanted.select(F.xxhash64("id").alias("key")), DOC_BITS), True)
-    sets, p4 = stored(keyed.select("id", "t").mapInArrow(_sets, f"id {kind}, s array<long>").join(wanted, "id", "left_semi"), "sets")
+    keyed = texts.where("id is not null").select(F.xxhash64("id").alias("key"), "id", "t")
+    known = BitFilter(wanted.select(F.xxhash64("id").alias("key")), DOC_BITS)
+    sets, p4 = stored(keyed.mapInArrow(lambda batches: _sets(batches, known), f"id {kind}, s array<long>").join(wanted, "id", "left_semi"), "sets")
+    known.free()
     release(spark)
 
     first = candidates.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE, BASE_INV, mix64, powers, small_batches, steps
+from netloom.llm.common import BASE, BASE_INV, mix64, powers, text_steps
 
 #: A word's features: its first 3 to 6 bytes and the whole word, hashed to this many bits.
 PREFIXES, BITS = (3, 4, 5, 6), 18
@@ -120,7 +120,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The sample is those ids whose hashes are smallest, by a threshold from the labels' counts. A limit of four times the bound guards
     it, so that it may be broadcast to the texts, which aren't shuffled. One task fits the model. Without labels or texts the model scores 0."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts:
@@ -144,15 +143,15 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
     ``offending`` or more as (start, end, score), in bytes of the UTF-8 text. Null and empty texts and texts without a word score 0.
 
     Whole texts, no shuffle; the model, 1 MB, is broadcast. Ids may be null or repeated; other columns are not read."""
-    shared = small_batches(df.sparkSession).sparkContext.broadcast((model.weights, model.bias))
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         for batch in batches:
-            keys, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in steps(texts):
-                s = split_sentences(texts[a:b])
+            keys = batch.column(0)
+            for a, b, texts in text_steps(batch.column(1)):
+                s = split_sentences(texts)
                 p = _sentence_p(s, w, bias)
                 doc = _doc_p(p, s.doc, b - a)
                 hit = np.flatnonzero(p >= offending)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from netloom.llm import minhash
+from netloom.llm import minhash, suffixes
 from netloom.llm.chains import aligned_words, best_chains, repeated_passages
 from netloom.llm.components import connected_components
 from netloom.llm.minhash import near_duplicates
@@ -122,9 +122,11 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_repeats_equal_brute_force(spark, seed):
-    rng, length = random.Random(seed), 100
+@pytest.mark.parametrize("crowd", [4096, 2, 0])
+def test_repeats_equal_brute_force(spark, crowd, monkeypatch):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "SORTED", 20_000)
+    rng, length = random.Random(1), 100
     shared = [" ".join(words(rng, 40)) for _ in range(3)]
     rows = []
     for i in range(40):
@@ -143,9 +145,19 @@ def test_repeats_equal_brute_force(spark, seed):
     assert remove_repeats(df.limit(0), length=length).count() == 0
 
 
-def test_long_text_in_pieces(spark, monkeypatch):
-    from netloom.llm import suffixes
+def test_radix_equals_brute_force():
+    from collections import Counter
 
+    rng = random.Random(1)
+    raw = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
+    start, group = np.array([rng.randrange(2900) for _ in range(600)]), np.array([rng.randrange(3) for _ in range(600)])
+    for length in (8, 9, 13, 24):
+        windows = [(g, raw[s : s + length].tobytes()) for g, s in zip(group, start)]
+        seen = Counter(windows)
+        assert suffixes.radix(raw, start, group, length).tolist() == [seen[w] > 1 for w in windows]
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
     rng, length = random.Random(9), 100
     text = " ".join(words(rng, 900))
     rows = [(1, text + text[500:900]), (2, text[2000:2400])]
