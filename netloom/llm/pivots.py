@@ -25,7 +25,7 @@ PER_PIVOT, LEAST, MOST, DRAWN = 16, 32, 8_192, 4
 #: Pivots of a greater cosine with one another aren't taken, so that a dense family doesn't hold most of them.
 APART = 0.8
 #: Rows of a block. A longer list is dealt out in blocks, and pairs of blocks are compared, so many rows at a time with the other block.
-BLOCK, STRIP = 4_096, 256
+BLOCK, STRIP = 1_024, 256
 #: Columns by which shared pivots are counted at once.
 COLUMNS = 512
 

@@ -26,7 +26,7 @@ from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut
 
 LENGTH, GRAM = 200, 40
 #: Bytes of a digit; kinds of surroundings of an anchor that one task sorts, and bytes of them that it sorts at a time.
-DIGIT, CROWD, SORTED = 8, 4_096, 1_500_000
+DIGIT, CROWD, SORTED = 8, 512, 1_500_000
 #: Neighbouring windows in a block.
 BLOCK = 16
 #: Longer texts are looked at in pieces of so many bytes, which overlap by a window.

@@ -122,7 +122,7 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [4096, 2, 0])
+@pytest.mark.parametrize("crowd", [512, 2])
 def test_repeats_equal_brute_force(spark, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     monkeypatch.setattr(suffixes, "SORTED", 20_000)
