@@ -3,30 +3,15 @@
 from __future__ import annotations
 
 import argparse
-import ipaddress
 import os
 import shutil
 import sys
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
-
-
-def address_tokens(args: list[str]) -> Iterator[str]:
-    """Addresses of tokens: an address, a CIDR, ``a-b`` or ``a,b``, or a file of such tokens, one a line."""
-    for token in args:
-        if os.path.isfile(token):
-            with open(token) as f:
-                yield from address_tokens([line.strip() for line in f if line.strip()])
-            continue
-        if "/" in token:
-            yield from map(str, ipaddress.ip_network(token, strict=False))
-        elif "-" in token or "," in token:
-            a, b = map(ipaddress.ip_address, token.replace(",", "-").split("-"))
-            yield from (str(type(a)(i)) for i in range(int(a), int(b) + 1))
-        else:
-            yield token
+from pyspark.sql import functions as F
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("-f", "--fields")
     for flag in ("fields-from-header", "range-multicol", "joinkey-col", "no-fields", "no-network", "ignore-empty-values", "disallow-reserved", "alias-6to4"):
         i.add_argument(f"--{flag}", action="store_true")
-    i.add_argument("--disable-metadata-pointers", action="store_true", default=True)
+    i.add_argument("--disable-metadata-pointers", nargs="?", const=True, default=True, type=lambda x: x.lower() not in ("0", "f", "false"))
     e = s.add_parser("export")
     e.add_argument("paths", nargs="+")
     e.add_argument("-o", "--out", default="")
@@ -63,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--data-types", action="store_true")
     v = s.add_parser("verify")
     v.add_argument("path", nargs="?")
+    for c in (i, e, r, d, m, v):
+        c.add_argument("--nocolor", action="store_true")
     return p
 
 
@@ -74,32 +61,54 @@ def _needed(path: str | None) -> str:
     return path
 
 
-def run(spark: SparkSession, argv: list[str]) -> Iterator[str]:
+@contextmanager
+def _readable(spark: SparkSession, source: str, format: str) -> Iterator[str]:
+    """A path that executors can read: standard input goes to the shared folder for as long as it is needed."""
+    if source not in ("", "-"):
+        yield source
+        return
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or None
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("standard input needs spark.checkpoint.dir, a folder that driver and executors share")
+    folder = tempfile.mkdtemp(dir=named and named.removeprefix("file://"))
+    try:
+        with open(os.path.join(folder, f"stdin.{format}"), "w") as f:
+            shutil.copyfileobj(sys.stdin, f)
+        yield f.name
+    finally:
+        shutil.rmtree(folder)
+
+
+def _warn(text: str) -> None:
+    print(text, file=sys.stderr)
+
+
+def run(spark: SparkSession, argv: list[str], colour: bool = False) -> Iterator[str]:
     """The lines that a command prints."""
 
-    from netloom.functions.ipv6 import address_bits, prefix_text
+    from netloom.functions.ipv6 import prefix_text
     from netloom.operators import diff
-    from netloom.operators.lookup import lookup
+    from netloom.operators.lookup import lookup, misses, present_lengths, resolve_aliases
+    from netloom.plans.asking import addresses
     from netloom.plans.exporting import export_lines, lookup_lines
     from netloom.plans.importing import import_database
     from netloom.plans.metadata import metadata_text, read_metadata, verdict
-    from netloom.sources.mmdb import read_mmdb, write_mmdb
+    from netloom.sources.mmdb import is_aliased, read_mmdb, write_mmdb
     from netloom.sources.options import ImportOptions, export_format, read_format
 
     a = parser().parse_args(argv)
     if a.command == "import":
         source, out = a.paths[:2] if len(a.paths) > 1 else (a.source, a.out)
         kinds = [k for k in ("csv", "tsv", "json") if getattr(a, k)]
-        o = ImportOptions(",".join(kinds) or None, a.ip, a.size, a.merge, a.fields.split(",") if a.fields else None, a.fields_from_header, a.range_multicol, a.joinkey_col, a.no_fields, a.no_network, a.ignore_empty_values, disallow_reserved=a.disallow_reserved, alias_6to4=a.alias_6to4)
-        o.checked(source)
-        if source in ("", "-"):
-            with tempfile.NamedTemporaryFile("w", suffix=f".{o.format}", delete=False) as f:
-                shutil.copyfileobj(sys.stdin, f)
-            source = f.name
-        db = import_database(spark, source, o, json_lines=False)
-        write_mmdb(db.networks(), out, o.ip_version, o.record_size)
-        for r in db.rejects.toLocalIterator():
-            print(f"warn: couldn't insert {r['network']}: {r['reason']}", file=sys.stderr)
+        o = ImportOptions(
+            ",".join(kinds) or None, a.ip, a.size, a.merge, a.fields.split(",") if a.fields else None, a.fields_from_header, a.range_multicol, a.joinkey_col, a.no_fields, a.no_network,
+            a.ignore_empty_values, disallow_reserved=a.disallow_reserved, alias_6to4=a.alias_6to4, disable_metadata_pointers=a.disable_metadata_pointers,
+        ).checked(source)
+        with _readable(spark, source, o.format) as path:
+            db = import_database(spark, path, o, json_lines=False)
+            write_mmdb(db.networks(), out, o.ip_version, o.record_size, aliases=o.alias_6to4, metadata_pointers=not o.disable_metadata_pointers)
+            for r in db.rejects.toLocalIterator():
+                _warn(f"warn: couldn't insert {r['network']}: {r['reason']}")
         yield f"writing to {out} ({db.entries} entries)"
     elif a.command == "export":
         kind = export_format(a.out or (a.paths[1] if len(a.paths) > 1 else None), a.format)
@@ -117,9 +126,20 @@ def run(spark: SparkSession, argv: list[str]) -> Iterator[str]:
             raise ValueError("addresses and an mmdb file required")
         kind, networks = read_format(a.format), read_mmdb(spark, _needed(path))
         width = 32 if read_metadata(path)["ip"] == 4 else 128
-        rows = [(i, ip, address_bits(ip, width)) for i, ip in enumerate(address_tokens(asked))]
-        probes = spark.createDataFrame(rows, "pos long, ip string, bits string").where("bits is not null")
-        yield from (r["line"] for r in lookup_lines(lookup(probes, networks, width, True), kind).toLocalIterator())
+        asked = addresses(spark, asked, width)
+        probes = asked.where("bits is not null")
+        if width == 128 and is_aliased(path):
+            probes = probes.withColumn("bits", resolve_aliases(F.col("bits")))
+        probes, networks = probes.persist(), networks.where("record is not null").persist()
+        lengths = present_lengths(networks, width)
+        if kind.startswith("json"):
+            for r in asked.where("bits is null").orderBy("pos").toLocalIterator():
+                _warn(f"err: invalid IP address {r['ip']}")
+            for r in misses(probes, networks, width, lengths).orderBy("pos").toLocalIterator():
+                _warn(f"err: couldn't get data for {r['ip']}")
+        yield from (r["line"] for r in lookup_lines(lookup(probes, networks, width, True, lengths), kind).toLocalIterator())
+        probes.unpersist()
+        networks.unpersist()
     elif a.command == "diff":
         if len(a.paths) != 2:
             raise ValueError("two input mmdb files required")
@@ -130,24 +150,25 @@ def run(spark: SparkSession, argv: list[str]) -> Iterator[str]:
         old, new = (read_mmdb(spark, p, empty=True) for p in a.paths)
         subnets, records = diff.subnet_changes(new, old, width), diff.record_changes(new, old, width)
         if a.subnets or not a.records:
-            rows = subnets.collect()
-            yield from (f"{prefix_text(r['other'], width)} -> {prefix_text(r['prefix'], width)}" for r in rows)
-            yield f"{len(rows)} subnets modified"
+            n = 0
+            for n, r in enumerate(subnets.toLocalIterator(), 1):
+                yield f"{prefix_text(r['other'], width)} -> {prefix_text(r['prefix'], width)}"
+            yield f"{n} subnets modified"
         if a.records or not a.subnets:
-            rows = records.collect()
-            for r in rows:
+            n = 0
+            for n, r in enumerate(records.toLocalIterator(), 1):
                 yield f"{prefix_text(r['prefix'], width)}\n-{r['old_record']}\n+{r['new_record']}"
-            yield f"{len(rows)} records modified"
+            yield f"{n} records modified"
     elif a.command == "metadata":
-        yield metadata_text(read_metadata(_needed(a.path), a.data_types), a.format == "json")
+        yield metadata_text(read_metadata(_needed(a.path), a.data_types), a.format == "json", colour and not a.nocolor)
     else:
         yield verdict(_needed(a.path))
 
 
 def main() -> int:
-    spark = SparkSession.builder.appName("netloom").getOrCreate()
+    spark = SparkSession.builder.appName("netloom").config("spark.sql.python.filterPushdown.enabled", "true").getOrCreate()
     try:
-        for line in run(spark, sys.argv[1:]):
+        for line in run(spark, sys.argv[1:], sys.stdout.isatty()):
             print(line)
     except ValueError as e:
         print(f"err: {e}", file=sys.stderr)

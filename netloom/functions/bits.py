@@ -7,7 +7,7 @@ plain string functions that Catalyst knows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 V4, V6 = 32, 128
@@ -88,6 +88,24 @@ def range_prefixes(start: Column | str, end: Column | str, width: int = V4) -> C
     return F.when(_c(start).isNotNull() & _c(end).isNotNull(), let(let(with_common, stems), parts))
 
 
+def range_blocks(df: DataFrame, start: str, end: str, width: int = V4) -> DataFrame:
+    """One row, with ``prefix``, for each of the fewest prefixes that cover exactly the addresses from ``start`` to ``end`` of a row; none if end < start.
+
+    For 32 digits by arithmetic: with l = start - 1 and r = end + 1, level k of the tree gives the right sibling of l >> k if that is even, and the
+    left one of r >> k if that is odd, as long as they aren't neighbours."""
+    if width >= 63:
+        return df.withColumn("prefix", F.explode(range_prefixes(start, end, width)))
+    levels = F.length(F.bin(F.greatest(F.col("_r") - F.col("_l"), F.lit(1))))
+    ends = df.withColumn("_l", int_from_bits(start) - 1).withColumn("_r", int_from_bits(end) + 1).where("_r - _l > 1")
+    each = ends.withColumn("_t", F.explode(F.sequence(F.lit(0), 2 * levels + 1)))
+    each = each.withColumn("_k", F.shiftright("_t", 1)).withColumn("_lk", F.expr("shiftright(_l, _k)")).withColumn("_rk", F.expr("shiftright(_r, _k)"))
+    left, odd = F.col("_t") % 2 == 0, lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    taken = each.where((F.col("_rk") - F.col("_lk") > 1) & F.when(left, ~odd("_lk")).otherwise(odd("_rk")))
+    node = F.when(left, F.col("_lk") + 1).otherwise(F.col("_rk") - 1)
+    prefix = F.when(F.col("_k") < width, F.lpad(F.bin(node), width - F.col("_k"), F.lit("0"))).otherwise("")
+    return taken.withColumn("prefix", prefix).drop("_l", "_r", "_t", "_k", "_lk", "_rk")
+
+
 def text_from_bits_v4(bits: Column | str) -> Column:
     """32 digits -> dotted quad."""
     b = _c(bits)

@@ -69,12 +69,22 @@ def _human(x: Column | str, units: list[tuple[float, str]]) -> Column:
     return out.otherwise("")
 
 
+#: Least numbers and their units.
+SIZE_UNITS = [(2**40, "TB"), (2**30, "GB"), (2**20, "MB"), (2**10, "KB")]
+COUNT_UNITS = [(10**12, "T"), (10**9, "G"), (10**6, "M"), (10**3, "K")]
+
+
+def human(n: int, units: list[tuple[int, str]]) -> str:
+    """The same for one number."""
+    return next((f"({n / least:.2f} {unit})" for least, unit in units if n >= least), "")
+
+
 def human_size(x: Column | str) -> Column:
-    return _human(x, [(2**40, "TB"), (2**30, "GB"), (2**20, "MB"), (2**10, "KB")])
+    return _human(x, SIZE_UNITS)
 
 
 def human_count(x: Column | str) -> Column:
-    return _human(x, [(10**12, "T"), (10**9, "G"), (10**6, "M"), (10**3, "K")])
+    return _human(x, COUNT_UNITS)
 
 
 # -- records of any JSON type, as canonical JSON text ---------------------------------------------
@@ -154,10 +164,6 @@ def text_record(record) -> Column:
     return _vectorised("map<string,string>", lambda r: {k: text_value(v) for k, v in json.loads(r).items()}, record)
 
 
-def canonical_json(record) -> Column:
-    return _vectorised("string", lambda r: canonical(json.loads(r)), record)
-
-
 def merged_json(records) -> Column:
     """A list of JSON objects in order of insertion -> their recursive merge."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.bits import V4, V6
@@ -15,34 +15,58 @@ def present_lengths(networks: DataFrame, width: int = V4) -> list[int]:
     return sorted(r[0] for r in networks.select(F.length("prefix")).distinct().collect() if r[0] is not None and r[0] <= width)
 
 
+def key_of(prefix: Column, width: int) -> Column:
+    """What stands for a prefix in joins: up to 62 digits a number, the digits after a leading 1; else the prefix itself."""
+    return F.conv(F.concat(F.lit("1"), prefix), 2, 10).cast("long") if width < 63 else prefix
+
+
+def _asked(probes: DataFrame, width: int, lengths: list[int]) -> DataFrame:
+    """Each probe once for each length, with ``_key`` and ``_n``, the length."""
+    if width < 63:
+        whole = probes.withColumn("_whole", key_of(F.col("bits"), width))
+        keys = [F.struct(F.lit(n).alias("n"), F.shiftright("_whole", width - n).alias("k")) for n in lengths]
+    else:
+        whole = probes.withColumn("_whole", F.lit(0))
+        keys = [F.struct(F.lit(n).alias("n"), F.col("bits").substr(1, n).alias("k")) for n in lengths]
+    return whole.withColumn("_x", F.explode(F.array(*keys))).select(*(F.col(c) for c in probes.columns), F.col("_x.k").alias("_key"), F.col("_x.n").alias("_n"))
+
+
 def covering(probes: DataFrame, networks: DataFrame, width: int = V4, how: str = "inner", lengths: Iterable[int] | None = None) -> DataFrame:
     """Every (probe, network) such that the network's ``prefix`` starts the probe's ``bits``.
 
-    Each probe is asked once for each length that occurs, or for each of ``lengths`` if given, which spares computing the networks twice. The join is on equal strings, so Spark broadcasts the networks if they are small,
-    and else shuffles by prefix and splits prefixes that many probes share."""
+    Each probe is asked once for each length that occurs, or for each of ``lengths`` if given, which spares computing the networks twice. The join is on equal keys, so Spark broadcasts the networks if they are small,
+    and else shuffles by key and splits prefixes that many probes share. With ``how="left"`` a probe has a row for each length."""
     lengths = list(present_lengths(networks, width) if lengths is None else lengths) or [0]
-    keys = F.transform(F.array(*map(F.lit, lengths)), lambda n: F.col("bits").substr(F.lit(1), n))
-    asked = probes.withColumn("prefix", F.explode(keys))
-    return asked.join(networks, "prefix", how)
+    keyed = networks.where(F.length("prefix") <= width).withColumn("_key", key_of(F.col("prefix"), width))
+    return _asked(probes, width, lengths).join(keyed, "_key", how).drop("_key", "_n")
 
 
 def lookup(probes: DataFrame, networks: DataFrame, width: int = V4, disjoint: bool = False, lengths: Iterable[int] | None = None) -> DataFrame:
     """The longest network containing each probe: the probe's columns and the network's. Probes without one are dropped.
 
     ``probes`` has ``bits`` and a unique ``pos``; ``networks`` has ``prefix``, unique unless ``seq`` breaks ties (the greatest wins). If
-    the networks are ``disjoint`` a probe meets one at most, and no aggregation is needed."""
-    met = covering(probes, networks, width, lengths=lengths)
+    the networks are ``disjoint`` a probe meets one at most, and no aggregation is needed; else the probes' hits, bare lengths,
+    are aggregated where they are found, and the networks are joined to the longest."""
     if disjoint:
-        return met
-    rank = F.struct(F.length("prefix").alias("plen"), *([F.col("seq")] if "seq" in networks.columns else []))
-    rest = [c for c in met.columns if c != "pos"]
-    return met.groupBy("pos").agg(F.max_by(F.struct(*rest), rank).alias("m")).select("pos", "m.*")
-
-
-def misses(probes: DataFrame, networks: DataFrame, width: int = V4) -> DataFrame:
-    """The probes that no network contains."""
-    hit = covering(probes.select("pos", "bits"), networks.select("prefix"), width, "left_semi").select("pos")
-    return probes.join(hit, "pos", "left_anti")
+        return covering(probes, networks, width, lengths=lengths)
+    lengths = list(present_lengths(networks, width) if lengths is None else lengths) or [0]
+    keyed = networks.where(F.length("prefix") <= width).withColumn("_key", key_of(F.col("prefix"), width))
+    hits = _asked(probes, width, lengths).join(keyed.select("_key"), "_key", "left_semi")
+    longest = hits.groupBy(*probes.columns).agg(F.max("_n").alias("_n"))
+    if width < 63:
+        longest = longest.withColumn("_key", F.expr(f"shiftright({1 << width} + conv(bits, 2, 10), {width} - _n)"))
+    else:
+        longest = longest.withColumn("_key", F.col("bits").substr(F.lit(1), F.col("_n")))
+    if "seq" in networks.columns:
+        rest = [c for c in networks.columns if c != "prefix"]
+        keyed = keyed.groupBy("_key", "prefix").agg(F.max_by(F.struct(*rest), "seq").alias("_r")).select("_key", "prefix", "_r.*").select("_key", *networks.columns)
+    return longest.join(keyed, "_key").drop("_key", "_n")
+
+
+def misses(probes: DataFrame, networks: DataFrame, width: int = V4, lengths: Iterable[int] | None = None) -> DataFrame:
+    """The probes that no network contains: ``pos`` is unique."""
+    met = covering(probes, networks.select("prefix"), width, "left", lengths)
+    return met.groupBy(*probes.columns).agg(F.count("prefix").alias("_hits")).where("_hits = 0").drop("_hits")
 
 
 #: Prefixes under which an IPv6 tree also offers its IPv4 networks, with the place of the IPv4 address in the rest: fixed by the formats.

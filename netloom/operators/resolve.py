@@ -7,83 +7,73 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.functions.bits import V4, first_address, last_address, predecessor, range_prefixes, successor
+from netloom.functions.bits import V4, first_address, last_address, predecessor, range_blocks, successor
 from netloom.functions.values import merged_json
+from netloom.operators.buckets import DIGITS, bucket_of, bucket_starts
 from netloom.operators.lookup import covering
 
-#: Leading digits by which leaves are dealt out; wider runs meet in a second pass over at most 2**BUCKET rows.
-BUCKET = 12
-
 
 def explode_ranges(rows: DataFrame, start: str, end: str, width: int = V4) -> DataFrame:
     """Rows of inclusive address ranges -> one row for each prefix of the range."""
-    return rows.withColumn("prefix", F.explode(range_prefixes(start, end, width)))
+    return range_blocks(rows, start, end, width)
 
 
-def cut_points(blocks: DataFrame, width: int = V4, bucket: int = BUCKET) -> DataFrame:
+def cut_points(blocks: DataFrame, width: int = V4, bucket: int = DIGITS) -> DataFrame:
     """The addresses at which the covering set can change, and each bucket's first."""
-    spark = blocks.sparkSession
     starts = blocks.select(first_address("prefix", width).alias("bits"))
     after = blocks.select(successor(last_address("prefix", width), width).alias("bits")).where("bits is not null")
-    forced = spark.range(1 << bucket).select(F.rpad(F.lpad(F.bin("id"), bucket, "0"), width, "0").alias("bits"))
-    return starts.union(after).union(forced).distinct()
+    return starts.union(after).union(bucket_starts(blocks.sparkSession, width, bucket)).distinct()
 
 
-def winners(blocks: DataFrame, width: int = V4, bucket: int = BUCKET, lengths: Iterable[int] | None = None) -> DataFrame:
+def winners(blocks: DataFrame, width: int = V4, bucket: int = DIGITS, lengths: Iterable[int] | None = None) -> DataFrame:
     """Each cut point with the last inserted block over it: bits, seq (null where nothing lies)."""
     points = cut_points(blocks, width, bucket)
-    best = covering(points, blocks.select("prefix", "seq"), width, lengths=lengths).groupBy("bits").agg(F.max("seq").alias("seq"))
-    return points.join(best, "bits", "left")
+    return covering(points, blocks.select("prefix", "seq"), width, "left", lengths).groupBy("bits").agg(F.max("seq").alias("seq"))
 
 
-def canonical_leaves(points: DataFrame, value: str, width: int = V4, bucket: int = BUCKET) -> DataFrame:
+def canonical_leaves(points: DataFrame, value: str, width: int = V4, bucket: int = DIGITS) -> DataFrame:
     """Cut points with a value each (null for nothing) -> the maximal aligned blocks of one value that lie between:
     prefix, plen, value; blocks of nothing included, so that they part the whole address space.
 
-    Runs of equal values are found inside buckets of leading digits, in parallel, and split into aligned blocks. What fills whole buckets can only join
-    with other such blocks; they are at most ``2**bucket`` rows and go through the same step once more."""
-
-    def runs(at: DataFrame, by: list) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("bits")
-        before = F.lag("_end").over(order)
-        same = F.col(value).eqNullSafe(F.lag(value).over(order)) & (successor(before, width) == F.col("bits"))
-        marked = at.select("*", F.coalesce(same, F.lit(False)).alias("_same"), before.alias("_before"), F.max("_end").over(Window.partitionBy(*by)).alias("_last"))
-        # A run ends where the row before the next run's first ends.
-        end = F.coalesce(F.lead("_before").over(order), F.col("_last"))
-        firsts = marked.where("not _same").withColumn("_to", end)
-        return firsts.select(F.explode(range_prefixes("bits", "_to", width)).alias("prefix"), value)
-
-    lead = F.col("bits").substr(1, bucket)
-    placed = points.select("bits", value, lead.alias("_bucket"))
-    after = F.lead("bits").over(Window.partitionBy("_bucket").orderBy("bits"))
-    ended = placed.withColumn("_end", F.coalesce(predecessor(after, width), F.rpad(F.col("_bucket"), width, "1")))
-    leaves = runs(ended, ["_bucket"])
-    inner = leaves.where(F.length("prefix") > bucket)
-    whole = leaves.where(F.length("prefix") <= bucket).select(first_address("prefix", width).alias("bits"), value, F.rpad("prefix", width, "1").alias("_end"))
-    outer = runs(whole, [F.lit(0)])
+    Each bucket has a point at its first address. Runs of equal values are found inside buckets, in parallel, and split into aligned blocks. Runs
+    that fill whole buckets can only join with other such runs; they are as many as buckets at most and go through the same step once more."""
+    bits = F.col("bits")
+    order = Window.partitionBy("_bucket").orderBy("bits")
+    placed = points.select("bits", value, bucket_of(bits, width, bucket).alias("_bucket"))
+    first = F.row_number().over(order) == 1
+    firsts = placed.withColumn("_first", first | ~F.col(value).eqNullSafe(F.lag(value).over(order))).where("_first")
+    # A run ends before the next one's first address.
+    end = F.coalesce(predecessor(F.lead("bits").over(order), width), F.rpad("_bucket", width, "1"))
+    runs = firsts.withColumn("_end", end).withColumn("_whole", (bits == F.rpad("_bucket", width, "0")) & (F.col("_end") == F.rpad("_bucket", width, "1")))
+    inner = range_blocks(runs.where("not _whole").select("bits", "_end", value), "bits", "_end", width).select("prefix", value)
+    every = Window.orderBy("bits")
+    whole = runs.where("_whole").select("bits", value, "_end")
+    # Whole buckets that follow one another directly.
+    joined = F.col(value).eqNullSafe(F.lag(value).over(every)) & (successor(F.lag("_end").over(every), width) == bits)
+    marked = whole.select("*", F.coalesce(joined, F.lit(False)).alias("_joined"), F.lag("_end").over(every).alias("_before"), F.max("_end").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"))
+    heads = marked.where("not _joined").withColumn("_to", F.coalesce(F.lead("_before").over(every), F.col("_last")))
+    outer = range_blocks(heads.select("bits", "_to", value), "bits", "_to", width).select("prefix", value)
     return inner.union(outer).select("prefix", F.length("prefix").alias("plen"), value)
 
 
-def resolve(blocks: DataFrame, policy: str = "none", width: int = V4, bucket: int = BUCKET) -> DataFrame:
+def resolve(blocks: DataFrame, policy: str = "none", width: int = V4, bucket: int = DIGITS, lengths: Iterable[int] | None = None) -> DataFrame:
     """``blocks`` (prefix, seq unique per insertion, record) -> disjoint leaves (prefix, plen, record), record null for nothing.
 
     ``none``: the last insertion wins; the record may be of any type. ``toplevel``: the record is a MAP, keys are united and the last insertion wins
-    per key. ``recurse``: the record is a JSON object as text, merged recursively in order of insertion."""
+    per key. ``recurse``: the record is a JSON object as text, merged recursively in order of insertion. ``lengths``: those that occur, if known."""
     if policy not in ("none", "toplevel", "recurse"):
         raise ValueError("merge strategy must be \"none\", \"toplevel\" or \"recurse\"")
     if policy == "none":
-        # Equal records are one value, so that neighbours join; the shortest handle for a record is its first insertion.
-        text = F.to_json(F.struct("record"))
+        # Maps can't be compared, but their sorted entries can.
+        is_map = blocks.schema["record"].dataType.typeName() == "map"
+        value = F.array_sort(F.map_entries("record")) if is_map else F.col("record")
         # (The pieces of a range are insertions of one seq and record.)
-        ids = blocks.select("seq", F.sha2(text, 256).alias("digest")).distinct()
-        first = ids.groupBy("digest").agg(F.min("seq").alias("record_id"))
-        named = ids.join(first, "digest").select("seq", "record_id")
-        points = winners(blocks, width, bucket).join(named, "seq", "left").select("bits", "record_id")
-        leaves = canonical_leaves(points, "record_id", width, bucket)
-        records = blocks.select(F.col("seq").alias("record_id"), "record").dropDuplicates(["record_id"])
-        return leaves.join(records, "record_id", "left").select("prefix", "plen", "record")
+        values = blocks.select("seq", value.alias("value")).dropDuplicates(["seq"])
+        points = winners(blocks, width, bucket, lengths).join(values, "seq", "left").select("bits", "value")
+        leaves = canonical_leaves(points, "value", width, bucket)
+        return leaves.select("prefix", "plen", (F.map_from_entries("value") if is_map else F.col("value")).alias("record"))
     points = cut_points(blocks, width, bucket)
-    over = covering(points, blocks, width)
+    over = covering(points, blocks, width, lengths=lengths)
     if policy == "toplevel":
         fields = over.select("bits", "seq", F.explode("record").alias("k", "v"))
         last = fields.groupBy("bits", "k").agg(F.max_by("v", "seq").alias("v"))

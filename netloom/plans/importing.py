@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import ipv6
-from netloom.functions.bits import first_address, last_address, range_prefixes, with_prefix_length
+from netloom.functions.bits import range_blocks, with_prefix_length
 from netloom.functions.values import canonical, put, stored_value
 from netloom.operators.lookup import is_reserved, reserved_prefixes
 from netloom.operators.resolve import resolve
@@ -33,9 +33,10 @@ class Database:
         return self.leaves.where("record is not null")
 
 
-def _rows_from_cells(spark: SparkSession, path: str, o: ImportOptions) -> tuple[DataFrame, list[str]]:
-    """seq, network (text of the row's prefix or range), record MAP<STRING,STRING>; and the fields."""
-    table = cells(spark, path, o.format)
+def rows_from_cells(table: DataFrame, o: ImportOptions) -> tuple[DataFrame, list[str]]:
+    """``table`` (seq, cells) -> seq, network (text of the row's prefix or range), record MAP<STRING,STRING>; and the fields.
+
+    All rows of a CSV table must have as many cells as its first; those of a TSV table enough for the fields."""
     first = table.orderBy("seq").limit(1).collect()
     header = list(first[0]["cells"]) if first else []
     multi, key, start = header_layout(header)
@@ -44,14 +45,14 @@ def _rows_from_cells(spark: SparkSession, path: str, o: ImportOptions) -> tuple[
     if o.fields_from_header:
         fields = header[start:]
         if first:
-            top = first[0]["seq"]
-            at = F.struct(*(F.lit(top[k]).cast(t).alias(k) for k, t in (("path", "string"), ("start", "long"), ("id", "long"))))
-            table = table.where(F.col("seq") > at)
+            table = table.where(F.col("seq") != _literal(first[0]["seq"], table.schema["seq"].dataType))
     else:
         fields = list(o.fields)
     width = start + len(fields)
-    short = F.size("cells") < width
-    row = F.when(short, F.raise_error(F.concat(F.lit("a row has too few columns: "), F.array_join("cells", ",")))).otherwise(F.col("cells"))
+    wrong = F.size("cells") < width
+    if o.format == "csv" and first:
+        wrong = wrong | (F.size("cells") != len(header))
+    row = F.when(wrong, F.raise_error(F.concat(F.lit("a row has a wrong number of columns: "), F.array_join("cells", ",")))).otherwise(F.col("cells"))
     table = table.select("seq", row.alias("cells"))
     cell = lambda i: F.col("cells")[i]
     if multi:
@@ -66,6 +67,13 @@ def _rows_from_cells(spark: SparkSession, path: str, o: ImportOptions) -> tuple[
     return table.select("seq", network.alias("network"), record.alias("record")), fields
 
 
+def _literal(value, kind) -> Column:
+    """A row's own order as a column."""
+    if hasattr(value, "asDict"):
+        return F.struct(*(F.lit(value[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return F.lit(value).cast(kind)
+
+
 def _rows_from_json(spark: SparkSession, path: str, o: ImportOptions, lines: bool) -> tuple[DataFrame, list[str]]:
     """As from cells; the record is a JSON object's text, limited to the keys of the first object or the given fields."""
     docs = json_docs(spark, path, lines)
@@ -101,16 +109,17 @@ def _rows_from_json(spark: SparkSession, path: str, o: ImportOptions, lines: boo
     return parsed.select("seq", checked.alias("network"), "record"), fields
 
 
-def _with_network(rows: DataFrame, as_json: bool, o: ImportOptions) -> DataFrame:
-    """The record with its input text as ``network``."""
+def with_network(rows: DataFrame, as_json: bool, o: ImportOptions) -> DataFrame:
+    """The record with its input text as ``network``, unless it has a field of that name."""
     if o.no_network:
         return rows
     if not as_json:
-        return rows.withColumn("record", put(F.col("record"), "network", F.col("network")))
+        own = F.map_contains_key("record", F.lit("network"))
+        return rows.withColumn("record", F.when(own, F.col("record")).otherwise(put(F.col("record"), "network", F.col("network"))))
 
     @F.pandas_udf("string")
     def add(record: pd.Series, network: pd.Series) -> pd.Series:
-        return pd.Series([canonical(json.loads(r) | {"network": n}) for r, n in zip(record, network, strict=True)])
+        return pd.Series([canonical({"network": n} | json.loads(r)) for r, n in zip(record, network, strict=True)])
 
     return rows.withColumn("record", add("record", "network"))
 
@@ -122,16 +131,17 @@ def blocks_of(rows: DataFrame, o: ImportOptions, on_error: str = "fail") -> tupl
     meets reserved networks where those are disallowed, is only rejected."""
     w = o.width
     ends = F.split("network", "-")
-    is_range = F.col("network").contains("-")
+    is_range = F.coalesce(F.col("network").contains("-"), F.lit(False))
     start, end = ipv6.bits_from_text(ends[0], w), ipv6.bits_from_text(F.try_element_at(ends, F.lit(2)), w)
     placed = rows.select("*", is_range.alias("is_range"), start.alias("s"), end.alias("e"), ipv6.prefix_from_cidr("network", w).alias("cidr"))
     bad: Column = F.when(F.col("is_range") & (F.col("s").isNull() | F.col("e").isNull() | (F.col("s") > F.col("e"))), "invalid range")
     bad = bad.when(~F.col("is_range") & F.col("cidr").isNull(), "invalid CIDR address")
     if on_error == "fail":
         bad = F.when(bad == "invalid CIDR address", F.raise_error(F.concat(F.lit("invalid CIDR address: "), "network"))).otherwise(bad)
-    prefixes = F.when(F.col("is_range"), range_prefixes("s", "e", w)).otherwise(F.array("cidr"))
     judged = placed.withColumn("reason", bad)
-    good = judged.where("reason is null").select("seq", "network", "record", F.explode(prefixes).alias("prefix"))
+    fine = judged.where("reason is null")
+    ranges = range_blocks(fine.where("is_range").select("seq", "network", "record", "s", "e"), "s", "e", w)
+    good = fine.where("not is_range").select("seq", "network", "record", F.col("cidr").alias("prefix")).union(ranges.select("seq", "network", "record", "prefix"))
     rejects = judged.where("reason is not null").select("seq", "network", "reason")
     if o.disallow_reserved:
         flag = is_reserved(F.col("prefix"), w)
@@ -151,13 +161,13 @@ def import_database(spark: SparkSession, path: str, options: ImportOptions | Non
     """Imports CSV, TSV or JSON rows; fails with ``nothing to import`` if there are none."""
     o = (options or ImportOptions()).checked(path)
     as_json = o.format == "json"
-    rows, fields = _rows_from_json(spark, path, o, json_lines) if as_json else _rows_from_cells(spark, path, o)
+    rows, fields = _rows_from_json(spark, path, o, json_lines) if as_json else rows_from_cells(cells(spark, path, o.format), o)
     entries = rows.count()
     if not entries:
         raise ValueError("nothing to import")
     if o.drop_empty:
         rows = rows.withColumn("record", F.map_filter("record", lambda _, v: v != "")) if not as_json else rows
-    rows = _with_network(rows, as_json, o)
+    rows = with_network(rows, as_json, o)
     blocks, rejects = blocks_of(rows, o, on_error)
     # Insertions get plain numbers: a row's order among all, which its path, split and place in it give.
     blocks = ordered(blocks)
@@ -206,8 +216,3 @@ def ordered(blocks: DataFrame) -> DataFrame:
     low = F.col("seq.id").bitwiseAND(F.lit((1 << 33) - 1))
     joined = blocks.withColumn("split", split).join(ranked, "split")
     return joined.select("prefix", (F.shiftleft("rank", 33) + low).alias("seq"), "record")
-
-
-def full_extent(leaves: DataFrame, width: int) -> DataFrame:
-    """Leaves with their first and last addresses as text."""
-    return leaves.withColumn("first", ipv6.text_from_bits(first_address("prefix", width))).withColumn("last", ipv6.text_from_bits(last_address("prefix", width)))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions.values import COUNT_UNITS, SIZE_UNITS, human
 from netloom.sources.mmdb_format import ARRAY, BOOL, BYTES, CONTAINER, DOUBLE, END, FLOAT, INT32, MAP, MARKER, POINTER, SEPARATOR, SIZE_BASES, STRING, UINT16, UINT32, UINT64, UINT128, Decoder, layout, problems
 
 #: Names of the counters, as the JSON output has them (fixed values).
@@ -72,13 +73,42 @@ def read_metadata(path: str, data_types: bool = False, mode: str = "compat") ->
     return row
 
 
-def metadata_text(row: dict, json_format: bool = False) -> str:
+#: Labels of the text form, in its order (fixed values); what is simplified beside the number, if anything.
+LABELS = (
+    ("binary_format", "Binary Format", None), ("db_type", "Database Type", None), ("ip", "IP Version", None), ("record_size", "Record Size", None),
+    ("node_count", "Node Count", COUNT_UNITS), ("tree_size", "Tree Size", SIZE_UNITS), ("data_section_size", "Data Section Size", SIZE_UNITS), ("data_type_sizes", "", None),
+    ("data_section_start_offset", "Data Section Start Offset", None), ("data_section_end_offset", "Data Section End Offset", None),
+    ("metadata_section_start_offset", "Metadata Section Start Offset", None), ("description", "Description", None), ("languages", "Languages", None), ("build_epoch", "Build Epoch", None),
+)
+TYPE_LABELS = (
+    ("pointer_size", "Pointer Size"), ("utf8_string_size", "UTF-8 String Size"), ("double_size", "Double Size"), ("bytes_size", "Bytes Size"),
+    ("unsigned_16bit_integer_size", "Unsigned 16-bit Integer Size"), ("unsigned_32bit_integer_size", "Unsigned 32-bit Integer Size"), ("signed_32bit_integer_size", "Signed 32-bit Integer Size"),
+    ("unsigned_64bit_integer_size", "Unsigned 64-bit Integer Size"), ("unsigned_128bit_integer_size", "Unsigned 128-bit Integer Size"), ("map_key_value_pair_count", "Map Key-Value Pair Count"),
+    ("array_length", "Array Length"), ("float_size", "Float Size"),
+)
+CYAN, GREEN = "36", "32"
+
+
+def metadata_text(row: dict, json_format: bool = False, colour: bool = False) -> str:
+    """JSON, or lines of names and values, with human-readable numbers beside the large ones and descriptions as wide as their longest key."""
     if json_format:
         return json.dumps(row, indent=4, ensure_ascii=False)
-    flat = {k: v for k, v in row.items() if not isinstance(v, (dict, list))}
-    lines = [f"- {k:<30} {v}" for k, v in flat.items()]
-    lines += [f"- {'description':<30}"] + [f"    {k:<28} {v}" for k, v in sorted(row["description"].items())]
-    return "\n".join([*lines, f"- {'languages':<30} {', '.join(row['languages'])}"])
+    paint = lambda text, code: f"\x1b[{code}m{text}\x1b[0m" if colour else str(text)
+
+    def line(indent: str, name: str, value, units=None) -> str:
+        return f"{indent}- {paint(f'{name:<13}', CYAN)} {paint(value, GREEN)} {paint(human(value, units) if units else '', GREEN)}"
+
+    lines = []
+    for key, name, units in LABELS:
+        if key == "data_type_sizes":
+            counts = {"map_key_value_pair_count", "array_length"}
+            lines += [line("    ", label, row[key][k], COUNT_UNITS if k in counts else SIZE_UNITS) for k, label in TYPE_LABELS if key in row]
+        elif key == "description":
+            width = max(map(len, row[key]), default=0)
+            lines += [line("", name, ""), *(f"    {paint(f'{k:<{width}}', CYAN)} {paint(v, GREEN)}" for k, v in sorted(row[key].items()))]
+        else:
+            lines.append(line("", name, ", ".join(row[key]) if key == "languages" else row[key], units))
+    return "\n".join(lines)
 
 
 def scan_types(documents: DataFrame, column: str, mode: str = "compat") -> DataFrame:

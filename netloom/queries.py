@@ -16,7 +16,9 @@ from netloom.functions import values as V
 from netloom.operators import diff as D
 from netloom.operators.lookup import ALIASES, expand_addresses, is_reserved, lookup, misses, resolve_aliases
 from netloom.operators.resolve import canonical_leaves, resolve, winners
-from netloom.plans import exporting, metadata
+from netloom.plans import exporting, importing, metadata
+from netloom.sources.options import ImportOptions
+from netloom.sources.text import csv_cells
 from netloom.streaming.enrich import enrich
 
 #: Lengths of the made networks' leaves.
@@ -52,7 +54,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def by_segment(rows: DataFrame) -> DataFrame:
-    return resolve(rows.select("prefix", "seq", F.col("segment").alias("record")))
+    return resolve(rows.select("prefix", "seq", F.col("segment").alias("record")), lengths=LENGTHS)
 
 
 def lpm_lookup(spark, d):
@@ -60,11 +62,11 @@ def lpm_lookup(spark, d):
 
 
 def lpm_miss(spark, d):
-    return misses(probes(spark, d), nets(spark, d))
+    return misses(probes(spark, d), nets(spark, d), lengths=LENGTHS)
 
 
 def lookup_resolved(spark, d):
-    db = resolve(nets(spark, d).select("prefix", "seq", F.struct("segment", "nation").alias("record"))).where("record is not null")
+    db = resolve(nets(spark, d).select("prefix", "seq", F.struct("segment", "nation").alias("record")), lengths=LENGTHS).where("record is not null")
     return lookup(probes(spark, d), db, disjoint=True, lengths=LENGTHS).select("pos", "record.segment", "record.nation")
 
 
@@ -116,25 +118,25 @@ def range_to_cidr(spark, d):
     o = table(spark, d, "orders")
     start = (F.col("o_orderkey") * F.lit(NETWORK)) % F.lit(TOP)
     end = F.least(start + F.col("o_custkey") * 37, F.lit(TOP - 1))
-    return o.select("o_orderkey", F.explode(B.range_prefixes(B.bits_from_int(start), B.bits_from_int(end))).alias("prefix"))
+    return B.range_blocks(o.select("o_orderkey", B.bits_from_int(start).alias("s"), B.bits_from_int(end).alias("e")), "s", "e").select("o_orderkey", "prefix")
 
 
 def resolve_replace(spark, d):
-    return winners(nets(spark, d), bucket=8)
+    return winners(nets(spark, d), bucket=8, lengths=LENGTHS)
 
 
 def resolve_toplevel(spark, d):
     top = nets(spark, d).select("prefix", "seq", record("segment", "nation").alias("record"))
     s = table(spark, d, "supplier")
     below = s.select(digits("s_suppkey", NETWORK).substr(F.lit(1), (4 + F.col("s_suppkey") % 13).cast("int")).alias("prefix"), (F.col("s_suppkey") + 10_000_000).alias("seq"), F.create_map(F.lit("nation"), F.concat(F.lit("s"), F.col("s_nationkey").cast("string")), F.lit("supplier"), F.col("s_name")).alias("record"))
-    db = resolve(top.union(below), "toplevel").where("record is not null")
+    db = resolve(top.union(below), "toplevel", lengths=LENGTHS).where("record is not null")
     found = lookup(probes(spark, d), db, disjoint=True, lengths=LENGTHS)
     return found.select("pos", *(F.try_element_at("record", F.lit(k)).alias(k) for k in ("segment", "nation", "supplier")))
 
 
 def resolve_recurse(spark, d):
     json = F.format_string('{"by":{"%s":%d},"last":{"nation":%s}}', "segment", "seq", "nation")
-    db = resolve(nets(spark, d).select("prefix", "seq", json.alias("record")), "recurse").where("record is not null")
+    db = resolve(nets(spark, d).select("prefix", "seq", json.alias("record")), "recurse", lengths=LENGTHS).where("record is not null")
     return lookup(probes(spark, d), db, disjoint=True, lengths=LENGTHS).select("pos", "record")
 
 
@@ -149,7 +151,7 @@ def canonical_networks(spark, d):
 
 
 def canonical_of_points(spark, d):
-    points = winners(nets(spark, d), bucket=8)
+    points = winners(nets(spark, d), bucket=8, lengths=LENGTHS)
     return canonical_leaves(points, "seq", bucket=8).select("prefix", "plen", "seq")
 
 
@@ -187,41 +189,53 @@ def json_first_keys(spark, d):
     return first.select(F.explode(F.json_object_keys("p")).alias("key"))
 
 
-def _cells(spark, d) -> DataFrame:
-    return nets(spark, d).select("seq", B.cidr_from_prefix_v4("prefix").alias("network"), F.array("nation", "segment").alias("cells"))
-
-
-def _values(rows: DataFrame, rec) -> DataFrame:
-    return rows.select("seq", V.json_object(rec).alias("record"))
+def _imported(spark, d, *columns, **options) -> DataFrame:
+    """What the import makes of comma-separated lines of these columns: seq and the record as JSON."""
+    o = ImportOptions(format="csv", ip_version=4, **options).checked()
+    low = F.rpad("prefix", 32, "0")
+    made = nets(spark, d).select("*", B.cidr_from_prefix_v4("prefix").alias("cidr"), B.text_from_bits_v4(low).alias("low"), B.text_from_bits_v4(F.rpad("prefix", 32, "1")).alias("high"))
+    rows, _ = importing.rows_from_cells(csv_cells(made.select("seq", F.concat_ws(",", *columns).alias("value"))), o)
+    return importing.with_network(rows, False, o).select("seq", V.json_object("record").alias("record"))
 
 
 def record_with_network(spark, d):
-    rec = F.map_from_arrays(F.array(F.lit("nation"), F.lit("segment")), F.col("cells"))
-    return _values(_cells(spark, d), V.put(rec, "network", F.col("network")))
+    return _imported(spark, d, "cidr", "nation", "segment", fields=["nation", "segment"])
 
 
 def drop_join_key(spark, d):
-    rec = F.map_from_arrays(F.array(F.lit("segment")), F.slice("cells", 2, 1))
-    return _values(_cells(spark, d), V.put(rec, "network", F.col("network")))
+    return _imported(spark, d, "low", "high", "nation", "segment", fields=["segment"], joinkey_col=True)
 
 
 def no_network(spark, d):
-    return _values(_cells(spark, d), F.map_from_arrays(F.array(F.lit("nation"), F.lit("segment")), F.col("cells")))
+    return _imported(spark, d, "cidr", "nation", "segment", fields=["nation", "segment"], no_network=True)
 
 
 def no_fields(spark, d):
-    return _values(_cells(spark, d), F.create_map(F.lit("network"), F.col("network")))
+    return _imported(spark, d, "cidr", no_fields=True, no_network=True)
 
 
 def fields_explicit(spark, d):
-    return _values(_cells(spark, d), F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.col("cells")))
+    return _imported(spark, d, "cidr", "nation", "segment", fields=["a", "b"])
+
+
+def own_network_field(spark, d):
+    return _imported(spark, d, "cidr", "nation", "segment", fields=["network", "segment"])
 
 
 def reject_rows(spark, d):
     k = F.col("doc_id")
     text = F.when(k % 3 == 0, B.cidr_from_prefix_v4(digits("doc_id", NETWORK).substr(1, 20))).otherwise(F.col("text"))
-    rows = table(spark, d, "documents").select("doc_id", text.alias("network"))
-    return rows.where(B.prefix_from_cidr_v4(B.with_prefix_length("network")).isNull()).select("doc_id", F.lit("invalid CIDR address").alias("reason"))
+    rows = table(spark, d, "documents").select(k.alias("seq"), B.with_prefix_length(text, 4).alias("network"), F.lit("").alias("record"))
+    _, rejects = importing.blocks_of(rows, ImportOptions(format="csv", ip_version=4), "reject")
+    return rejects.select(F.col("seq").alias("doc_id"), "reason")
+
+
+def resolve_v6(spark, d):
+    """IPv4 networks under 96 zeros and others under 2001:db8::, resolved in one tree of 128 digits."""
+    n = nets(spark, d)
+    under = F.when(F.col("seq") % 3 == 0, F.lit(format(0x20010DB8, "032b"))).otherwise(F.lit("0" * 96))
+    db = resolve(n.select(F.concat(under, "prefix").alias("prefix"), "seq", F.col("segment").alias("record")), width=128, lengths=[x + 8 + y for y in (32, 96) for x in range(17)])
+    return db.where("record is not null").select("prefix", "plen", F.col("record").alias("segment"))
 
 
 def reserved_filter(spark, d):
@@ -236,17 +250,17 @@ def _old_new(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def diff_subnets(spark, d):
     old, new = _old_new(spark, d)
-    return D.subnet_changes(new, old, lengths=LENGTHS)
+    return D.subnet_changes(new, old)
 
 
 def diff_records(spark, d):
     old, new = _old_new(spark, d)
-    return D.record_changes(new, old, lengths=LENGTHS)
+    return D.record_changes(new, old)
 
 
 def diff_summary(spark, d):
     old, new = _old_new(spark, d)
-    return D.summary(new, old, lengths=LENGTHS)
+    return D.summary(new, old)
 
 
 def full_diff(spark, d):
@@ -284,7 +298,7 @@ def alias_6to4_lookup(spark, d):
     six = F.when(k % 3 == 0, F.concat(F.lit(ALIASES[2][0]), "bits", F.lit("0" * 80))).when(k % 3 == 1, F.concat(F.lit(ALIASES[0][0]), "bits")).otherwise(F.concat(F.lit("0" * 96), "bits"))
     asked = p.select("pos", resolve_aliases(six).alias("bits"))
     n = nets(spark, d).withColumn("prefix", F.concat(F.lit("0" * 96), "prefix"))
-    return lookup(asked, n, 128).select("pos", "seq")
+    return lookup(asked, n, 128, lengths=[96 + x for x in LENGTHS]).select("pos", "seq")
 
 
 def stream_enrich(spark, d):
@@ -304,7 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lpm_lookup, lpm_miss, lookup_resolved, lookup_csv_row, lookup_json_row, expand_cidr_ips, ip_to_text_v4, cidr_to_text_v4, text_to_bits_v4, cidr_to_prefix_v4,
         decimal_to_ip, default_prefix_len, range_to_cidr, resolve_replace, resolve_toplevel, resolve_recurse, ignore_empty_layer, canonical_networks, canonical_of_points,
         export_csv_row, export_tsv_row, export_json_row, export_header, entry_count, stringify_values, json_first_keys, record_with_network, drop_join_key, no_network, no_fields,
-        fields_explicit, reject_rows, reserved_filter, diff_subnets, diff_records, diff_summary, full_diff, human_size, human_count, section_arithmetic,
+        fields_explicit, own_network_field, reject_rows, resolve_v6, reserved_filter, diff_subnets, diff_records, diff_summary, full_diff, human_size, human_count, section_arithmetic,
         type_size_scan_compat, verify_disjoint, alias_6to4_lookup, stream_enrich,
     )
 }
@@ -356,6 +370,7 @@ _DIFF = f"WITH RECURSIVE {_NETS}, {_CHANGED}, {_leaves('new_l', 'new_src')}, {_l
 _SUBNETS = """SELECT 'new' AS direction, a.prefix AS prefix, b.prefix AS other FROM new_l a JOIN old_l b ON a.cur BETWEEN b.cur AND b.cur + b.size - 1 WHERE a.rec IS NOT NULL AND a.prefix <> b.prefix
   UNION ALL SELECT 'old', a.prefix, b.prefix FROM old_l a JOIN new_l b ON a.cur BETWEEN b.cur AND b.cur + b.size - 1 WHERE a.rec IS NOT NULL AND a.prefix <> b.prefix"""
 _RECORDS = "SELECT a.prefix AS prefix, b.rec AS old_record, a.rec AS new_record FROM new_l a JOIN old_l b ON a.prefix = b.prefix WHERE a.rec IS NOT NULL AND a.rec IS DISTINCT FROM b.rec"
+_LOW = "addr // (1::BIGINT << (32 - plen)) * (1::BIGINT << (32 - plen))"
 _CIDR = f"{_ip('addr // (1::BIGINT << (32 - plen)) * (1::BIGINT << (32 - plen))')} || '/' || plen"
 _NOTE = "' a,\"b\" <' || nation || '> & c'"
 
@@ -376,6 +391,15 @@ def _human(x: str, units: list[tuple[int, str]]) -> str:
 
 
 _ADDR = f"(c_custkey * {NETWORK}) % {TOP}"
+#: Control bytes of each kind as a regular expression over hex digits, where a text is read as nothing but control bytes: a type and its size; the
+#: rest of a text that ends inside one is swallowed. Type numbers and counters are fixed values.
+_TYPE_SIZES = """WITH t AS (SELECT unnest(regexp_extract_all(lower(hex(encode(text))), '[23][0-9a-f]|1d....|1e......|1f........|(?:0[0-9a-f]|1[0-9a-c])..|[579bdf]d..|[579bdf]e....|[579bdf]f......|[468ace][0-9a-f]|[579bdf][0-9a-c]|.+')) AS x FROM documents),
+  u AS (SELECT x, CAST('0x' || x[1:2] AS INT) AS c, CASE WHEN x[1:1] IN ('0', '1') THEN 3 ELSE 1 END AS skip FROM t WHERE length(x) <= 10),
+  s AS (SELECT CASE WHEN c < 32 THEN 7 + CAST('0x' || x[3:4] AS INT) ELSE c // 32 END AS kind, c % 32 AS low, length(x) AS digits, x[skip + 2:] AS more, skip + 1 + CASE WHEN c // 32 = 1 THEN 0 WHEN c % 32 = 29 THEN 2 WHEN c % 32 = 30 THEN 4 WHEN c % 32 = 31 THEN 6 ELSE 0 END AS whole FROM u),
+  n AS (SELECT kind, CASE WHEN kind = 1 THEN low // 8 WHEN low = 29 THEN 29 + CAST('0x' || more AS INT) WHEN low = 30 THEN 285 + CAST('0x' || more AS INT) WHEN low = 31 THEN 65821 + CAST('0x' || more AS INT) ELSE low END AS size FROM s WHERE digits = whole),
+  names AS (SELECT * FROM (VALUES (1, 'pointer_size'), (2, 'utf8_string_size'), (3, 'double_size'), (4, 'bytes_size'), (5, 'unsigned_16bit_integer_size'), (6, 'unsigned_32bit_integer_size'), (8, 'signed_32bit_integer_size'),
+    (9, 'unsigned_64bit_integer_size'), (10, 'unsigned_128bit_integer_size'), (7, 'map_key_value_pair_count'), (11, 'array_length'), (15, 'float_size')) v(kind, type))
+  SELECT type, CAST(coalesce(sum(size), 0) AS BIGINT) AS size FROM names LEFT JOIN n USING (kind) GROUP BY type"""
 ORACLE_SQL: dict[str, str] = {
     "lpm_lookup": f"{_LOOK} SELECT pos, prefix, plen, seq, segment FROM best",
     "lpm_miss": f"WITH {_NETS}, {_PROBES} SELECT pos, bits FROM probes p WHERE NOT EXISTS (SELECT 1 FROM nets n WHERE starts_with(p.bits, n.prefix))",
@@ -410,11 +434,15 @@ ORACLE_SQL: dict[str, str] = {
     "stringify_values": "SELECT l_orderkey, l_linenumber, printf('%f', l_extendedprice) AS price, printf('%f', l_discount / 7) AS discount FROM lineitem",
     "json_first_keys": "SELECT unnest(json_keys(arg_min(props, event_id))) AS key FROM events",
     "record_with_network": f"""WITH {_NETS} SELECT seq, '{{"nation":"' || nation || '","network":"' || {_CIDR} || '","segment":"' || segment || '"}}' AS record FROM nets""",
-    "drop_join_key": f"""WITH {_NETS} SELECT seq, '{{"network":"' || {_CIDR} || '","segment":"' || segment || '"}}' AS record FROM nets""",
+    "drop_join_key": f"""WITH {_NETS} SELECT seq, '{{"network":"' || {_ip(_LOW)} || '-' || {_ip(_LOW + ' + (1::BIGINT << (32 - plen)) - 1')} || '","segment":"' || segment || '"}}' AS record FROM nets""",
     "no_network": f"""WITH {_NETS} SELECT seq, '{{"nation":"' || nation || '","segment":"' || segment || '"}}' AS record FROM nets""",
     "no_fields": f"""WITH {_NETS} SELECT seq, '{{"network":"' || {_CIDR} || '"}}' AS record FROM nets""",
-    "fields_explicit": f"""WITH {_NETS} SELECT seq, '{{"a":"' || nation || '","b":"' || segment || '"}}' AS record FROM nets""",
-    "reject_rows": "SELECT doc_id, 'invalid CIDR address' AS reason FROM documents WHERE doc_id % 3 <> 0 AND NOT regexp_matches(text, '^[0-9]{1,3}([.][0-9]{1,3}){3}(/[0-9]{1,2})?$')",
+    "fields_explicit": f"""WITH {_NETS} SELECT seq, '{{"a":"' || nation || '","b":"' || segment || '","network":"' || {_CIDR} || '"}}' AS record FROM nets""",
+    "own_network_field": f"""WITH {_NETS} SELECT seq, '{{"network":"' || nation || '","segment":"' || segment || '"}}' AS record FROM nets""",
+    "resolve_v6": f"""WITH RECURSIVE {_NETS}, src4 AS (SELECT seq, addr, plen, segment AS rec FROM nets WHERE seq % 3 <> 0), src6 AS (SELECT seq, addr, plen, segment AS rec FROM nets WHERE seq % 3 = 0), {_leaves('l4', 'src4')}, {_leaves('l6', 'src6')}
+      SELECT repeat('0', 96) || prefix AS prefix, CAST(96 + plen AS INT) AS plen, rec AS segment FROM l4 WHERE rec IS NOT NULL UNION ALL SELECT format('{{:032b}}', {0x20010DB8}) || prefix, CAST(32 + plen AS INT), rec FROM l6 WHERE rec IS NOT NULL""",
+    "type_size_scan_compat": _TYPE_SIZES,
+    "reject_rows": "SELECT doc_id, CASE WHEN contains(text, '-') THEN 'invalid range' ELSE 'invalid CIDR address' END AS reason FROM documents WHERE doc_id % 3 <> 0 AND NOT regexp_matches(text, '^[0-9]{1,3}([.][0-9]{1,3}){3}(/[0-9]{1,2})?$')",
     "reserved_filter": f"WITH {_NETS} SELECT seq, prefix FROM nets WHERE NOT ({' OR '.join(map(_in, _RESERVED))})",
     "diff_subnets": f"{_DIFF} {_SUBNETS}",
     "diff_records": f"{_DIFF} {_RECORDS}",

@@ -32,18 +32,12 @@ class Subtree(InputPartition):
 
 
 class MmdbReader(DataSourceReader):
-    """A task reads some subtrees; filters on ``prefix`` (equality, beginning) leave out the subtrees that can't hold it."""
+    """A task reads some subtrees."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.depth, self.empty = options["path"], int(options.get("depth", 8)), options.get("empty", "false") == "true"
         self.under = ""
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, StringStartsWith)) and f.attribute == ("prefix",) and isinstance(f.value, str):
-                self.under = max(self.under, f.value, key=len)
-            yield f  # Spark checks it too
-
     def partitions(self) -> list[Subtree]:
         t = _open(self.path)
         some = [p for p in t.subtrees(self.depth) if p.startswith(self.under) or self.under.startswith(p)]
@@ -59,6 +53,17 @@ class MmdbReader(DataSourceReader):
                 yield prefix, len(prefix), prefix_text(prefix, t.layout.width), at, texts.get(at)
 
 
+class PushingReader(MmdbReader):
+    """Filters on ``prefix`` (equality, beginning) leave out the subtrees that can't hold it. Spark admits it only where
+    ``spark.sql.python.filterPushdown.enabled`` is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, StringStartsWith)) and f.attribute == ("prefix",) and isinstance(f.value, str):
+                self.under = max(self.under, f.value, key=len)
+            yield f  # Spark checks it too
+
+
 class MmdbSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -68,20 +73,25 @@ class MmdbSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return MmdbReader(self.options)
+        return (PushingReader if self.options.get("push") == "true" else MmdbReader)(self.options)
+
+
+def is_aliased(path: str) -> bool:
+    """Whether a file's IPv4 networks are also found under the alias prefixes."""
+    return _open(path).aliased
 
 
 def read_mmdb(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
     """prefix, plen, net, record_id, record (JSON) of a file's leaves; with ``empty`` those without data too, so that they part the address space."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MmdbSource)
-    return spark.read.format("mmdb").option("path", path).option("empty", str(empty).lower()).load()
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("mmdb").option("push", push).option("path", path).option("empty", str(empty).lower()).load()
 
 
-def write_mmdb(leaves: DataFrame, path: str, ip_version: int = 6, record_size: int = 32, database_type: str | None = None, epoch: int | None = None) -> int:
+def write_mmdb(leaves: DataFrame, path: str, ip_version: int = 6, record_size: int = 32, database_type: str | None = None, epoch: int | None = None, aliases: bool = False, metadata_pointers: bool = False) -> int:
     """Writes leaves (prefix, record as JSON text or MAP) to one file and returns how many; the format is one tree, so one process builds it.
 
-    The file appears whole or not at all."""
+    The file appears whole or not at all. Its type is the file's name unless given."""
     import json
 
     record = leaves.schema["record"].dataType.simpleString()
@@ -94,8 +104,8 @@ def write_mmdb(leaves: DataFrame, path: str, ip_version: int = 6, record_size: i
             count += 1
             yield r["prefix"], json.loads(r["record"], parse_int=float)
 
-    name = database_type if database_type is not None else "ipinfo " + (os.path.basename(path) or ".")
-    raw = build(values(), ip_version, record_size, name, {"en": name}, ["en"], int(time.time()) if epoch is None else epoch)
+    name = database_type if database_type is not None else os.path.basename(path)
+    raw = build(values(), ip_version, record_size, name, {"en": name}, ["en"], int(time.time()) if epoch is None else epoch, aliases, metadata_pointers)
     if not count:
         raise ValueError("nothing to import")
     with open(f"{path}.tmp", "wb") as f:

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from netloom.operators.lookup import ALIASES
+
 #: Fixed by the format: the marker before the metadata, the separator's size, the type numbers.
 MARKER = b"\xab\xcd\xefMaxMind.com"
 SEPARATOR = 16
@@ -63,6 +65,23 @@ def encode(value: Any) -> bytes:
     raise FormatError(f"can't store {type(value).__name__}")
 
 
+def encode_shared(value: Any, out: bytearray | None = None, seen: dict[str, int] | None = None) -> bytearray:
+    """A value whose repeated texts are pointers to their first places, counted from the value's own start."""
+    out, seen = bytearray() if out is None else out, {} if seen is None else seen
+    if isinstance(value, str):
+        if value in seen and len(encode(value)) > 2 and seen[value] < 2048:
+            out += bytes([POINTER << 5 | seen[value] >> 8, seen[value] & 255])
+            return out
+        seen.setdefault(value, len(out))
+    if isinstance(value, (dict, list, tuple)):
+        out += _control(MAP if isinstance(value, dict) else ARRAY, len(value))
+        for x in [x for kv in sorted(value.items(), key=lambda kv: kv[0].encode()) for x in kv] if isinstance(value, dict) else value:
+            encode_shared(x, out, seen)
+    else:
+        out += encode(value)
+    return out
+
+
 class Decoder:
     """Reads values at offsets of one section; pointers are relative to its start."""
 
@@ -169,6 +188,17 @@ class Tree:
         if self.size not in (24, 28, 32):
             raise FormatError(f"unknown record size {self.size}")
         self.decoder = Decoder(raw[self.layout.data_start : self.layout.data_start + self.layout.data_size])
+        v4 = self.descend("0" * 96) if self.layout.width == 128 else None
+        self.v4 = v4 if v4 is not None and 0 < v4 < self.nodes else None
+
+    @property
+    def aliased(self) -> bool:
+        """Whether the tree also offers its IPv4 networks under the alias prefixes."""
+        return self.v4 is not None and any(self.descend(p) == self.v4 for p, _ in ALIASES)
+
+    def repeats(self, prefix: str, record: int) -> bool:
+        """Whether a prefix leads to IPv4's part of the tree by an alias; its networks count at their own place alone."""
+        return record == self.v4 and "1" in prefix
 
     def record(self, node: int, side: int) -> int:
         n = self.size * 2 // 8
@@ -198,7 +228,10 @@ class Tree:
             p, r = stack.pop()
             if r is None:
                 continue
-            if r < self.nodes:
+            if r < self.nodes and self.repeats(p, r):
+                if empty:
+                    yield p, None
+            elif r < self.nodes:
                 if len(p) >= self.layout.width:
                     raise FormatError("the tree is deeper than an address")
                 stack += [(p + "1", self.record(r, 1)), (p + "0", self.record(r, 0))]
@@ -213,18 +246,34 @@ class Tree:
         while stack:
             p, r = stack.pop()
             below = len(p) - 96 if len(p) >= 96 and "1" not in p[:96] else min(len(p), depth) if "1" in p else 0
-            if r >= self.nodes or ("1" in p and below >= depth):
+            if r >= self.nodes or ("1" in p and below >= depth) or self.repeats(p, r):
                 out.append(p)
             else:
                 stack += [(p + d, self.record(r, int(d))) for d in "10"]
         return out
 
 
-def build(leaves: Iterable[tuple[str, Any]], ip_version: int = 6, record_size: int = 32, database_type: str = "", description: dict | None = None, languages: list[str] | None = None, epoch: int = 0) -> bytes:
-    """A file from disjoint (prefix, value) in any order. Equal values are stored once."""
+def build(leaves: Iterable[tuple[str, Any]], ip_version: int = 6, record_size: int = 32, database_type: str = "", description: dict | None = None, languages: list[str] | None = None, epoch: int = 0, aliases: bool = False, metadata_pointers: bool = False) -> bytes:
+    """A file from disjoint (prefix, value) in any order. Equal values are stored once. With ``aliases`` an IPv6 tree offers its IPv4 networks under
+    the alias prefixes, too."""
     nodes: list[list[Any]] = [[None, None]]
     data, places = bytearray(), {}
+    aliases = aliases and ip_version == 6
+    if aliases:
+        nodes += [[None, None] for _ in range(96)]
+        for i in range(96):
+            nodes[i][0] = i + 1
+        for alias, _ in ALIASES:
+            node = 0
+            for digit in map(int, alias[:-1]):
+                if nodes[node][digit] is None:
+                    nodes.append([None, None])
+                    nodes[node][digit] = len(nodes) - 1
+                node = nodes[node][digit]
+            nodes[node][int(alias[-1])] = 96
     for prefix, value in leaves:
+        if aliases and any(prefix.startswith(a) for a, _ in ALIASES):
+            raise FormatError(f"{prefix} lies in an aliased network")
         raw = encode(value)
         if raw not in places:
             places[raw] = len(data)
@@ -240,7 +289,7 @@ def build(leaves: Iterable[tuple[str, Any]], ip_version: int = 6, record_size: i
             elif isinstance(nodes[node][digit], tuple):
                 raise FormatError(f"{prefix} lies inside another network")
             node = nodes[node][digit]
-        if nodes[node][int(prefix[-1])] is not None:
+        if nodes[node][int(prefix[-1])] is not None and not (aliases and "1" not in prefix and len(prefix) == 96 and nodes[96] == [None, None]):
             raise FormatError(f"{prefix} overlaps another network")
         nodes[node][int(prefix[-1])] = at
     n = len(nodes)
@@ -262,7 +311,7 @@ def build(leaves: Iterable[tuple[str, Any]], ip_version: int = 6, record_size: i
         "description": description or {}, "ip_version": Uint16(ip_version), "languages": languages if languages is not None else ["en"],
         "node_count": Uint32(n), "record_size": Uint16(record_size),
     }
-    return bytes(tree) + b"\0" * SEPARATOR + bytes(data) + MARKER + encode(meta)
+    return bytes(tree) + b"\0" * SEPARATOR + bytes(data) + MARKER + bytes(encode_shared(meta) if metadata_pointers else encode(meta))
 
 
 def problems(raw: bytes) -> Iterator[tuple[str, str]]:

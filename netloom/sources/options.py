@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json"}
 
@@ -28,13 +28,16 @@ class ImportOptions:
     alias_6to4: bool = False
     disable_metadata_pointers: bool = True
     description: dict[str, str] = field(default_factory=dict)
+    resolved: bool = False  # set by ``checked``
 
     @property
     def width(self) -> int:
         return 32 if self.ip_version == 4 else 128
 
     def checked(self, path: str | None = None) -> ImportOptions:
-        """Raises ValueError for what doesn't fit together; resolves the format from the path's suffix."""
+        """A copy with the format resolved from the path's suffix and the source of the fields settled; ValueError for what doesn't fit together."""
+        if self.resolved:
+            return self
         if self.ip_version not in (4, 6):
             raise ValueError('ip version must be "4" or "6"')
         if self.record_size not in (24, 28, 32):
@@ -48,14 +51,10 @@ class ImportOptions:
             raise ValueError("input file type unknown")
         if sum((self.fields is not None, self.fields_from_header, self.no_fields)) > 1:
             raise ValueError("conflicting field sources specified")
-        self.format = kind
-        if self.no_fields:
-            self.fields, self.no_network = [], False
-        elif self.fields is None:
-            self.fields_from_header = True
-        if self.joinkey_col:
-            self.range_multicol = True
-        return self
+        return replace(
+            self, format=kind, fields=[] if self.no_fields else self.fields, no_network=self.no_network and not self.no_fields,
+            fields_from_header=self.fields_from_header or (self.fields is None and not self.no_fields), range_multicol=self.range_multicol or self.joinkey_col, resolved=True,
+        )
 
 
 def header_layout(columns: list[str]) -> tuple[bool, bool, int]:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import csv
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +16,76 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.select(place.alias("seq"), "value")
 
 
+def csv_records(lines: Iterable[str]) -> Iterator[tuple[list[str], bool]]:
+    """(cells, whether a quote is still open at the end) of the records of lines without their line ends. Empty lines between records are skipped.
+
+    Quotes are lenient: a field is quoted if it begins with a quote, goes over line ends, and ends with a quote before a comma or the line's
+    end; two quotes in it are one, and any other quote is itself."""
+    rest = iter(lines)
+    for line in rest:
+        line = line.removesuffix("\r")
+        if not line:
+            continue
+        cells, at, opened = [], 0, False
+        while True:
+            if line[at : at + 1] != '"':
+                end = line.find(",", at)
+                cells.append(line[at:] if end < 0 else line[at:end])
+            else:
+                cell, at = "", at + 1
+                while True:
+                    end = line.find('"', at)
+                    if end < 0:
+                        cell, more = cell + line[at:], next(rest, None)
+                        if opened := more is None:
+                            break
+                        cell, line, at = cell + "\n", more.removesuffix("\r"), 0
+                        continue
+                    cell, at = cell + line[at:end], end + 1
+                    if line[at : at + 1] == '"':
+                        at += 1
+                    elif line[at : at + 1] in ("", ","):
+                        break
+                    cell += '"'
+                cells.append(cell)
+                end = -1 if opened or at >= len(line) else at
+            if end < 0:
+                break
+            at = end + 1
+        yield cells, opened
+
+
 def csv_cells(lines: DataFrame) -> DataFrame:
-    """Cells of comma-separated lines with lenient quotes. A quoted field doesn't go over line ends; blank lines are skipped."""
+    """Cells of comma-separated lines that are a record each. Where no line has a quote, Python isn't needed."""
+    lines = lines.select("seq", F.rtrim("value", F.lit("\r")).alias("value")).where("value <> ''")
+    if not lines.where(F.col("value").contains('"')).head(1):
+        return lines.select("seq", F.split("value", ",", -1).alias("cells"))
+    return lines.select("seq", _parsed("value").alias("p")).select("seq", "p.cells")
 
-    @F.pandas_udf("array<string>")
-    def split(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: next(csv.reader([v]), []))
 
-    return lines.where(F.rtrim("value", F.lit("\r")) != "").select("seq", split(F.rtrim("value", F.lit("\r"))).alias("cells"))
+def _parsed(value: str):
+    @F.pandas_udf("struct<cells:array<string>,opened:boolean>")
+    def parse(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([next(csv_records([v]), ([], False)) for v in values], columns=["cells", "opened"])
+
+    return parse(value)
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """Lines in parallel if each is a record; if a quoted field goes over a line end, each file in one piece."""
+    lines = numbered(spark.read.text(path))
+    quoted = lines.where(F.col("value").contains('"'))
+    if not quoted.select(_parsed("value").alias("p")).where("p.opened").head(1):
+        return csv_cells(lines)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, text in zip(b["path"], b["value"], strict=True):
+                rows = [cells for cells, _ in csv_records(text.removesuffix("\n").split("\n"))]
+                yield pd.DataFrame({"path": p, "start": 0, "id": range(len(rows)), "cells": rows})
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.mapInPandas(split, "path string, start long, id long, cells array<string>").select(F.struct("path", "start", "id").alias("seq"), "cells")
 
 
 def tsv_cells(lines: DataFrame) -> DataFrame:
@@ -60,5 +121,4 @@ def json_docs(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
 
 
 def cells(spark: SparkSession, path: str, format: str) -> DataFrame:
-    lines = numbered(spark.read.text(path))
-    return csv_cells(lines) if format == "csv" else tsv_cells(lines)
+    return _csv(spark, path) if format == "csv" else tsv_cells(numbered(spark.read.text(path)))
