@@ -10,6 +10,7 @@ from netloom.llm.common import cut
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) -> (v, component): the smallest vertex that v reaches, for every vertex of an edge between different ones.
+    Repeated edges say the same again; edges with a null end and loops say nothing. No edges give no rows.
 
     Each round maps every vertex to the smallest of itself and its neighbours, follows these maps to their ends by doubling, and contracts; each
     end takes one other vertex with it at least, so at least half of the vertices go. Rounds end when no edge is left; the maps are then composed. Aggregations combine before

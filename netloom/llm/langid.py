@@ -108,7 +108,8 @@ def fit_language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Document frequencies are counted over all of these rows, summed where they lie and then by place. The
     weights are fitted by one task on at most about ``sample`` documents, evenly over the languages, whose
-    hashed ids are smallest; a limit of twice that guards it."""
+    hashed ids are smallest; a limit of twice that guards it. Repeated rows count each; rows that share an id are taken or left together, and null
+    ids are like others."""
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.xxhash64(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y"))
     by_lang = {r["y"]: r["count"] for r in df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("y")).count().collect()}
     if not by_lang:

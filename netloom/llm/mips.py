@@ -139,9 +139,10 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     """The ``k`` vectors of largest inner product with each query, but the query's own id: query_id, rank from 1, id, score.
 
     Vectors and queries that are null, empty or zero, or hold null or non-finite components, or whose size isn't the vectors' usual one, or
-    whose id is null, take no part; a query with fewer candidates gets them all; ties go to the smaller id. Repeated rows count each.
+    whose id is null, take no part; a query with fewer candidates gets them all; ties go to the smaller id. Repeated rows count each,
+    and so do different vectors of one id. Empty tables give no rows; other columns are not read.
 
-    The quantiser is fitted by one task on ``sample`` vectors at most. Every vector is encoded. Blocks of vectors meet blocks of queries:
+    The quantiser is fitted by one task on ``sample`` vectors at most. Every vector is encoded once. Blocks of vectors meet blocks of queries:
     a task scans its block's codes for its queries and reranks the best ``k * rerank`` of each exactly, then all others that may reach the
     ``k``-th of these by the bound on their quantisation errors; what remains, ``k`` rows a query and block, is ranked by a window whose ranks are limited before the shuffle."""
     spark = vectors.sparkSession
@@ -170,9 +171,20 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
     books = np.frombuffer(found[0]["b"], "<f8").reshape(-1, CENTRES, 2)
     q = Quantiser(books, found[0]["w"])
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes, and what is known of their errors, of each vector, once."""
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                codes = encode(x, q)
+                r = Residuals.of(x, codes, q)
+                rows = np.ascontiguousarray(packed(codes).T)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in rows], pa.binary()), *map(pa.array, (r.norm, r.kept, r.across))], names=["id", "vec", "codes", "norm", "kept", "across"])
+
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
-    left = rows.select("id", "vec", deal(n_blocks).alias("b"), each(n_query_blocks).alias("qb"))
+    coded = rows.select("id", "vec").mapInArrow(encoded, f"id {kind}, vec {rows.schema['vec'].dataType.simpleString()}, codes binary, norm double, kept double, across double")
+    left = coded.select("*", deal(n_blocks).alias("b"), each(n_query_blocks).alias("qb"))
     right = asked.select("id", "vec", each(n_blocks).alias("b"), deal(n_query_blocks).alias("qb"))
 
     def meet(_: tuple, vs: pa.Table, qs: pa.Table) -> pa.Table:
@@ -180,8 +192,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "v
         if vs.num_rows and qs.num_rows:
             vs = vs.sort_by("id")
             x, ids = matrix(vs.column("vec")), vs.column("id").to_numpy()
-            plain = encode(x, q)
-            codes, residuals = packed(plain), Residuals.of(x, plain, q)
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(vs.column("codes").to_pylist()), np.uint8).reshape(len(x), -1).T)
+            residuals = Residuals(*(vs.column(c).to_numpy() for c in ("norm", "kept", "across")))
             keep = k * rerank + 1
             for query_id, y in zip(qs.column("id").to_pylist(), matrix(qs.column("vec")), strict=True):
                 approximate = scan(y, q, codes)

@@ -16,6 +16,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(mod: int, rest: int):
+    """Whether a row isn't learned from: those of one remainder, and those without an id."""
+    return F.coalesce(crc_mod("doc_id", mod) == rest, F.lit(True)).alias("held_out")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.llm.packing import pack
 
@@ -48,7 +53,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit_language_id(docs.where(crc_mod("doc_id", 4) != 2))
-    return predict_language(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict_language(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(crc_mod("doc_id", 5) != 0))
     scored = score_toxicity(docs, model)
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def write_token_orc(
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, text_hash, n_tokens, ids and the file that holds them; filters on doc_id reach the files' indexes."""
-    return spark.read.orc(path).select("*", F.input_file_name().alias("file"))
+    return spark.read.orc(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_positions(spark: SparkSession, path: str) -> DataFrame:
     """For each document in the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    Files are ranges of ids, so a document's start is its file's start plus the running sum inside its file. The
+    Null ids come first, rows that share an id in the order of their texts' hashes, each with a row of its own; files without rows give none. Files are ranges of ids, so a document's start is its file's start plus the running sum inside its file. The
     files' starts come from a table with one row a file, read from the column ``n_tokens`` alone."""
     rows = read_token_orc(spark, path)
     # One row a file; Spark numbers the files in the order of the ranges, and their names begin with that number.

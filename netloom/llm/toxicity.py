@@ -119,7 +119,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     with several labels has the greatest.
 
     The sample is those ids whose hashes are smallest, by a threshold from the labels' counts. A limit of four times the bound guards
-    it, so that it may be broadcast to the texts, which aren't shuffled. One task fits the model. Without labels or texts the model scores 0."""
+    it, so that it may be broadcast to the texts, which aren't shuffled. One task fits the model. Without labels or texts the model scores 0.
+    Repeated rows count each; other columns are not read."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts:

@@ -58,6 +58,35 @@ def test_search_of_a_hot_family_and_exact_copies(spark):
         assert [i for _, i in sorted(v)] == np.lexsort((np.arange(3000), -s))[:20].tolist()
 
 
+def test_search_at_production_parameters(spark, tmp_path):
+    """20,000 vectors, three blocks, a family of a third and a row that occurs 4,000 times: recall 1, ties to smaller ids."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(9)
+    u = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = u(rng.normal(size=(20_000, 64))).astype(np.float32)
+    x[rng.permutation(20_000)[:6_600]] = u(u(rng.normal(size=64)) + 0.05 * rng.normal(size=(6_600, 64)))
+    x[rng.permutation(20_000)[:4_000]] = x[11]
+    pq.write_table(pa.table({"vec_id": np.arange(20_000), "embedding": list(x)}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = {}
+    for r in search(df.where("vec_id % 400 = 0"), df, k=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    x = x.astype(np.float64)
+    assert len(got) == 50
+    for q, v in got.items():
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        assert [i for _, i in sorted(v)] == np.lexsort((np.arange(20_000), -s))[:20].tolist()
+
+
+def test_search_of_equal_vectors(spark):
+    df = spark.range(20_000).selectExpr("id AS vec_id", "array(1.0D, 2.0D, 3.0D, 4.0D) AS embedding")
+    rows = search(df.where("vec_id % 1000 = 0"), df, k=20).collect()
+    assert len(rows) == 400 and {r.vec_id for r in rows if r.query_id == 0} == set(range(1, 21))
+
+
 def test_search_of_few_distinct_vectors(spark):
     x = np.random.default_rng(6).normal(size=(2, 16))
     df = vectors(spark, x[np.arange(600) % 2])
