@@ -22,13 +22,11 @@ def key_of(prefix: Column, width: int) -> Column:
 
 def _asked(probes: DataFrame, width: int, lengths: list[int]) -> DataFrame:
     """Each probe once for each length, with ``_key`` and ``_n``, the length."""
-    if width < 63:
-        whole = probes.withColumn("_whole", key_of(F.col("bits"), width))
-        keys = [F.struct(F.lit(n).alias("n"), F.shiftright("_whole", width - n).alias("k")) for n in lengths]
-    else:
-        whole = probes.withColumn("_whole", F.lit(0))
-        keys = [F.struct(F.lit(n).alias("n"), F.col("bits").substr(1, n).alias("k")) for n in lengths]
-    return whole.withColumn("_x", F.explode(F.array(*keys))).select(*(F.col(c) for c in probes.columns), F.col("_x.k").alias("_key"), F.col("_x.n").alias("_n"))
+    # One expression as text: a column object for each length would take longer to build than small joins to run.
+    whole = key_of(F.col("bits"), width) if width < 63 else F.lit(0)
+    key = (lambda n: f"shiftright(_whole, {width - n})") if width < 63 else (lambda n: f"substring(bits, 1, {n})")
+    keys = F.expr(f"explode(array({', '.join(f"named_struct('n', {n}, 'k', {key(n)})" for n in lengths)}))")
+    return probes.withColumn("_whole", whole).withColumn("_x", keys).select(*probes.columns, F.col("_x.k").alias("_key"), F.col("_x.n").alias("_n"))
 
 
 def covering(probes: DataFrame, networks: DataFrame, width: int = V4, how: str = "inner", lengths: Iterable[int] | None = None) -> DataFrame:
