@@ -243,8 +243,8 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in batches:
-            for a, b, texts in text_steps(batch.column(1)):
-                ids, bounds = c.encode([t.decode() for t in texts])
+            for a, b, texts in text_steps(batch.column(1), raw=False):
+                ids, bounds = c.encode(texts)
                 out = [batch.column(0).slice(a, b - a), id_lists(ids, bounds)]
                 if decode:
                     flat = ids.tolist()

@@ -80,11 +80,12 @@ def steps(texts: list, chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     yield from spans_of(map(len, texts), chars)
 
 
-def text_steps(column: pa.Array, chars: int = STEP_CHARS) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, texts in UTF-8, nulls as empty) of a column: whatever the size of a batch, Python holds about ``chars`` bytes of texts at a time."""
+def text_steps(column: pa.Array, chars: int = STEP_CHARS, raw: bool = True) -> Iterator[tuple[int, int, list]]:
+    """(start, end, texts in UTF-8, or as text; nulls as empty) of a column: whatever the size of a batch, Python holds about ``chars`` bytes of texts at a time."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    kind, empty = (pa.binary(), b"") if raw else (pa.string(), "")
     for a, b in spans_of(sizes, chars):
-        yield a, b, [t or b"" for t in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+        yield a, b, [t or empty for t in column.slice(a, b - a).cast(kind).to_pylist()]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -118,8 +118,8 @@ def fit_language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PLACES, np.int64)
         for batch in batches:
-            for *_, texts in text_steps(batch.column(0)):
-                for c in _counts([t.decode() for t in texts]):
+            for *_, texts in text_steps(batch.column(0), raw=False):
+                for c in _counts(texts):
                     total += c > 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
@@ -157,8 +157,7 @@ def predict_language(df: DataFrame, model: LanguageModel | None, id_col: str = "
         m = shared.value
         for batch in batches:
             langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for a, b, raw in text_steps(batch.column(1)) if m else ():
-                texts = [t.decode() for t in raw]
+            for a, b, texts in text_steps(batch.column(1), raw=False) if m else ():
                 for i, text, c in zip(range(a, b), texts, _counts(texts), strict=True):
                     if LETTER.search(text):
                         at, x = _vector(c, m[1])

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, steps, stored, text_steps
 
 LENGTH, GRAM = 200, 40
-#: Bytes of a digit; kinds of surroundings of an anchor that one task sorts, and bytes of them that it sorts at a time.
-DIGIT, CROWD, SORTED = 8, 512, 1_500_000
+#: Bytes of a digit; kinds of surroundings of an anchor that one task sorts (a few MB), bytes of them that it takes at a time, and suffixes that it sorts at a time.
+DIGIT, CROWD, SORTED, SUFFIXES = 8, 16_384, 1_500_000, 400_000
 #: Neighbouring windows in a block.
 BLOCK = 16
 #: Longer texts are looked at in pieces of so many bytes, which overlap by a window.
@@ -130,7 +130,14 @@ def sorted_spans(t: pa.Table, length: int) -> pa.RecordBatch:
     unit = np.repeat(np.arange(len(h)), count)
     j = np.arange(len(unit)) - np.repeat(ends - count, count)
     anchor = np.cumsum(np.append(True, h[1:] != h[:-1]))
-    found = radix(raw, bounds[:-1][unit] + j, anchor[unit] * 1024 + high[unit] - j, length) & (n[unit] == 1)
+    start, away = bounds[:-1][unit] + j, high[unit] - j
+    found = np.zeros(len(unit), bool)
+    # Suffixes at different distances from their anchors can't be equal, so some distances are sorted at a time.
+    share = -(-len(unit) // SUFFIXES)
+    for k in range(share):
+        some = np.flatnonzero(away % share == k) if share > 1 else slice(None)
+        found[some] = radix(raw, start[some], anchor[unit[some]] * 1024 + away[some], length)
+    found &= n[unit] == 1
     before = np.append(False, found[:-1]) & (j > 0)
     after = np.append(found[1:], False) & (j < count[unit] - 1)
     s, e = np.flatnonzero(found & ~before), np.flatnonzero(found & ~after)

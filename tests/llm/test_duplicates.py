@@ -122,10 +122,11 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [512, 2])
+@pytest.mark.parametrize("crowd", [16_384, 2])
 def test_repeats_equal_brute_force(spark, crowd, monkeypatch):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     monkeypatch.setattr(suffixes, "SORTED", 20_000)
+    monkeypatch.setattr(suffixes, "SUFFIXES", 1_000)
     rng, length = random.Random(1), 100
     shared = [" ".join(words(rng, 40)) for _ in range(3)]
     rows = []
