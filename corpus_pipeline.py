@@ -1,4 +1,8 @@
-"""Toxicity, language ID, MinHash near-duplicates, repeated substrings, packing: from raw documents to packed ones."""
+"""Toxicity, language ID, MinHash near-duplicates, repeated substrings, packing: from raw documents to packed ones.
+
+Each stage takes whole texts of any length and rows with nulls in any column. All but the last return the columns of documents; others,
+whatever their names, are dropped. An empty table goes through all stages.
+"""
 
 from __future__ import annotations
 
@@ -23,14 +27,14 @@ def _carried(docs: DataFrame, id_name: str = "row") -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below 0.5; those with null or empty texts stay. Learns from the labelled documents as op5 does."""
+    """Documents whose toxicity is below 0.5; those with null or empty texts stay, repeated rows each. Learns from the labelled documents as op5 does."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     scored = score_toxicity(_carried(docs), fit_toxicity(docs, labels), "row")
     return scored.where("score < 0.5").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: texts that are null or without a letter go. Learns from documents' own languages as op4 does."""
+    """Documents that have a language: texts that are null or without a letter go. Repeated rows are judged each. Learns from documents' own languages as op4 does."""
     model = fit_language_id(docs.where(crc_mod("doc_id", 4) != 2))
     return predict_language(_carried(docs), model, "row").where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
@@ -48,20 +52,24 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of windows of 200 bytes that occur elsewhere; a character that is cut goes whole."""
+    """All documents, without the bytes of windows of 200 bytes that occur elsewhere; a character that is cut goes whole.
+
+    A null text becomes the empty one. Repeated rows are copies of one another, so that each loses all but texts shorter than a window."""
     out = remove_repeats(docs, carry=["lang", "source"], as_text=True)
     return out.select("doc_id", F.col("kept").alias("text"), "carry.lang", "carry.source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of 8192 bytes, none with two of a source or of a duplicate cluster (texts that are equal but for case and white space)."""
+    """Pieces of documents in bins of 8192 bytes, none with two of a source or of a duplicate cluster (texts that are equal but for case and white space).
+
+    Documents without text have one row without a bin; null sources meet nothing; repeated rows are packed each."""
     words = F.regexp_replace(F.lower("text"), r"\s+", " ")
     return pack(docs.select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(words).alias("cluster")), "n_bytes", CAPACITY)
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicate), ("repeats", repeated), ("packing", packing)]
 
-#: Trained models, components and packing are beyond SQL; tests hold the stages against brute force.
+#: Trained models, components and packing are beyond SQL; tests/llm/test_pipeline.py holds the stages against brute force, and the models against labels.
 ORACLE_SQL = None
 
 
