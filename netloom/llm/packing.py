@@ -79,17 +79,28 @@ def best_fit(lengths: Sequence[int], sources: Sequence, clusters: Sequence, capa
     return out
 
 
-def pack(df: DataFrame, length: str, capacity: int, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", shard: int = SHARD) -> DataFrame:
+def character_cuts(text_col: str, capacity: int):
+    """For a text of more than ``capacity`` bytes, the bytes at which it is cut so that no piece is longer and no character is parted; else null."""
+    raw, n = F.col(text_col).cast("binary"), F.octet_length(text_col).cast("long")
+    stride = capacity - 3  # a character has three more bytes at most
+    inside = lambda p: F.hex(F.substring(raw, p + 1, 1)).between("80", "BF")
+    back = lambda p: F.when(~inside(p), p).when(~inside(p - 1), p - 1).when(~inside(p - 2), p - 2).otherwise(p - 3)
+    cuts = F.transform(F.sequence(F.lit(1).cast("long"), F.floor((n - 1) / stride)), lambda k: back((k * stride).cast("int")).cast("long"))
+    return F.when(n > capacity, cuts)
+
+
+def pack(df: DataFrame, length: str, capacity: int, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster", shard: int = SHARD, cuts_col: str | None = None) -> DataFrame:
     """Packs all rows into bins: the id, ``piece int``, ``start long``, ``length int``, ``bin long``, ``bin_offset int``.
 
-    A row of more than ``capacity`` units fills bins with full pieces, and its rest is packed like other rows. A row of no or null or negative
+    A row of more than ``capacity`` units fills bins with pieces, and its rest is packed like other rows. It is cut each ``capacity`` units, or where the
+    ascending offsets in ``cuts_col`` say (each bin then holds the one piece). A row of no or null or negative
     length gets one row with piece 0, length 0 and a null bin. A null source or cluster meets nothing. Repeated rows are packed each.
     Rows are dealt round robin to shards of at most ``shard`` rows, so that no source or cluster decides a task's size; each is packed for itself,
     in one task. An empty table gives no rows. Other columns are not read."""
     if not 0 < capacity < 1 << 31:
         raise ValueError("capacity must be positive and below 2**31")
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("k"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n"), F.col(source_col).cast("string").alias("s"), F.col(cluster_col).cast("string").alias("c"))
+    rows = df.select(F.col(id_col).alias("k"), F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long").alias("n"), F.col(source_col).cast("string").alias("s"), F.col(cluster_col).cast("string").alias("c"), (F.col(cuts_col) if cuts_col else F.lit(None)).cast("array<bigint>").alias("cuts"))
     shards = max(1, -(-df.count() // shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +108,24 @@ def pack(df: DataFrame, length: str, capacity: int, id_col: str = "doc_id", sour
         if not got:
             return
         t = pa.Table.from_batches(got).combine_chunks()
-        keys, n, s, c = t.column(0), t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_pylist()
+        keys, n, s, c, given = t.column(0), *(t.column(i).to_pylist() for i in range(1, 5))
+        # Where each row's pieces begin; the last is its rest, none if full pieces leave nothing.
+        starts = [[0, *x] if x is not None else range(0, k - k % capacity + 1, capacity) for k, x in zip(n, given, strict=True)]
+        rest_of = [k - x[-1] for k, x in zip(n, starts, strict=True)]
         # The order must not depend on the order in which rows arrived, so that a task that runs again gives the same bins.
-        order = sorted(range(len(n)), key=lambda i: (-(n[i] % capacity), str(keys[i]), s[i] or "", c[i] or "", n[i]))
-        rest = [i for i in order if n[i] % capacity]
-        places = best_fit([n[i] % capacity for i in rest], [s[i] for i in rest], [c[i] for i in rest], capacity)
+        order = sorted(range(len(n)), key=lambda i: (-rest_of[i], str(keys[i]), s[i] or "", c[i] or "", n[i]))
+        rest = [i for i in order if rest_of[i]]
+        places = best_fit([rest_of[i] for i in rest], [s[i] for i in rest], [c[i] for i in rest], capacity)
         used = max((b for b, _ in places), default=-1) + 1
         first = TaskContext.get().partitionId() << 32
         rows = []
         for i in order:
-            for piece in range(n[i] // capacity):
-                rows.append((i, piece, piece * capacity, capacity, first + used, 0))
+            for piece, (x, y) in enumerate(zip(starts[i], starts[i][1:], strict=False)):
+                rows.append((i, piece, x, y - x, first + used, 0))
                 used += 1
             if not n[i]:
                 rows.append((i, 0, 0, 0, None, None))
-        rows += [(i, n[i] // capacity, n[i] - n[i] % capacity, n[i] % capacity, first + b, at) for i, (b, at) in zip(rest, places, strict=True)]
+        rows += [(i, len(starts[i]) - 1, starts[i][-1], rest_of[i], first + b, at) for i, (b, at) in zip(rest, places, strict=True)]
         for a in range(0, len(rows), 50_000):
             part = list(zip(*rows[a : a + 50_000], strict=True))
             ids = keys.take(pa.array(part[0], pa.int64())).combine_chunks()

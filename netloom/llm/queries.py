@@ -22,11 +22,11 @@ def held_out(mod: int, rest: int):
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from netloom.llm.packing import pack
+    from netloom.llm.packing import character_cuts, pack
 
     words = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    items = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(words).alias("cluster"))
-    return pack(items, "n_bytes", 8192)
+    items = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(words).alias("cluster"), character_cuts("text", 8192).alias("cuts"))
+    return pack(items, "n_bytes", 8192, cuts_col="cuts")
 
 
 def op2_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:

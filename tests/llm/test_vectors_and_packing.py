@@ -4,7 +4,7 @@ import numpy as np
 
 from netloom.llm import mips
 from netloom.llm.mips import search
-from netloom.llm.packing import best_fit, pack
+from netloom.llm.packing import best_fit, character_cuts, pack
 from netloom.llm.pivots import near_vectors
 
 
@@ -189,6 +189,18 @@ def test_best_fit_equals_a_plain_search():
         assert abs(len(bins) - count) <= 2
 
 
+def test_pieces_hold_whole_characters(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aé漢😀") for _ in range(n)) for n in (0, 3, 4, 5, 40, 200, 333)] + ["b" * 20, "c" * 10, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "octet_length(text) n", "null source", "null cluster").withColumn("cuts", character_cuts("text", 10))
+    got = {}
+    for r in sorted(pack(df, "n", 10, cuts_col="cuts").collect(), key=lambda r: (r.doc_id, r.piece)):
+        raw = (texts[r.doc_id] or "").encode()[r.start : r.start + r.length]
+        assert len(raw) == r.length <= 10
+        got[r.doc_id] = got.get(r.doc_id, "") + raw.decode()
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+
+
 def test_pack(spark):
     rows = [(1, 25, "a", 1), (2, None, "a", None), (3, 0, None, 2), (4, -3, "b", 2), (5, 10, "a", 3), (5, 10, "a", 3), (None, 4, None, None), (6, 3, "b", 1)]
     df = spark.createDataFrame(rows, "doc_id long, n long, source string, cluster long").selectExpr("*", "1 k", "2 bin")
