@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import DOC_BITS, BitFilter, crc_mod, cut, discard, passed, stored, table
 from netloom.llm.langid import UNKNOWN, fit_language_id, predict_language
 from netloom.llm.minhash import near_duplicates
-from netloom.llm.packing import pack
+from netloom.llm.packing import character_cuts, pack
 from netloom.llm.suffixes import remove_repeats
 from netloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -64,7 +64,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without text have one row without a bin; null sources meet nothing; repeated rows are packed each."""
     words = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    return pack(docs.select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(words).alias("cluster")), "n_bytes", CAPACITY)
+    items = docs.select("doc_id", "source", F.octet_length("text").alias("n_bytes"), F.xxhash64(words).alias("cluster"), character_cuts("text", CAPACITY).alias("cuts"))
+    return pack(items, "n_bytes", CAPACITY, cuts_col="cuts")
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicate), ("repeats", repeated), ("packing", packing)]
