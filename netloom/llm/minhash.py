@@ -25,7 +25,7 @@ WORDS = 5
 #: 128 permutations give 256 values, in 51 bands of 5: a pair of similarity 0.75 is missed with probability 1e-6.
 PERMUTATIONS, BAND = 128, 5
 #: Members of a cell that are compared at a time with as many.
-CELL_BLOCK = 128
+CELL_BLOCK = 512
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(1, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
