@@ -77,10 +77,6 @@ def prefix_from_cidr(text, width: int = 128):
     return _udf(cidr_prefix, width)(text)
 
 
-def cidr_from_prefix(prefix, width: int = 128):
-    return _udf(prefix_text, width)(prefix)
-
-
 def text_from_bits(bits):
     return _udf(address_text)(bits)
 

@@ -13,11 +13,6 @@ from netloom.operators.buckets import DIGITS, bucket_of, bucket_starts
 from netloom.operators.lookup import covering
 
 
-def explode_ranges(rows: DataFrame, start: str, end: str, width: int = V4) -> DataFrame:
-    """Rows of inclusive address ranges -> one row for each prefix of the range."""
-    return range_blocks(rows, start, end, width)
-
-
 def cut_points(blocks: DataFrame, width: int = V4, bucket: int = DIGITS) -> DataFrame:
     """The addresses at which the covering set can change, and each bucket's first."""
     starts = blocks.select(first_address("prefix", width).alias("bits"))

@@ -67,7 +67,11 @@ def lookup_lines(hits: DataFrame, format: str = "json", header: bool = True) ->
     if format.startswith("json"):
         lines = json_lines(hits, "ip", F.col("ip")).select("pos", "line").orderBy("pos")
         if format == "json-pretty":
-            pretty = F.udf(lambda s: json.dumps(json.loads(s), indent=2, ensure_ascii=False), "string")
+
+            @F.pandas_udf("string")
+            def pretty(text: pd.Series) -> pd.Series:
+                return text.map(lambda s: json.dumps(json.loads(s), indent=2, ensure_ascii=False))
+
             lines = lines.withColumn("line", pretty("line"))
         return lines
     rows = as_text_record(hits)
@@ -78,8 +82,3 @@ def lookup_lines(hits: DataFrame, format: str = "json", header: bool = True) ->
         top = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("pos"), (csv_line if format == "csv" else tsv_line)(names).alias("line"))
         lines = top.union(lines)
     return lines.orderBy("pos")
-
-
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Writes the lines, in their order, to one text file's worth of partitions at ``path``."""
-    lines.select("line").coalesce(1).write.mode("overwrite").text(path)

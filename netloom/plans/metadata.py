@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.values import COUNT_UNITS, SIZE_UNITS, human
-from netloom.sources.mmdb_format import ARRAY, BOOL, BYTES, CONTAINER, DOUBLE, END, FLOAT, INT32, MAP, MARKER, POINTER, SEPARATOR, SIZE_BASES, STRING, UINT16, UINT32, UINT64, UINT128, Decoder, layout, problems
+from netloom.sources.mmdb_format import ARRAY, BOOL, BYTES, CONTAINER, DOUBLE, END, FLOAT, INT32, MAP, MARKER, POINTER, SEPARATOR, STRING, UINT16, UINT32, UINT64, UINT128, Decoder, layout, problems
 
 #: Names of the counters, as the JSON output has them (fixed values).
 COUNTERS = {
