@@ -19,7 +19,7 @@ from netloom.operators.resolve import canonical_leaves, resolve, winners
 from netloom.plans import exporting, importing, metadata
 from netloom.sources.options import ImportOptions
 from netloom.sources.text import csv_cells
-from netloom.streaming.enrich import enrich
+from netloom.streaming.enrich import enrich, rates
 
 #: Lengths of the made networks' leaves.
 LENGTHS = range(25)
@@ -312,6 +312,18 @@ def stream_enrich(spark, d):
     return run_once(enrich(asked, db).select("pos", F.col("record").alias("segment")))
 
 
+def stream_rates(spark, d):
+    """Events a day and segment, counted in the stream; the days that the watermark has closed."""
+    from netloom.streaming.run import run_once
+
+    db = by_segment(nets(spark, d)).where("record is not null")
+    source = table(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
+    asked = stream.select(F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)").alias("ts"), digits("event_id", PROBE).alias("bits"))
+    counts = rates(enrich(asked, db).select("ts", F.col("record").alias("segment")), "ts", "segment", "1 day")
+    return run_once(counts).select(F.date_format(F.to_utc_timestamp("window.start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "segment", F.col("count").alias("events"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -319,7 +331,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decimal_to_ip, default_prefix_len, range_to_cidr, resolve_replace, resolve_toplevel, resolve_recurse, ignore_empty_layer, canonical_networks, canonical_of_points,
         export_csv_row, export_tsv_row, export_json_row, export_header, entry_count, stringify_values, json_first_keys, record_with_network, drop_join_key, no_network, no_fields,
         fields_explicit, own_network_field, reject_rows, resolve_v6, reserved_filter, diff_subnets, diff_records, diff_summary, full_diff, human_size, human_count, section_arithmetic,
-        type_size_scan_compat, verify_disjoint, alias_6to4_lookup, stream_enrich,
+        type_size_scan_compat, verify_disjoint, alias_6to4_lookup, stream_enrich, stream_rates,
     )
 }
 
@@ -454,5 +466,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT o_orderkey, tree_size, tree_size + 16 AS data_section_start_offset, mark - tree_size - 16 AS data_section_size, mark AS data_section_end_offset, mark + 14 AS metadata_section_start_offset FROM t""",
     "verify_disjoint": f"WITH {_NETS}, n AS (SELECT DISTINCT prefix FROM nets) SELECT a.prefix AS \"inner\", b.prefix AS \"outer\" FROM n a JOIN n b ON starts_with(a.prefix, b.prefix) AND a.prefix <> b.prefix",
     "alias_6to4_lookup": f"{_LOOK} SELECT pos, seq FROM best",
+    "stream_rates": f"""WITH {_NETS}, p AS (SELECT event_id AS pos, CAST(ts AS TIMESTAMP) AS ts, format('{{:032b}}', (event_id * {PROBE}) % {TOP}) AS bits FROM events),
+      m AS (SELECT p.pos, any_value(p.ts) AS ts, arg_max(n.segment, n.seq) AS segment FROM p JOIN nets n ON starts_with(p.bits, n.prefix) GROUP BY p.pos)
+      SELECT strftime(ts, '%Y-%m-%d') AS day, segment, count(*) AS events FROM m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM m) - INTERVAL 10 MINUTE GROUP BY ALL""",
     "stream_enrich": f"WITH {_NETS}, {_PROBES} SELECT p.pos, arg_max(n.segment, n.seq) AS segment FROM probes p JOIN nets n ON starts_with(p.bits, n.prefix) GROUP BY p.pos",
 }
