@@ -50,9 +50,24 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("path", nargs="?")
     for c in (i, e, r, d, m, v):
         c.add_argument("--nocolor", action="store_true")
+    s.add_parser("completion")
     return p
 
 
+def completion(p: argparse.ArgumentParser) -> str:
+    """A script for bash: commands, then a command's options, then files."""
+    commands = next(a for a in p._actions if isinstance(a, argparse._SubParsersAction)).choices
+    cases = "\n".join(f'    {name}) words="{" ".join(o for a in c._actions for o in a.option_strings)}" ;;' for name, c in commands.items())
+    return f"""_netloom() {{
+  local words="{' '.join(commands)}"
+  [ "$COMP_CWORD" -gt 1 ] && case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+  COMPREPLY=($(compgen -W "$words" -- "${{COMP_WORDS[COMP_CWORD]}}") $(compgen -f -- "${{COMP_WORDS[COMP_CWORD]}}"))
+}}
+complete -o filenames -F _netloom netloom"""
+
+
 def _needed(path: str | None) -> str:
     if not path:
         raise ValueError("input mmdb file required")
@@ -97,6 +112,9 @@ def run(spark: SparkSession, argv: list[str], colour: bool = False) -> Iterator[
     from netloom.sources.options import ImportOptions, export_format, read_format
 
     a = parser().parse_args(argv)
+    if a.command == "completion":
+        yield completion(parser())
+        return
     if a.command == "import":
         source, out = a.paths[:2] if len(a.paths) > 1 else (a.source, a.out)
         kinds = [k for k in ("csv", "tsv", "json") if getattr(a, k)]

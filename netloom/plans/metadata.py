@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.values import COUNT_UNITS, SIZE_UNITS, human
-from netloom.sources.mmdb_format import ARRAY, BOOL, BYTES, CONTAINER, DOUBLE, END, FLOAT, INT32, MAP, MARKER, POINTER, SEPARATOR, STRING, UINT16, UINT32, UINT64, UINT128, Decoder, layout, problems
+from netloom.sources.mmdb_format import ARRAY, BOOL, BYTES, CONTAINER, DOUBLE, END, FLOAT, INT32, MAP, MARKER, POINTER, SEPARATOR, STRING, UINT16, UINT32, UINT64, UINT128, Decoder, FormatError, layout, problems
 
 #: Names of the counters, as the JSON output has them (fixed values).
 COUNTERS = {
@@ -24,26 +26,38 @@ def section_columns(record_size, node_count, marker_at) -> dict:
     return {"tree_size": tree, "data_section_start_offset": tree + SEPARATOR, "data_section_size": marker_at - tree - SEPARATOR, "data_section_end_offset": marker_at, "metadata_section_start_offset": marker_at + len(MARKER)}
 
 
+#: Control bytes with what follows them of type and size; the rest of data that ends inside one.
+CONTROL = re.compile(rb"[\x20-\x3f]|\x1d..|\x1e...|\x1f....|[\x00-\x1c].|[\x5d\x7d\x9d\xbd\xdd\xfd].|[\x5e\x7e\x9e\xbe\xde\xfe]..|[\x5f\x7f\x9f\xbf\xdf\xff]...|[\x40-\x5c\x60-\x7c\x80-\x9c\xa0-\xbc\xc0-\xdc\xe0-\xfc]|.+", re.DOTALL)
+
+
 def type_sizes(data: bytes, mode: str = "compat") -> dict[str, int]:
     """Payload bytes (entries of maps and arrays) by type.
 
-    ``compat`` walks the bytes as the reference does: a value's payload is looked at as further control bytes. ``exact`` steps over payloads."""
+    ``compat`` walks the bytes as the reference does: a value's payload is looked at as further control bytes, so that equal ones can be counted
+    first. ``exact`` steps over payloads."""
     out = dict.fromkeys(COUNTERS.values(), 0)
+    if mode == "compat":
+        for raw, n in Counter(CONTROL.findall(data)).items():
+            try:
+                kind, size, at = Decoder(raw).control(0)
+            except FormatError:
+                continue
+            if at == len(raw) and kind in COUNTERS:
+                out[COUNTERS[kind]] += n * (size >> 3 if kind == POINTER else size)
+        return out
     at, d = 0, Decoder(data)
     while at < len(data):
         try:
             kind, size, at = d.control(at)
-        except ValueError:
+        except FormatError:
             break
         if kind == POINTER:
-            out["pointer_size"] += size >> 3
-            if mode == "exact":
-                out["pointer_size"] += 1
-                at += (size >> 3) + 1
+            out["pointer_size"] += (size >> 3) + 1
+            at += (size >> 3) + 1
             continue
         if kind in COUNTERS:
             out[COUNTERS[kind]] += size
-        if mode == "exact" and kind not in (MAP, ARRAY, BOOL, CONTAINER, END):
+        if kind not in (MAP, ARRAY, BOOL, CONTAINER, END):
             at += size
     return out
 

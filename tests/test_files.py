@@ -267,6 +267,30 @@ def test_sections_and_type_sizes(spark):
     assert [M.Decoder(bytes(b)).control(0)[1] for b in ([0x40 | 29, 5], [0x40 | 30, 1, 0], [0x40 | 31, 0, 0, 1])] == [34, 541, 65822]
 
 
+def test_type_sizes_equal_a_plain_walk():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 50, 400):
+        for _ in range(20):
+            data = bytes(rng.choice((rng.randrange(256), 0x5D, 0x1E, 0xFF)) for _ in range(n))
+            at, want = 0, {}
+            while at < n:
+                try:
+                    kind, size, at = M.Decoder(data).control(at)
+                except M.FormatError:
+                    break
+                want[kind] = want.get(kind, 0) + (size >> 3 if kind == M.POINTER else size)
+            got = type_sizes(data)
+            assert [got["pointer_size"], got["utf8_string_size"], got["float_size"], got["unsigned_64bit_integer_size"]] == [want.get(k, 0) for k in (M.POINTER, M.STRING, M.FLOAT, M.UINT64)]
+
+
+def test_completion():
+    import subprocess
+
+    (script,) = run(None, ["completion"])
+    out = subprocess.run(["bash", "-c", script + "\nCOMP_WORDS=(netloom export --no); COMP_CWORD=2; _netloom; echo ${COMPREPLY[@]}"], capture_output=True, text=True).stdout
+    assert out.split() == ["--no-header", "--nocolor"]
+
+
 def test_addresses(spark, tmp_path):
     p = put(tmp_path, "ips", "192.0.2.1\n198.51.100.0/31\n\n203.0.113.1-203.0.113.2\n192.0.2.254,192.0.3.1\n")
     want = ["192.0.2.1", "198.51.100.0", "198.51.100.1", "203.0.113.1", "203.0.113.2", "192.0.2.254", "192.0.2.255", "192.0.3.0", "192.0.3.1", "203.0.113.9"]
