@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/netloom"
 DOC_BITS = 23
 
 #: Text handed to one vectorised step at a time; bounds a Python worker's memory.
-STEP_CHARS = 500_000
+STEP_CHARS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +87,14 @@ def text_steps(column: pa.Array, chars: int = STEP_CHARS, raw: bool = True) -> I
     kind, empty = (pa.binary(), b"") if raw else (pa.string(), "")
     for a, b in spans_of(sizes, chars):
         yield a, b, [t or empty for t in column.slice(a, b - a).cast(kind).to_pylist()]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker goes on to other stages, and what it once held would count against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
