@@ -36,6 +36,8 @@ CLASSES = (regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"[^\
 
 #: Characters in a leaf, and in the first window to each side of a join.
 LEAF, WINDOW = 16_384, 64
+#: Bytes of texts that are encoded at a time; each step costs a look at all words remembered.
+STEP = 500_000
 #: Distinct words that one worker remembers, and their characters; longer words than so many are soon forgotten.
 MEMO, MEMO_CHARS, LONG = 400_000, 1 << 24, 64
 
@@ -243,7 +245,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for batch in batches:
-            for a, b, texts in text_steps(batch.column(1), raw=False):
+            for a, b, texts in text_steps(batch.column(1), STEP, raw=False):
                 ids, bounds = c.encode(texts)
                 out = [batch.column(0).slice(a, b - a), id_lists(ids, bounds)]
                 if decode:
