@@ -6,10 +6,13 @@ whatever their names, are dropped. An empty table goes through all stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import DOC_BITS, BitFilter, crc_mod, cut, discard, passed, stored, table
+from netloom.llm.common import DOC_BITS, BitFilter, crc_mod, cut, discard, give_back, passed, stored, table
 from netloom.llm.langid import UNKNOWN, fit_language_id, predict_language
 from netloom.llm.minhash import near_duplicates
 from netloom.llm.packing import character_cuts, pack
@@ -21,11 +24,23 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 CAPACITY = 8192
 
 
+def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that begins with what those before it have left of the executors' memory given back."""
+
+    @wraps(f)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return f(spark, docs, sf_dir)
+
+    return begun
+
+
 def _carried(docs: DataFrame, id_name: str = "row") -> DataFrame:
     """The documents as one struct each, which an operator hands through as a row's id, and their text."""
     return docs.select(F.struct(*COLUMNS).alias(id_name), "text")
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5; those with null or empty texts stay, repeated rows each. Learns from the labelled documents as op5 does."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
@@ -33,12 +48,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select("row.*")
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: texts that are null or without a letter go. Repeated rows are judged each. Learns from documents' own languages as op4 does."""
     model = fit_language_id(docs.where(crc_mod("doc_id", 4) != 2))
     return predict_language(_carried(docs), model, "row").where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
+@_stage
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id. Texts without words stay, and rows with a null id.
 
@@ -51,6 +68,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return passed(keyed, known, False).select(*COLUMNS).union(stay.select(*COLUMNS))
 
 
+@_stage
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of windows of 200 bytes that occur elsewhere; a character that is cut goes whole.
 
@@ -59,6 +77,7 @@ def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("kept").alias("text"), "carry.lang", "carry.source", F.length("kept").cast("long").alias("n_chars"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in bins of 8192 bytes, none with two of a source or of a duplicate cluster (texts that are equal but for case and white space).
 

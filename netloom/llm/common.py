@@ -231,3 +231,17 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def give_back(spark: SparkSession) -> None:
+    """Lets executors and idle workers return the memory that finished work has left them: a heap otherwise stays as large as it ever was, and adds to what
+    the next work's workers hold. A few small tasks for each core, so that no executor is likely to be left out; one that is only keeps its memory."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from batches
+
+    release(spark)
+    n = 2 * spark.sparkContext.defaultParallelism
+    tasks = spark.range(0, n, 1, n).mapInArrow(trimmed, "id long")
+    tasks.select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
