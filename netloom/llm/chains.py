@@ -2,7 +2,7 @@
 
 Seeds are word k-mers, thinned to the minimisers of windows. Each occurrence of a shared seed is matched first with the seed's
 first document alone. Seeds that lie in no passage then are linked with a later one of their document, and meet all earlier documents that hold
-the same link. A document's matches with another are chained in order with gap costs, by a Fenwick tree
+the same link; of a link at very many places, its holders' surroundings are compared with one another. A document's matches with another are chained in order with gap costs, by a Fenwick tree
 of best scores; chains are extended and aligned word by word, and those long and similar enough are passages.
 """
 
@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm.common import DOC_BITS, BitFilter, discard, first_smallest, mix64, passed, release, steps, stored, text_steps, word_hashes
@@ -28,8 +29,8 @@ GAP, MARGIN, BAND = 0.1, 45, 4
 SEED_BITS = 26
 #: How many words later a seed's link may lie; short common lines hold no link.
 LINK = (12, 36)
-#: A link that more documents hold meets only the first of them and the one before in its share of them, so that no task holds them all.
-MANY, SHARES = 64, 16
+#: Of a link at more places, kinds of surroundings are compared, in blocks of about so many, so that no task holds them all.
+MANY, MEETING = 64, 2_048
 
 
 def find_seeds(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -184,6 +185,60 @@ def passage(a: list[int], b: list[int], ends: tuple[int, int, int, int] | None,
     return (*ends, n) if n >= similarity * max(len(x), len(y)) else None
 
 
+def aligned_passage(a: list[int], b: list[int], core: tuple[int, int, int, int], words: int, similarity: float) -> tuple[int, int, int, int, int] | None:
+    """The passage around a chain whose ends are ``core``, if there is one."""
+    # Ends over equal words are sharper; where they don't do, changed words are aligned, of which there are no more than both sides hold.
+    found = passage(a, b, fit_passage(a, b, *core), words, similarity)
+    if found is None and (Counter(a) & Counter(b)).total() >= similarity * words:
+        found = passage(a, b, align_ends(a, b, *core, words, similarity), words, similarity)
+    return found
+
+
+class Holders:
+    """Which of several rows hold an item; items that a single row holds are left out."""
+
+    def __init__(self, row: np.ndarray, item: np.ndarray, n: int) -> None:
+        self.n = n
+        _, item, count = np.unique(item, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(count[item] > 1)
+        self.item, self.place = item[some], some  # in the rows' order
+        held = np.unique(self.item * n + row[some])  # once for each item and row
+        self.rows = held % n
+        self.end = np.searchsorted(held, (np.arange(len(count)) + 1) * n)
+        self.start = np.searchsorted(held, np.arange(len(count)) * n)
+
+    def counts(self, lo: int, hi: int) -> np.ndarray:
+        """How many different items at places lo to hi each row holds."""
+        x, y = np.searchsorted(self.place, (lo, hi))
+        parts = [self.rows[self.start[k] : self.end[k]] for k in set(self.item[x:y].tolist())]
+        return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+
+
+def word_holders(sizes: np.ndarray, values: np.ndarray) -> tuple[Holders, Holders, np.ndarray]:
+    """Of texts' words (a word's second occurrence is another item) and of pairs of neighbours, by their places in ``values``, and the texts' bounds there."""
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((values, of))
+    new = np.append(True, (np.diff(of[order]) != 0) | (np.diff(values[order]) != 0))
+    nth = np.empty(len(order), np.int64)
+    nth[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    v = values.astype(np.int64)
+    twos = np.append(v[:-1] << 32 | v[1:] & 0xFFFFFFFF, 0)
+    twos[bounds[1:] - 1] = -1 - bounds[1:]  # a text's last word has no neighbour
+    return Holders(of, v << 16 | nth, len(sizes)), Holders(of, twos, len(sizes)), bounds
+
+
+def outermost(start: np.ndarray, end: np.ndarray, words: int) -> list[int]:
+    """Spans in which every run of ``words`` words lies whole that lies whole in any of them; of equal ones the first."""
+    order = np.lexsort((-end, start))
+    order = order[np.append(True, end[order][1:] > np.maximum.accumulate(end[order])[:-1])[: len(order)]]  # in no other
+    start, end, kept, i = start[order], end[order], [], 0
+    while i < len(order):
+        kept.append(int(order[i]))
+        i = max(int(np.searchsorted(start, end[i] - words + 1, side="right")) - 1, i + 1)
+    return kept
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE, similarity: float = SIMILARITY) -> DataFrame:
     """Passages of ``words`` words or more that a document shares with an earlier one (of smaller id), exact or changed: the id, ``source_id``,
     ``start``, ``end``, ``source_start``, ``source_end`` (in words parted by ASCII white space), ``aligned`` and ``similarity``, the words
@@ -194,7 +249,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A pair needs two seeds, which are unchanged runs of words, so passages of many changes may be missed: of passages with random substitutions
     99 % were found in a simulation at 60 words and a similarity of 0.9, and fewer near 0.75 (figures in the README).
     A passage that lies whole in passages with the first holders of its seeds has rows for those alone; any other is looked for in all earlier documents
-    that hold one of its links, if these are MANY at most, and else in the first of them and one of the others.
+    that hold one of its links, at every place. Of a link at more than MANY places, all holders' surroundings are aligned, MARGIN words to
+    either side, and a document has rows for so many of the passages that every run of ``words`` words of one lies whole in one of them.
     Documents that share nothing have no row. Null ids, null and empty texts and texts of fewer words take no part; rows that share an id count
     as one document. Whole texts; A-Z count as a-z. An empty table gives no rows. Other columns are not read."""
     spark = df.sparkSession
@@ -234,60 +290,125 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lies = lambda at: F.exists("spans", lambda x: (at >= x["start"]) & (at + WORDS <= x["end"]))
     inside = lies(F.col("at")) & lies(F.col("at") + F.col("ahead"))
     linked = found.where("ahead > 0").select("link", "id", "at", "ahead")
-    left = linked.join(spans, "id", "left").where(F.col("spans").isNull() | ~inside).select("link", "id", "at", "ahead")
-    left, p4 = stored(left, "uncovered")
-    # A text that says the same again and again holds a link at many places, of which the first and the last take part.
-    def places(df: DataFrame, who: str, at: str, ahead: str) -> DataFrame:
-        ends = df.groupBy("link", F.col("id").alias(who)).agg(F.min(F.struct("at", "ahead")).alias("x"), F.max(F.struct("at", "ahead")).alias("y"))
-        return ends.select("link", who, F.posexplode(F.array_distinct(F.array("x", "y"))).alias("place", "x")).select("link", who, "place", F.col("x.at").alias(at), F.col("x.ahead").alias(ahead))
-
-    holders = places(linked, "source", "b", "on")
-    share = F.pmod(F.xxhash64("source"), F.lit(SHARES))
-    holders, p5 = stored(holders.withColumn("before", F.lag("source").over(Window.partitionBy("link", share).orderBy("source"))), "holders")
-    per_link = holders.groupBy("link").agg(F.count_if(F.col("place") == 0).alias("n"), F.min("source").alias("first"), F.count("*").alias("places")).where("places > 1")
-    per_link, p6 = stored(per_link.select("link", "first", (F.col("n") > MANY).alias("many")), "links")
-    asking = places(left, "id", "at", "ahead").join(per_link, "link")
-    asking, p7 = stored(asking, "asking")
-    earlier = (F.col("source") < F.col("id")) | ((F.col("source") == F.col("id")) & (F.col("at") - F.col("b") >= words))
-    every = asking.where("not many").join(holders.drop("before"), "link").where(earlier)
-    # Of a link that very many hold, the first and one before.
-    near = holders.where("before < source").select("link", F.col("source").alias("id"), F.col("before").alias("source")).distinct()
-    some = asking.where("many").join(near, ["link", "id"]).select("link", "id", "at", "ahead", "first", "source")
-    some = some.union(some.select("link", "id", "at", "ahead", "first", "first")).where("source < id").distinct()
-    some = some.join(holders.drop("before"), ["link", "source"])
+    linked = linked.join(spans, "id", "left").select("link", "id", "at", "ahead", (F.col("spans").isNull() | ~inside).alias("asks"))
+    linked, p4 = stored(linked, "linked")
+    per_link = linked.groupBy("link").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked")
+    per_link, p5 = stored(per_link.select("link", (F.col("n") > MANY).alias("many")), "links")
+    holders, p6 = stored(linked.join(per_link, "link"), "holders")
+    asking = holders.where("asks and not many").select("link", "id", "at", "ahead")
+    asked = holders.where("not many").select("link", F.col("id").alias("source"), F.col("at").alias("b"), F.col("ahead").alias("on"))
+    every = asking.join(asked, "link").where(_earlier(words))
+    some, p7 = stored(_meeting(spark, rows, kind, holders.where("many").select("link", "id", "at", "ahead", "asks"), words, similarity, paths), "meeting")
     columns = ["id", "source", "at", "ahead", "b", "on"]
     again = every.select(*columns).union(some.select(*columns))
     ends = F.array(F.struct(F.col("at").alias("a"), "b"), F.struct((F.col("at") + F.col("ahead")).alias("a"), (F.col("b") + F.col("on")).alias("b")))
     again = again.select("id", "source", F.explode(ends).alias("m"))
-    result, _ = stored(result.union(_verified(spark, rows, kind, again, words, similarity, paths)).distinct(), "all_passages")
+    more = _verified(spark, rows, kind, again, words, similarity, paths)
+    # What was found around a single link stays if no longer chain of the same two documents has it.
+    longer = more.groupBy("id", "source_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    alone = some.withColumnRenamed("source", "source_id").join(longer, ["id", "source_id"], "left")
+    alone = alone.where(F.col("spans").isNull() | ~F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (x["end"] >= F.col("end"))))
+    result, _ = stored(result.union(more).union(alone.select(*more.columns)).distinct(), "all_passages")
     discard(spark, p1, p2, p3, p4, p5, p6, p7, *paths)
     return result.withColumnRenamed("id", id_col)
 
 
-def _verified(spark: SparkSession, rows: DataFrame, kind: str, matches: DataFrame, words: int, similarity: float, paths: list[str]) -> DataFrame:
-    """The passages of matches (id, source, m: struct of the words a and b where they lie); what is written meanwhile is added to ``paths``."""
-    pairs = matches.groupBy("id", "source").agg(F.collect_set("m").alias("m")).where(F.size("m") > 1)
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            bounds, flat = lists.offsets.to_numpy(), lists.values
-            a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            out = []
-            for i in range(batch.num_rows):
-                s = slice(bounds[i], bounds[i + 1])
-                for n, c in enumerate(best_chains(a[s], b[s])):
-                    x, y = a[s][c], b[s][c]
-                    if len(c) > 1 and x[-1] - x[0] + WORDS + 2 * MARGIN >= words and y[-1] - y[0] + WORDS + 2 * MARGIN >= words:
-                        out.append((i, n, x[0], x[-1] + WORDS, y[0], y[-1] + WORDS))
-            if out:
-                i, *rest = (np.array(v) for v in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), *(pa.array(v.astype(np.int32)) for v in rest)], names=["id", "source", "n", "a0", "a1", "b0", "b1"])
-
-    chains, p3 = stored(pairs.mapInArrow(chain, f"id {kind}, source {kind}, n int, a0 int, a1 int, b0 int, b1 int"), "chains")
-    release(spark)
+def _earlier(words: int):
+    """Whether what is asked comes before what asks."""
+    return (F.col("source") < F.col("id")) | ((F.col("source") == F.col("id")) & (F.col("at") - F.col("b") >= words))
+
+
+def _meeting(spark: SparkSession, rows: DataFrame, kind: str, holders: DataFrame, words: int, similarity: float, paths: list[str]) -> DataFrame:
+    """The passages of all pairs of holders (link, id, at, ahead, asks) of a link, as far as MARGIN words around it, with the link's places (at, ahead, b, on); those
+    whose runs of ``words`` words all lie in others may be left out. Surroundings that are equal are one kind, for which its first holder speaks. Kinds are dealt into
+    blocks by a hash, and each two blocks of a link meet in one task."""
+    end = F.col("at") + F.col("ahead") + WORDS
+    part, p1 = _slices(spark, rows, kind, holders.select(F.col("id").alias("key"), F.col("at").alias("s"), end.alias("e")).distinct())
+    around = holders.withColumn("e", end).join(part.toDF("id", "at", "e", "first", "w"), ["id", "at", "e"]).withColumn("off", F.col("at") - F.col("first"))
+    around, p2 = stored(around.withColumn("sort", F.xxhash64("off", "ahead", "w")).select("link", "sort", "id", "at", "ahead", "asks", "off", "w"), "around")
+    place = F.struct("id", "at")
+    kinds = around.groupBy("link", "sort").agg(F.min(F.struct("id", "at", "ahead", "off", "w")).alias("x"), F.max(F.when(F.col("asks"), place)).alias("last"))
+    kinds, p3 = stored(kinds.select("link", "sort", "x.*", F.col("last.id").alias("last_id"), F.col("last.at").alias("last_at")), "kinds")
+    sizes = kinds.groupBy("link").agg(F.ceil(F.count("*") / F.lit(float(MEETING))).alias("blocks"))
+    sizes, p4 = stored(sizes, "sizes")
+    own = F.pmod("sort", "blocks")
+    pairs = kinds.join(sizes, "link").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = pairs.select("link", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sort", "id", "at", "ahead", "off", "w", "last_id", "last_at")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("id", "ascending"), ("at", "ascending")]).combine_chunks()
+        ids, at, ahead, off, last_id, last_at, sort, own = (t.column(c).to_pylist() for c in ("id", "at", "ahead", "off", "last_id", "last_at", "sort", "own"))
+        lists = t.column("w").chunk(0)
+        words_of, twos_of, bounds = word_holders(pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy())
+        w, block, alone = lists.to_pylist(), np.array(own), t.column("i")[0] == t.column("j")[0]
+
+        def beyond(x: int, start: int, end: int) -> np.ndarray:
+            """Rows that x may be aligned with from before ``start``, or to behind ``end``: to two equal words."""
+            return twos_of.counts(bounds[x], bounds[x] + start) + twos_of.counts(bounds[x] + end - 1, bounds[x + 1]) > 0
+
+        out: list[tuple] = []
+        good: dict[int, int] = {}
+        before = lambda y, id_, place: ids[y] < id_ or ids[y] == id_ and place - at[y] >= words
+        for x in (x for x, last in enumerate(last_id) if last is not None):
+            spans: list[tuple[int, int]] = []
+            done: set[int] = set()
+
+            def tried(x: int, y: int) -> tuple[int, int] | None:
+                """The passage with y, if it lies in none that is known."""
+                done.add(y)
+                core = off[x], off[x] + ahead[x] + WORDS, off[y], off[y] + ahead[y] + WORDS
+                found = aligned_passage(w[x], w[y], core, words, similarity)
+                if found is None or any(s <= found[0] and found[1] <= e for s, e in spans):
+                    return None
+                a0, a1, b0, b1, n = found
+                spans.append((a0, a1))
+                good[y] = max(good.get(y, 0), a1 - a0)
+                out.append((sort[x], ids[y], at[y], ahead[y], a0 - off[x], a1 - off[x], at[y] + b0 - off[y], at[y] + b1 - off[y], n, n / max(a1 - a0, b1 - b0)))
+                return a0, a1
+
+            # Rows that come before all of the kind may be tried in any order, and what lies in passages with them needn't be found again.
+            for y in [y for y in sorted(good, key=good.get)[-4:][::-1] if before(y, ids[x], at[x]) and (alone or block[y] != block[x])]:
+                tried(x, y)
+            # Only two equal words end a passage, and a link isn't long enough by itself.
+            able = beyond(x, off[x], off[x] + ahead[x] + WORDS) if not spans else np.logical_and.reduce([beyond(x, *span) for span in spans])
+            able[x] |= len(w[x]) >= words and not spans
+            if not alone:
+                able &= block != block[x]
+            able[list(done)] = False
+            order = np.flatnonzero(able)
+            if len(order) > 16:  # no alignment has more words than both hold
+                common = words_of.counts(bounds[x], bounds[x + 1])[order]
+                order, common = order[common >= similarity * words - 1e-9], common[common >= similarity * words - 1e-9]
+                order = order[np.argsort(-common, kind="stable")]
+            order = order.tolist()
+            for y in [y for y in order if before(y, ids[x], at[x])] + sorted(y for y in order if not before(y, ids[x], at[x]) and before(y, last_id[x], last_at[x])):
+                if able[y] and (found := tried(x, y)):
+                    able &= beyond(x, *found)
+        names = ["sort", "source", "b", "on", "start", "end", "source_start", "source_end", "aligned", "similarity"]
+        types = [pa.int64(), t.schema.field("id").type, pa.int32(), t.schema.field("ahead").type, *[pa.int32()] * 5, pa.float64()]
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        return pa.Table.from_arrays([pa.array([t.column("link")[0].as_py()] * len(out), pa.int64()), *(pa.array(v, k) for v, k in zip(columns, types, strict=True))], names=["link", *names])
+
+    schema = f"link long, sort long, source {kind}, b int, on short, start int, end int, source_start int, source_end int, aligned int, similarity double"
+    met, p5 = stored(pairs.groupBy("link", "i", "j").applyInArrow(meet, schema), "met")
+    # Blocks don't know of each other's: what lies in a passage with an earlier row goes.
+    row = F.struct("source", "b", "on", "start", "end", "source_start", "source_end", "aligned", "similarity")
+    wider = "filter(m, r -> not exists(m, q -> struct(q.source, q.b) < struct(r.source, r.b) and q.start <= r.start and q.end >= r.end))"
+    met = met.groupBy("link", "sort").agg(F.collect_list(row).alias("m")).select("link", "sort", F.explode(F.expr(wider)).alias("r")).select("link", "sort", "r.*")
+    paths += [p1, p2, p3, p4, p5]
+    here = around.where("asks").select("link", "sort", "id", "at", "ahead").join(met, ["link", "sort"]).where(_earlier(words))
+    here = here.withColumn("start", F.col("at") + F.col("start")).withColumn("end", F.col("at") + F.col("end")).drop("link", "sort")
+
+    def widest(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("source", "ascending"), ("b", "ascending")])
+        return t.take(pa.array(outermost(t.column("start").to_numpy(), t.column("end").to_numpy(), words), pa.int64()))
+
+    return here.groupBy("id").applyInArrow(widest, here.schema)
+
+
+def _slices(spark: SparkSession, rows: DataFrame, kind: str, asked: DataFrame) -> tuple[DataFrame, str]:
+    """Parts (key, s, e) of documents with MARGIN words to either side: with the first word's place and the words' hashes; and the path they are written to."""
     # Many documents may ask for the same part of one, which is cut out once.
-    asked = chains.select(F.col("id").alias("key"), F.col("a0").alias("s"), F.col("a1").alias("e")).union(chains.select("source", "b0", "b1")).distinct()
     by_doc = asked.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("asks"))
     keyed = rows.select(F.xxhash64("id").alias("k"), "id", "text")
     known = BitFilter(asked.select(F.xxhash64("key").alias("k")), DOC_BITS)
@@ -312,9 +433,36 @@ def _verified(spark: SparkSession, rows: DataFrame, kind: str, matches: DataFram
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[j] + x)), pa.array(s[some][j]), pa.array(e[some][j]), pa.array((a - bounds[doc])[j].astype(np.int32)), w], names=["key", "s", "e", "first", "w"])
 
     part = texts.select("id", "text", "asks").mapInArrow(slices, f"key {kind}, s int, e int, first int, w array<int>")
-    part, p4 = stored(part, "slices")
+    part, path = stored(part, "slices")
     known.free()
     release(spark)
+    return part, path
+
+
+def _verified(spark: SparkSession, rows: DataFrame, kind: str, matches: DataFrame, words: int, similarity: float, paths: list[str]) -> DataFrame:
+    """The passages of matches (id, source, m: struct of the words a and b where they lie); what is written meanwhile is added to ``paths``."""
+    pairs = matches.groupBy("id", "source").agg(F.collect_set("m").alias("m")).where(F.size("m") > 1)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            bounds, flat = lists.offsets.to_numpy(), lists.values
+            a, b = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            out = []
+            for i in range(batch.num_rows):
+                s = slice(bounds[i], bounds[i + 1])
+                for n, c in enumerate(best_chains(a[s], b[s])):
+                    x, y = a[s][c], b[s][c]
+                    if len(c) > 1 and x[-1] - x[0] + WORDS + 2 * MARGIN >= words and y[-1] - y[0] + WORDS + 2 * MARGIN >= words:
+                        out.append((i, n, x[0], x[-1] + WORDS, y[0], y[-1] + WORDS))
+            if out:
+                i, *rest = (np.array(v) for v in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), *(pa.array(v.astype(np.int32)) for v in rest)], names=["id", "source", "n", "a0", "a1", "b0", "b1"])
+
+    chains, p3 = stored(pairs.mapInArrow(chain, f"id {kind}, source {kind}, n int, a0 int, a1 int, b0 int, b1 int"), "chains")
+    release(spark)
+    asked = chains.select(F.col("id").alias("key"), F.col("a0").alias("s"), F.col("a1").alias("e")).union(chains.select("source", "b0", "b1")).distinct()
+    part, p4 = _slices(spark, rows, kind, asked)
     left = part.toDF("id", "a0", "a1", "fa", "wa")
     right = part.toDF("source", "b0", "b1", "fb", "wb")
     both = chains.join(left, ["id", "a0", "a1"]).join(right, ["source", "b0", "b1"])
@@ -323,11 +471,7 @@ def _verified(spark: SparkSession, rows: DataFrame, kind: str, matches: DataFram
         for batch in batches:
             out = []
             for i, (a0, a1, b0, b1, fa, wa, fb, wb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a0", "a1", "b0", "b1", "fa", "wa", "fb", "wb")), strict=True)):
-                core = a0 - fa, a1 - fa, b0 - fb, b1 - fb
-                # Ends over equal words are sharper; where they don't do, changed words are aligned, of which there are no more than both sides hold.
-                found = passage(wa, wb, fit_passage(wa, wb, *core), words, similarity)
-                if found is None and (Counter(wa) & Counter(wb)).total() >= similarity * words:
-                    found = passage(wa, wb, align_ends(wa, wb, *core, words, similarity), words, similarity)
+                found = aligned_passage(wa, wb, (a0 - fa, a1 - fa, b0 - fb, b1 - fb), words, similarity)
                 if found:
                     a0, a1, b0, b1, n = found
                     out.append((i, a0 + fa, a1 + fa, b0 + fb, b1 + fb, n, n / max(a1 - a0, b1 - b0)))
