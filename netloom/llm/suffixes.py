@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, mix64, passed, prefix_sums, release, steps, stored, text_steps
+from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, give_back, mix64, passed, prefix_sums, release, steps, stored, text_steps
 
 LENGTH, GRAM = 200, 40
 #: Bytes of a digit; kinds of surroundings of an anchor that one task sorts (a few MB), bytes of them that it takes at a time, and suffixes that it sorts at a time.
@@ -230,7 +230,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     unit = F.struct("h", "n", "at", "low", "high", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     chosen, p6 = stored(judged.where("chosen").join(crowded, "h", "left").select("key", unit.alias("u")), "chosen")
     discard(spark, p1, p2, p3, p4, p5)
-    release(spark)
+    give_back(spark)
     # A set: repeated rows say the same of their text.
     by_doc = chosen.groupBy("key").agg(F.collect_set("u").alias("u"))
     known = BitFilter(chosen.select("key"), DOC_BITS)
@@ -251,7 +251,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     slices, p7 = stored(texts.select("key", "text", "u").mapInArrow(surroundings, "h long, n long, key long, at int, low short, high short, crowded boolean, around binary"), "surroundings")
     known.free()
     discard(spark, p6)
-    release(spark)
+    give_back(spark)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
