@@ -8,16 +8,17 @@ of best scores; chains are extended and aligned word by word, and those long and
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import DOC_BITS, BitFilter, discard, first_smallest, mix64, passed, release, steps, stored, text_steps, word_hashes
+from netloom.llm.common import DOC_BITS, BitFilter, discard, first_smallest, mix64, passed, release, shuffle_partitions, steps, stored, text_steps, word_hashes
 
 #: Words in a seed; seeds in a window, of which the smallest is taken.
 WORDS, WINDOW = 5, 8
@@ -31,6 +32,8 @@ SEED_BITS = 26
 LINK = (12, 36)
 #: Of a link at more places, kinds of surroundings are compared, in blocks of about so many, so that no task holds them all.
 MANY, MEETING = 64, 2_048
+#: Words over which a strand's places may begin; its surroundings are so much longer.
+STRAND = 256
 
 
 def find_seeds(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -213,19 +216,90 @@ class Holders:
         parts = [self.rows[self.start[k] : self.end[k]] for k in set(self.item[x:y].tolist())]
         return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
 
+    def held(self, lo: int, hi: int) -> np.ndarray:
+        """Whether rows (the second index) hold the items at places lo to hi (the first)."""
+        x, y = np.searchsorted(self.place, (lo, hi))
+        items, of = np.unique(self.item[x:y], return_inverse=True)
+        each = np.zeros((len(items), self.n), bool)
+        for i, k in enumerate(items.tolist()):
+            each[i, self.rows[self.start[k] : self.end[k]]] = True
+        out = np.zeros((hi - lo, self.n), bool)
+        out[self.place[x:y] - lo] = each[of]
+        return out
+
 
-def word_holders(sizes: np.ndarray, values: np.ndarray) -> tuple[Holders, Holders, np.ndarray]:
-    """Of texts' words (a word's second occurrence is another item) and of pairs of neighbours, by their places in ``values``, and the texts' bounds there."""
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    of = np.repeat(np.arange(len(sizes)), sizes)
+def pairs_of(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Pairs of neighbouring words; a text's last word has no neighbour."""
+    v = values.astype(np.int64)
+    twos = np.append(v[:-1] << 32 | v[1:] & 0xFFFFFFFF, 0)
+    twos[bounds[1:] - 1] = -1 - bounds[1:]
+    return twos
+
+
+def nth_words(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Words of texts, of which a word's second occurrence is another."""
     order = np.lexsort((values, of))
     new = np.append(True, (np.diff(of[order]) != 0) | (np.diff(values[order]) != 0))
     nth = np.empty(len(order), np.int64)
     nth[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    v = values.astype(np.int64)
-    twos = np.append(v[:-1] << 32 | v[1:] & 0xFFFFFFFF, 0)
-    twos[bounds[1:] - 1] = -1 - bounds[1:]  # a text's last word has no neighbour
-    return Holders(of, v << 16 | nth, len(sizes)), Holders(of, twos, len(sizes)), bounds
+    return values.astype(np.int64) << 16 | nth
+
+
+def same_words(v: np.ndarray) -> np.ndarray:
+    """How many equal words begin at each place."""
+    ends = np.append(np.flatnonzero(np.diff(v) != 0), len(v) - 1) + 1
+    return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(v))
+
+
+def fit_lengths(v: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """How far ``fit_passage`` moves one end: over the words of ``v`` at p and q and on by ``step``, of which there are ``most``."""
+    same = same_words(v) if step > 0 else same_words(v[::-1])[::-1]
+    out = np.zeros(len(p), np.int64)
+    rows = np.flatnonzero(most > 0)
+    while len(rows):
+        k, left = out[rows], most[rows] - out[rows]
+        x, y = p[rows] + step * k, q[rows] + step * k
+        on = v[x] == v[y]
+        out[rows[on]] += np.minimum(np.minimum(same[x[on]], same[y[on]]), left[on])
+        changed = np.flatnonzero(~on & (left > 2))
+        x, y = x[changed] + step, y[changed] + step
+        changed = changed[(v[x] == v[y]) & (v[x + step] == v[y + step])]
+        out[rows[changed]] += 3
+        on[changed] = True
+        rows = rows[on]
+        rows = rows[out[rows] < most[rows]]
+    return out
+
+
+def end_lengths(twos: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q_most: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether ``align_ends`` can add each number of words (0 to MARGIN) from p on by ``step``, which is up to two equal words, at most BAND apart; and the most from q on."""
+    n = np.arange(1, MARGIN)[None, :]  # two words end with the n-th and the next
+    m = np.arange(1 - BAND, MARGIN + BAND)[None, :]
+    first = step * n if step < 0 else n - 1  # where they are, in the text's order
+    second = step * m if step < 0 else m - 1
+    x = np.where(n < p_most[:, None], twos[np.clip(p[:, None] + first, 0, len(twos) - 1)], -(1 << 62))
+    y = np.where((m > 0) & (m < np.minimum(q_most, MARGIN)[:, None]), twos[np.clip(q[:, None] + second, 0, len(twos) - 1)], -(1 << 61))
+    can = np.zeros((len(p), MARGIN + 1), bool)
+    can[:, 0] = True
+    can[:, 1] = (p_most > 0) & (q_most > 0) & (twos[p - (step > 0)] == twos[q - (step > 0)])  # with the core's own word
+    most = can[:, 1].astype(np.int64)
+    for s in range(2 * BAND + 1):
+        same = x == y[:, s : s + n.shape[1]]
+        can[:, 2:] |= same
+        last = (same * (n + 1)).max(axis=1)
+        most = np.maximum(most, np.where(last > 0, last + s - BAND, 0))
+    return can, most
+
+
+def best_surplus(before: np.ndarray, after: np.ndarray, held_before: np.ndarray, held_after: np.ndarray, core: np.ndarray, words: int, similarity: float) -> np.ndarray:
+    """At most how many words more than ``similarity`` asks for can be aligned in ``words`` words or more around cores, with ends that are possible, if a word is aligned
+    wherever the other text holds it."""
+    n = np.arange(MARGIN + 1)
+    left, right = (np.where(can, np.pad(np.cumsum(held, axis=1), ((0, 0), (1, 0))) - similarity * n, -np.inf) for can, held in ((before, held_before), (after, held_after)))
+    right = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]  # with so many words or more
+    need = np.maximum(words - core[:, None] - n[None, :], 0)
+    both = np.where(need <= MARGIN, left + np.take_along_axis(right, np.minimum(need, MARGIN), axis=1), -np.inf)
+    return both.max(axis=1) + (1 - similarity) * core
 
 
 def outermost(start: np.ndarray, end: np.ndarray, words: int) -> list[int]:
@@ -300,7 +374,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = asking.join(asked, "link").where(_earlier(words))
     some, p7 = stored(_meeting(spark, rows, kind, holders.where("many").select("link", "id", "at", "ahead", "asks"), words, similarity, paths), "meeting")
     columns = ["id", "source", "at", "ahead", "b", "on"]
-    again = every.select(*columns).union(some.select(*columns))
+    # Of a strand's places, one for ten words.
+    along = F.explode(F.expr("sequence(0, (times - 1) * gap, gap * int(ceil(10 / greatest(gap, 1))))"))
+    some_places = some.withColumn("along", along).withColumn("at", F.col("at") + F.col("along")).withColumn("b", F.col("b") + F.col("along"))
+    again = every.select(*columns).union(some_places.select(*columns))
     ends = F.array(F.struct(F.col("at").alias("a"), "b"), F.struct((F.col("at") + F.col("ahead")).alias("a"), (F.col("b") + F.col("on")).alias("b")))
     again = again.select("id", "source", F.explode(ends).alias("m"))
     more = _verified(spark, rows, kind, again, words, similarity, paths)
@@ -318,86 +395,176 @@ def _earlier(words: int):
     return (F.col("source") < F.col("id")) | ((F.col("source") == F.col("id")) & (F.col("at") - F.col("b") >= words))
 
 
+def strands(holders: DataFrame) -> DataFrame:
+    """Places (link, id, at, ahead, asks) of links -> (link, id, at, ahead, asks, gap, n): places in equal small steps, as in a text that says the
+    same again and again, are one strand of n places, gap words apart, the first at ``at``; a place by itself is a strand with a gap of 0."""
+    order = Window.partitionBy("link", "id").orderBy("at")
+    before = lambda c: F.lag(c).over(order)
+    # In steps of WORDS at most, the words from a strand's first place to its last are all held by seeds.
+    steps_of = holders.withColumn("step", F.col("at") - before("at")).withColumn("apart", F.coalesce((F.col("step") > WORDS) | (F.col("ahead") != before("ahead")) | (F.col("asks") != before("asks")), F.lit(True)))
+    new = F.col("apart") | ((F.col("step") != before("step")) & ~before("apart"))
+    numbered = steps_of.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("strand", F.sum("new").over(order))
+    numbered = numbered.withColumn("part", F.floor((F.col("at") - F.min("at").over(Window.partitionBy("link", "id", "strand"))) / STRAND))
+    out = numbered.groupBy("link", "id", "strand", "part").agg(F.min("at").alias("at"), F.max("at").alias("last"), F.count("*").cast("int").alias("n"), F.min("ahead").alias("ahead"), F.min("asks").alias("asks"))
+    return out.select("link", "id", "at", "ahead", "asks", F.when(F.col("n") > 1, (F.col("last") - F.col("at")) / (F.col("n") - 1)).otherwise(0).cast("int").alias("gap"), "n")
+
+
+def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
+    """The passages of all pairs of strands of a link: (row, row of the source, word of the first place aligned, of the source's, places, start, end, source's start and end, aligned),
+    words counted from the strands' first places.
+
+    Two strands may lie on one another in as many ways as a first place may meet a place of the other; where their gaps differ, in as many as there are pairs of places."""
+    ids, last_id, last_at = (t.column(c).to_pylist() for c in ("id", "last_id", "last_at"))
+    at, ahead, off, gap, n, own = (t.column(c).to_numpy().astype(np.int64) for c in ("at", "ahead", "off", "gap", "n", "own"))
+    lists = t.column("w").chunk(0)
+    v = lists.flatten().to_numpy()
+    size, w, alone = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.to_pylist(), t.column("i")[0] == t.column("j")[0]
+    bounds, of = np.append(0, np.cumsum(size)), np.repeat(np.arange(len(size)), size)
+    twos = pairs_of(v, bounds)
+    words_of, nth_of, twos_of = (Holders(of, items, len(size)) for items in (v, nth_words(v, of), twos))
+
+    def beyond(x: int, start: int, end: int) -> np.ndarray:
+        """Rows that x may be aligned with from before ``start``, or to behind ``end``: to two equal words."""
+        return twos_of.counts(bounds[x], bounds[x] + start) + twos_of.counts(bounds[x] + end - 1, bounds[x + 1]) > 0
+
+    out: list[tuple] = []
+    for x in (x for x, last in enumerate(last_id) if last is not None):
+        earlier, same = bisect_left(ids, ids[x]), bisect_right(ids, ids[x])
+        last_earlier, last_same = bisect_left(ids, last_id[x]), bisect_right(ids, last_id[x])
+        some = np.arange(max(same, last_same))
+        if not alone:
+            some = some[own[some] != own[x]]
+        # Pairs of places at which strands begin to lie on one another.
+        y = np.repeat(some, n[some])
+        j = np.arange(len(y)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+        i = np.zeros(len(y), np.int64)
+        if n[x] > 1:
+            other = np.flatnonzero((j == 0) | (gap[y] != gap[x]))
+            y, j = np.concatenate((y, np.repeat(y[other], n[x] - 1))), np.concatenate((j, np.repeat(j[other], n[x] - 1)))
+            i = np.concatenate((i, np.tile(np.arange(1, n[x]), len(other))))
+        apart = at[x] + i * gap[x] - at[y] - j * gap[y]
+        always = (y < earlier) | ((y < same) & (apart >= words))
+        later = (y < last_earlier) | ((y < last_same) & (apart + last_at[x] - at[x] >= words))
+        rows = np.flatnonzero(always | later)
+        y, i, j, apart, always = y[rows], i[rows], j[rows], apart[rows], always[rows]
+        times = np.where(gap[y] == gap[x], np.minimum(n[x] - i, n[y] - j), 1)
+        a0, b0 = off[x] + i * gap[x], off[y] + j * gap[y]
+        a1, b1 = a0 + (times - 1) * gap[x] + ahead[x] + WORDS, b0 + (times - 1) * gap[x] + ahead[y] + WORDS
+        p, q = bounds[x] + a0 - 1, bounds[y] + b0 - 1
+        left = fit_lengths(v, p, q, np.minimum(a0, b0), -1)
+        u, z = bounds[x] + a1, bounds[y] + b1
+        right = fit_lengths(v, u, z, np.minimum(size[x] - a1, size[y] - b1), 1)
+        start, end = a0 - left, a1 + right
+        fits = np.minimum(a1 - a0, b1 - b0) + left + right >= words
+        spans: list[tuple[int, int]] = []
+
+        def inside(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """Whether every run of ``words`` words of a passage lies in one that is known."""
+            new = np.ones(size[x] + 1, np.int64)
+            for s, e in spans:
+                new[s : e - words + 1] = 0
+            new = np.append(0, np.cumsum(new))
+            return new[np.maximum(end - words + 1, start)] == new[start]
+
+        def add(r: int, found: tuple[int, int, int, int, int]) -> None:
+            s, e, bs, be, aligned = found
+            spans.append((s, e))
+            k = int(y[r])
+            out.append((x, k, int(i[r] * gap[x]), int(j[r] * gap[k]), int(times[r]), s - int(off[x]), e - int(off[x]), bs - int(off[k]), be - int(off[k]), aligned))
+
+        # Sources that come before all of the kind: of ends over equal words, so many that they hold what all do.
+        able, judged = np.flatnonzero(always & fits), {}
+        while len(able):
+            kept = able[outermost(start[able], end[able], words)].tolist()
+            for r in kept:
+                if r not in judged:
+                    k = y[r]
+                    judged[r] = passage(w[x], w[k], (int(start[r]), int(end[r]), int(b0[r] - left[r]), int(b1[r] + right[r])), words, similarity)
+            if all(judged[r] for r in kept):
+                for r in kept:
+                    add(r, judged[r])
+                break
+            able = able[[judged.get(r, True) is not None for r in able.tolist()]]
+        wrong = np.zeros(len(y), bool)
+        wrong[[r for r, found in judged.items() if found is None]] = True
+        # Ends over changed words, and sources that come before some of the kind: one after the other.
+        rest = ~fits | wrong | ~always
+        rest[rest] = ~(fits & ~wrong & inside(start, end))[rest]
+        bare = np.flatnonzero(rest & (~fits | wrong))
+        if len(bare):
+            # Only two equal words end a passage, and no alignment has more words than both hold.
+            can = np.zeros(len(ids), bool)
+            can[y[bare]] = True
+            can &= np.logical_and.reduce([beyond(x, *span) for span in spans]) if spans else beyond(x, int(off[x]), int(off[x] + ahead[x]) + WORDS) if n[x] == 1 else True
+            if can.any():
+                can &= nth_of.counts(bounds[x], bounds[x + 1]) >= similarity * words - 1e-9
+            rest[bare[~can[y[bare]]]] = False
+            bare = bare[can[y[bare]]]
+            held = words_of.held(bounds[x], bounds[x + 1]) if len(bare) else None
+            for c in range(0, len(bare), 2_048):
+                r = bare[c : c + 2_048]
+                before, before_y = end_lengths(twos, p[r], q[r], a0[r], b0[r], -1)
+                after, after_y = end_lengths(twos, u[r], z[r], size[x] - a1[r], size[y[r]] - b1[r], 1)
+                k = np.arange(MARGIN)[None, :]
+                held_before = held[np.maximum(a0[r][:, None] - 1 - k, 0), y[r][:, None]]
+                held_after = held[np.minimum(a1[r][:, None] + k, size[x] - 1), y[r][:, None]]
+                enough = best_surplus(before, after, held_before, held_after, a1[r] - a0[r], words, similarity) >= -1e-9
+                start[r], end[r] = a0[r] - (before * np.arange(MARGIN + 1)).max(axis=1), a1[r] + (after * np.arange(MARGIN + 1)).max(axis=1)
+                rest[r] = enough & (end[r] - start[r] >= words) & (b1[r] - b0[r] + before_y + after_y >= words) & ~inside(start[r], end[r])
+        order = np.flatnonzero(rest)
+        # Those before all in any order, then the others from the first on.
+        order = order[np.lexsort((apart[order] * -1, y[order], np.where(always[order], start[order] - end[order], 0), ~always[order]))]
+        while len(order):
+            r, order = int(order[0]), order[1:]
+            k = int(y[r])
+            found = aligned_passage(w[x], w[k], (int(a0[r]), int(a1[r]), int(b0[r]), int(b1[r])), words, similarity)
+            if found and not inside(np.array([found[0]]), np.array([found[1]]))[0]:
+                add(r, found)
+                order = order[~inside(start[order], end[order])]
+    return out
+
+
 def _meeting(spark: SparkSession, rows: DataFrame, kind: str, holders: DataFrame, words: int, similarity: float, paths: list[str]) -> DataFrame:
-    """The passages of all pairs of holders (link, id, at, ahead, asks) of a link, as far as MARGIN words around it, with the link's places (at, ahead, b, on); those
-    whose runs of ``words`` words all lie in others may be left out. Surroundings that are equal are one kind, for which its first holder speaks. Kinds are dealt into
-    blocks by a hash, and each two blocks of a link meet in one task."""
-    end = F.col("at") + F.col("ahead") + WORDS
-    part, p1 = _slices(spark, rows, kind, holders.select(F.col("id").alias("key"), F.col("at").alias("s"), end.alias("e")).distinct())
-    around = holders.withColumn("e", end).join(part.toDF("id", "at", "e", "first", "w"), ["id", "at", "e"]).withColumn("off", F.col("at") - F.col("first"))
-    around, p2 = stored(around.withColumn("sort", F.xxhash64("off", "ahead", "w")).select("link", "sort", "id", "at", "ahead", "asks", "off", "w"), "around")
+    """The passages of all pairs of holders (link, id, at, ahead, asks) of a link, as far as MARGIN words around it, with the link's places (at, ahead, b, on, and how
+    many times and at what gap both hold it from there on); those whose runs of ``words`` words all lie in others may be left out. Holders are strands; those with equal
+    surroundings are one kind, for which its first speaks. Kinds are dealt into blocks by a hash, and each two blocks of a link meet in one task."""
+    units, p0 = stored(strands(holders), "strands")
+    end = F.col("at") + (F.col("n") - 1) * F.col("gap") + F.col("ahead") + WORDS
+    part, p1 = _slices(spark, rows, kind, units.select(F.col("id").alias("key"), F.col("at").alias("s"), end.alias("e")).distinct())
+    around = units.withColumn("e", end).join(part.toDF("id", "at", "e", "first", "w"), ["id", "at", "e"]).withColumn("off", F.col("at") - F.col("first"))
+    shape = ["ahead", "off", "gap", "n"]
+    around, p2 = stored(around.withColumn("sort", F.xxhash64(*shape, "w")).select("link", "sort", "id", "at", "asks", *shape, "w"), "around")
     place = F.struct("id", "at")
-    kinds = around.groupBy("link", "sort").agg(F.min(F.struct("id", "at", "ahead", "off", "w")).alias("x"), F.max(F.when(F.col("asks"), place)).alias("last"))
+    kinds = around.groupBy("link", "sort").agg(F.min(F.struct("id", "at", *shape, "w")).alias("x"), F.max(F.when(F.col("asks"), place)).alias("last"))
     kinds, p3 = stored(kinds.select("link", "sort", "x.*", F.col("last.id").alias("last_id"), F.col("last.at").alias("last_at")), "kinds")
     sizes = kinds.groupBy("link").agg(F.ceil(F.count("*") / F.lit(float(MEETING))).alias("blocks"))
     sizes, p4 = stored(sizes, "sizes")
     own = F.pmod("sort", "blocks")
     pairs = kinds.join(sizes, "link").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("link", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sort", "id", "at", "ahead", "off", "w", "last_id", "last_at")
+    pairs = pairs.select("link", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sort", "id", "at", *shape, "w", "last_id", "last_at")
 
-    def meet(t: pa.Table) -> pa.Table:
+    def met_of(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("at", "ascending")]).combine_chunks()
-        ids, at, ahead, off, last_id, last_at, sort, own = (t.column(c).to_pylist() for c in ("id", "at", "ahead", "off", "last_id", "last_at", "sort", "own"))
-        lists = t.column("w").chunk(0)
-        words_of, twos_of, bounds = word_holders(pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy())
-        w, block, alone = lists.to_pylist(), np.array(own), t.column("i")[0] == t.column("j")[0]
-
-        def beyond(x: int, start: int, end: int) -> np.ndarray:
-            """Rows that x may be aligned with from before ``start``, or to behind ``end``: to two equal words."""
-            return twos_of.counts(bounds[x], bounds[x] + start) + twos_of.counts(bounds[x] + end - 1, bounds[x + 1]) > 0
-
-        out: list[tuple] = []
-        good: dict[int, int] = {}
-        before = lambda y, id_, place: ids[y] < id_ or ids[y] == id_ and place - at[y] >= words
-        for x in (x for x, last in enumerate(last_id) if last is not None):
-            spans: list[tuple[int, int]] = []
-            done: set[int] = set()
-
-            def tried(x: int, y: int) -> tuple[int, int] | None:
-                """The passage with y, if it lies in none that is known."""
-                done.add(y)
-                core = off[x], off[x] + ahead[x] + WORDS, off[y], off[y] + ahead[y] + WORDS
-                found = aligned_passage(w[x], w[y], core, words, similarity)
-                if found is None or any(s <= found[0] and found[1] <= e for s, e in spans):
-                    return None
-                a0, a1, b0, b1, n = found
-                spans.append((a0, a1))
-                good[y] = max(good.get(y, 0), a1 - a0)
-                out.append((sort[x], ids[y], at[y], ahead[y], a0 - off[x], a1 - off[x], at[y] + b0 - off[y], at[y] + b1 - off[y], n, n / max(a1 - a0, b1 - b0)))
-                return a0, a1
-
-            # Rows that come before all of the kind may be tried in any order, and what lies in passages with them needn't be found again.
-            for y in [y for y in sorted(good, key=good.get)[-4:][::-1] if before(y, ids[x], at[x]) and (alone or block[y] != block[x])]:
-                tried(x, y)
-            # Only two equal words end a passage, and a link isn't long enough by itself.
-            able = beyond(x, off[x], off[x] + ahead[x] + WORDS) if not spans else np.logical_and.reduce([beyond(x, *span) for span in spans])
-            able[x] |= len(w[x]) >= words and not spans
-            if not alone:
-                able &= block != block[x]
-            able[list(done)] = False
-            order = np.flatnonzero(able)
-            if len(order) > 16:  # no alignment has more words than both hold
-                common = words_of.counts(bounds[x], bounds[x + 1])[order]
-                order, common = order[common >= similarity * words - 1e-9], common[common >= similarity * words - 1e-9]
-                order = order[np.argsort(-common, kind="stable")]
-            order = order.tolist()
-            for y in [y for y in order if before(y, ids[x], at[x])] + sorted(y for y in order if not before(y, ids[x], at[x]) and before(y, last_id[x], last_at[x])):
-                if able[y] and (found := tried(x, y)):
-                    able &= beyond(x, *found)
-        names = ["sort", "source", "b", "on", "start", "end", "source_start", "source_end", "aligned", "similarity"]
-        types = [pa.int64(), t.schema.field("id").type, pa.int32(), t.schema.field("ahead").type, *[pa.int32()] * 5, pa.float64()]
-        columns = zip(*out, strict=True) if out else [[]] * len(names)
-        return pa.Table.from_arrays([pa.array([t.column("link")[0].as_py()] * len(out), pa.int64()), *(pa.array(v, k) for v, k in zip(columns, types, strict=True))], names=["link", *names])
-
-    schema = f"link long, sort long, source {kind}, b int, on short, start int, end int, source_start int, source_end int, aligned int, similarity double"
-    met, p5 = stored(pairs.groupBy("link", "i", "j").applyInArrow(meet, schema), "met")
+        out = meet(t, words, similarity)
+        x, y, *numbers = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 10))
+        shift, along, times, start, end, source_start, source_end, aligned = numbers
+        at = t.column("at").to_numpy()[y]
+        share = aligned / np.maximum(end - start, source_end - source_start)
+        columns = [t.column(c).take(pa.array(k)) for c, k in (("link", x), ("sort", x), ("id", y))]
+        ints = (pa.array(c.astype(np.int32)) for c in (shift, at + along, times, start, end, at + source_start, at + source_end, aligned))
+        names = ["link", "sort", "source", "shift", "b", "times", "start", "end", "source_start", "source_end", "aligned", "similarity", "on"]
+        return pa.Table.from_arrays([*columns, *ints, pa.array(share, pa.float64()), t.column("ahead").take(pa.array(y))], names=names)
+
+    schema = f"link long, sort long, source {kind}, shift int, b int, times int, start int, end int, source_start int, source_end int, aligned int, similarity double, on short"
+    met, p5 = stored(pairs.repartition(shuffle_partitions(spark), "link", "i", "j").groupBy("link", "i", "j").applyInArrow(met_of, schema), "met")
     # Blocks don't know of each other's: what lies in a passage with an earlier row goes.
-    row = F.struct("source", "b", "on", "start", "end", "source_start", "source_end", "aligned", "similarity")
-    wider = "filter(m, r -> not exists(m, q -> struct(q.source, q.b) < struct(r.source, r.b) and q.start <= r.start and q.end >= r.end))"
+    row = F.struct("source", "b", "on", "shift", "times", "start", "end", "source_start", "source_end", "aligned", "similarity")
+    wider = "filter(m, r -> not exists(m, q -> struct(q.source, q.b - q.shift) < struct(r.source, r.b - r.shift) and q.start <= r.start and q.end >= r.end))"
     met = met.groupBy("link", "sort").agg(F.collect_list(row).alias("m")).select("link", "sort", F.explode(F.expr(wider)).alias("r")).select("link", "sort", "r.*")
-    paths += [p1, p2, p3, p4, p5]
-    here = around.where("asks").select("link", "sort", "id", "at", "ahead").join(met, ["link", "sort"]).where(_earlier(words))
-    here = here.withColumn("start", F.col("at") + F.col("start")).withColumn("end", F.col("at") + F.col("end")).drop("link", "sort")
+    paths += [p0, p1, p2, p3, p4, p5]
+    here = around.where("asks").select("link", "sort", "id", "at", "ahead", "gap").join(met, ["link", "sort"])
+    here = here.withColumn("start", F.col("at") + F.col("start")).withColumn("end", F.col("at") + F.col("end")).withColumn("at", F.col("at") + F.col("shift"))
+    here = here.where(_earlier(words)).drop("link", "sort", "shift")
 
     def widest(t: pa.Table) -> pa.Table:
         t = t.sort_by([("source", "ascending"), ("b", "ascending")])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from netloom.llm import chains
 from netloom.llm.chains import repeated_passages
 
@@ -37,3 +39,44 @@ def test_a_link_is_looked_for_at_every_place(spark):
     text = words(rng, 60) + line + words(rng, 60) + x + words(rng, 60) + line + words(rng, 60)
     (r,) = repeated_passages(spark.createDataFrame([(1, " ".join(text)), (2, " ".join(y))], "doc_id long, text string")).collect()
     assert (r.doc_id, r.source_id) == (2, 1) and 150 <= r.source_start and r.source_end <= 300
+
+
+def test_places_in_equal_steps_are_one_strand(spark):
+    places = [(1, 7, a, 12, True) for a in (3, 4, 5, 6, 20, 23, 26, 90)] + [(1, 8, 5, 12, True), (1, 8, 6, 13, True), (2, 7, 7, 12, False)]
+    got = chains.strands(spark.createDataFrame(places, "link long, id long, at int, ahead short, asks boolean")).collect()
+    assert sorted((r.link, r.id, r.at, r.gap, r.n) for r in got) == [(1, 7, 3, 1, 4), (1, 7, 20, 3, 3), (1, 7, 90, 0, 1), (1, 8, 5, 0, 1), (1, 8, 6, 0, 1), (2, 7, 7, 0, 1)]
+    long = chains.strands(spark.createDataFrame([(1, 7, a, 12, True) for a in range(3 * chains.STRAND)], "link long, id long, at int, ahead short, asks boolean"))
+    assert sorted((r.at, r.n) for r in long.collect()) == [(i * chains.STRAND, chains.STRAND) for i in range(3)]
+
+
+def test_runs_of_one_word_are_found_whole_wherever_they_lie(spark):
+    rng = random.Random(5)
+    docs = [words(rng, 20) + ["spam"] * rng.randrange(60, 400) + words(rng, 20) for _ in range(12)]
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")).collect()
+    held = [{p for r in got if r.doc_id == i for p in range(r.start, r.end - 49)} for i in range(len(docs))]
+    assert all(held[i] >= set(range(20, len(t) - 69)) for i, t in enumerate(docs[1:], 1))
+    assert all((r.source_id, r.source_start + 49) < (r.doc_id, r.start) for r in got)
+
+
+def test_bounds_of_ends_hold_for_every_alignment():
+    rng, tried = random.Random(6), 0
+    one = lambda n: np.array([n])
+    for _ in range(1500):
+        a, b = ([rng.randrange(rng.choice((2, 3, 6))) for _ in range(rng.randrange(20, 80))] for _ in range(2))
+        a0, b0 = rng.randrange(5, len(a) - 8), rng.randrange(1, len(b) - 8)
+        b[b0 : b0 + 5] = a[a0 : a0 + 5]
+        core, v, at = (a0, a0 + 5, b0, b0 + 5), np.array(a + b, np.int32), len(a)
+        before, after = (one(a0 - 1), one(at + b0 - 1), one(a0), one(b0), -1), (one(a0 + 5), one(at + b0 + 5), one(len(a) - a0 - 5), one(len(b) - b0 - 5), 1)
+        more = [int(chains.fit_lengths(v, p, q, np.minimum(n, m), step)[0]) for p, q, n, m, step in (before, after)]
+        assert chains.fit_passage(a, b, *core) == (a0 - more[0], a0 + 5 + more[1], b0 - more[0], b0 + 5 + more[1])
+        found = chains.align_ends(a, b, *core, 20, 0.75)
+        if not found:
+            continue
+        tried += 1
+        twos = chains.pairs_of(v, np.array([0, at, at + len(b)]))
+        (can_before, most_before), (can_after, most_after) = chains.end_lengths(twos, *before), chains.end_lengths(twos, *after)
+        assert can_before[0, a0 - found[0]] and can_after[0, found[1] - a0 - 5] and most_before[0] >= b0 - found[2] and most_after[0] >= found[3] - b0 - 5
+        held, k = np.isin(a, b), np.arange(chains.MARGIN)
+        best = chains.best_surplus(can_before, can_after, held[np.maximum(a0 - 1 - k, 0)][None], held[np.minimum(a0 + 5 + k, at - 1)][None], one(5), 20, 0.75)[0]
+        assert best >= chains.aligned_words(a[found[0] : found[1]], b[found[2] : found[3]]) - 0.75 * max(found[1] - found[0], found[3] - found[2]) - 1e-9
+    assert tried > 50
