@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, give_back, mix64, passed, prefix_sums, release, steps, stored, text_steps
+from netloom.llm.common import BASE_INV, DOC_BITS, BitFilter, cached_powers, cut, discard, first_smallest, give_back, mix64, passed, prefix_sums, steps, stored, text_steps
 
 LENGTH, GRAM = 200, 40
 #: Bytes of a digit; kinds of surroundings of an anchor that one task sorts (a few MB), bytes of them that it takes at a time, and suffixes that it sorts at a time.
@@ -201,6 +201,8 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 for a in find_anchors(texts, length, gram):
                     yield pa.RecordBatch.from_arrays([pa.array(a.gram.view(np.int64)), pa.array(a.context.view(np.int64))], names=["h", "c"])
 
+    # Before each pass over texts, and before what joins them, executors give back what earlier work has left them.
+    give_back(spark)
     # Part by the anchor.
     grams = only.mapInArrow(digits, "h long, c long").groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").select("h", (F.col("c1") == F.col("c2")).alias("equal"))
     grams, p1 = stored(grams, "grams")
@@ -217,6 +219,7 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     units = rows.select("key", "text").mapInArrow(members, "h long, c long, key long, at int, low short, high short").join(grams, "h")
     units, p2 = stored(units, "units")
     repeated.free()
+    give_back(spark)
     whole = [(F.col("at") - F.col("high")).alias("s"), (F.col("at") - F.col("low") + length).alias("e")]
 
     # Surroundings of one anchor that differ: equal ones are finished among themselves; one of each kind, chosen by a hash, goes on.
@@ -274,12 +277,12 @@ def find_repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     columns = ["h", "n", "key", "at", "low", "high", "around"]
     dealt = slices.where("not crowded").select(*columns).repartition("h").sortWithinPartitions("h")
     in_anchors, q2 = stored(dealt.mapInArrow(sort, "key long, s int, e int"), "spans")
-    release(spark)
+    give_back(spark)
     in_crowds, paths = _crowded_spans(slices.where("crowded"), length)
     # A set: repeated rows say the same of their text.
     found = cut(done.union(in_anchors).union(in_crowds).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
     discard(spark, p7, q1, q2, *paths)
-    release(spark)
+    give_back(spark)
     return found
 
 
