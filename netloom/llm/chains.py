@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ LINK = (12, 36)
 MANY, MEETING = 64, 2_048
 #: Words over which a strand's places may begin; its surroundings are so much longer.
 STRAND = 256
+#: Words that are compared at a time, by a hash.
+EIGHT = 8
 
 
 def find_seeds(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -251,18 +254,29 @@ def same_words(v: np.ndarray) -> np.ndarray:
     return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(v))
 
 
-def fit_lengths(v: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
-    """How far ``fit_passage`` moves one end: over the words of ``v`` at p and q and on by ``step``, of which there are ``most``."""
-    same = same_words(v) if step > 0 else same_words(v[::-1])[::-1]
+def runs(v: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many equal words lie from each place on by ``step``, and a hash of the EIGHT words there (0 where fewer are left)."""
+    v = v if step > 0 else v[::-1]
+    same, eight, n = same_words(v), np.zeros(len(v), np.uint64), max(len(v) - EIGHT + 1, 0)
+    for k in range(EIGHT):
+        eight[:n] = mix64(eight[:n] + v[k : k + n].astype(np.uint64) + np.uint64(1))
+    return (same, eight) if step > 0 else (same[::-1], eight[::-1])
+
+
+def fit_lengths(v: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, step: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """How far ``fit_passage`` moves one end: over the words of ``v`` at p and q and on by ``step``, of which there are ``most``; ``known`` are the ``runs``."""
+    same, eight = known or runs(v, step)
     out = np.zeros(len(p), np.int64)
     rows = np.flatnonzero(most > 0)
     while len(rows):
         k, left = out[rows], most[rows] - out[rows]
         x, y = p[rows] + step * k, q[rows] + step * k
         on = v[x] == v[y]
-        out[rows[on]] += np.minimum(np.minimum(same[x[on]], same[y[on]]), left[on])
+        x, y, few = x[on], y[on], left[on]
+        more = np.minimum(np.minimum(same[x], same[y]), few)
+        out[rows[on]] += np.where((few >= EIGHT) & (eight[x] == eight[y]), np.maximum(more, EIGHT), more)
         changed = np.flatnonzero(~on & (left > 2))
-        x, y = x[changed] + step, y[changed] + step
+        x, y = (c[rows[changed]] + step * (k[changed] + 1) for c in (p, q))
         changed = changed[(v[x] == v[y]) & (v[x + step] == v[y + step])]
         out[rows[changed]] += 3
         on[changed] = True
@@ -409,53 +423,51 @@ def strands(holders: DataFrame) -> DataFrame:
     return out.select("link", "id", "at", "ahead", "asks", F.when(F.col("n") > 1, (F.col("last") - F.col("at")) / (F.col("n") - 1)).otherwise(0).cast("int").alias("gap"), "n")
 
 
+def ways(n: int, gap: int, n_y: np.ndarray, gap_y: np.ndarray, every: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In which ways a strand may lie on others: (other strand, place of the strand, of the other) at which both begin. If ``every`` is more than 1, one place of so many, and where both end."""
+    few = lambda n: -(-n // every)
+    y = np.repeat(np.arange(len(n_y)), few(n_y))
+    j = (np.arange(len(y)) - np.repeat(np.cumsum(few(n_y)) - few(n_y), few(n_y))) * every
+    i = np.zeros(len(y), np.int64)
+    if n > 1:
+        other = np.flatnonzero((j == 0) | (gap_y[y] != gap))
+        more = np.arange(every, n, every)
+        ends = np.flatnonzero((gap_y == gap) & (n_y < n)) if every > 1 else np.zeros(0, np.int64)
+        y, j, i = np.concatenate((y, np.repeat(y[other], len(more)), ends)), np.concatenate((j, np.repeat(j[other], len(more)), ends * 0)), np.concatenate((i, np.tile(more, len(other)), (n - n_y)[ends]))
+    return y, i, j
+
+
 def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
     """The passages of all pairs of strands of a link: (row, row of the source, word of the first place aligned, of the source's, places, start, end, source's start and end, aligned),
     words counted from the strands' first places.
 
     Two strands may lie on one another in as many ways as a first place may meet a place of the other; where their gaps differ, in as many as there are pairs of places."""
     ids, last_id, last_at = (t.column(c).to_pylist() for c in ("id", "last_id", "last_at"))
+    if not any(last is not None for last in last_id):
+        return []
     at, ahead, off, gap, n, own = (t.column(c).to_numpy().astype(np.int64) for c in ("at", "ahead", "off", "gap", "n", "own"))
     lists = t.column("w").chunk(0)
     v = lists.flatten().to_numpy()
-    size, w, alone = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.to_pylist(), t.column("i")[0] == t.column("j")[0]
+    size, alone = pc.list_value_length(lists).to_numpy().astype(np.int64), t.column("i")[0] == t.column("j")[0]
     bounds, of = np.append(0, np.cumsum(size)), np.repeat(np.arange(len(size)), size)
     twos = pairs_of(v, bounds)
-    words_of, nth_of, twos_of = (Holders(of, items, len(size)) for items in (v, nth_words(v, of), twos))
+    # Made when first asked for: few rows may ask for little.
+    words_of, nth_of, twos_of = (cache(lambda items=items: Holders(of, items(), len(size))) for items in (lambda: v, lambda: nth_words(v, of), lambda: twos))
+    onward, backward = runs(v, 1), runs(v, -1)
+    w = cache(lambda k: v[bounds[k] : bounds[k + 1]].tolist())
 
     def beyond(x: int, start: int, end: int) -> np.ndarray:
         """Rows that x may be aligned with from before ``start``, or to behind ``end``: to two equal words."""
-        return twos_of.counts(bounds[x], bounds[x] + start) + twos_of.counts(bounds[x] + end - 1, bounds[x + 1]) > 0
+        return twos_of().counts(bounds[x], bounds[x] + start) + twos_of().counts(bounds[x] + end - 1, bounds[x + 1]) > 0
 
     out: list[tuple] = []
     for x in (x for x, last in enumerate(last_id) if last is not None):
         earlier, same = bisect_left(ids, ids[x]), bisect_right(ids, ids[x])
         last_earlier, last_same = bisect_left(ids, last_id[x]), bisect_right(ids, last_id[x])
-        some = np.arange(max(same, last_same))
+        # A kind lies whole on itself, so later ones give nothing new to those of it that come after them.
+        some = np.arange(x + 1 if size[x] >= words else 0)
         if not alone:
             some = some[own[some] != own[x]]
-        # Pairs of places at which strands begin to lie on one another.
-        y = np.repeat(some, n[some])
-        j = np.arange(len(y)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-        i = np.zeros(len(y), np.int64)
-        if n[x] > 1:
-            other = np.flatnonzero((j == 0) | (gap[y] != gap[x]))
-            y, j = np.concatenate((y, np.repeat(y[other], n[x] - 1))), np.concatenate((j, np.repeat(j[other], n[x] - 1)))
-            i = np.concatenate((i, np.tile(np.arange(1, n[x]), len(other))))
-        apart = at[x] + i * gap[x] - at[y] - j * gap[y]
-        always = (y < earlier) | ((y < same) & (apart >= words))
-        later = (y < last_earlier) | ((y < last_same) & (apart + last_at[x] - at[x] >= words))
-        rows = np.flatnonzero(always | later)
-        y, i, j, apart, always = y[rows], i[rows], j[rows], apart[rows], always[rows]
-        times = np.where(gap[y] == gap[x], np.minimum(n[x] - i, n[y] - j), 1)
-        a0, b0 = off[x] + i * gap[x], off[y] + j * gap[y]
-        a1, b1 = a0 + (times - 1) * gap[x] + ahead[x] + WORDS, b0 + (times - 1) * gap[x] + ahead[y] + WORDS
-        p, q = bounds[x] + a0 - 1, bounds[y] + b0 - 1
-        left = fit_lengths(v, p, q, np.minimum(a0, b0), -1)
-        u, z = bounds[x] + a1, bounds[y] + b1
-        right = fit_lengths(v, u, z, np.minimum(size[x] - a1, size[y] - b1), 1)
-        start, end = a0 - left, a1 + right
-        fits = np.minimum(a1 - a0, b1 - b0) + left + right >= words
         spans: list[tuple[int, int]] = []
 
         def inside(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -472,19 +484,47 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
             k = int(y[r])
             out.append((x, k, int(i[r] * gap[x]), int(j[r] * gap[k]), int(times[r]), s - int(off[x]), e - int(off[x]), bs - int(off[k]), be - int(off[k]), aligned))
 
-        # Sources that come before all of the kind: of ends over equal words, so many that they hold what all do.
-        able, judged = np.flatnonzero(always & fits), {}
-        while len(able):
-            kept = able[outermost(start[able], end[able], words)].tolist()
-            for r in kept:
-                if r not in judged:
-                    k = y[r]
-                    judged[r] = passage(w[x], w[k], (int(start[r]), int(end[r]), int(b0[r] - left[r]), int(b1[r] + right[r])), words, similarity)
-            if all(judged[r] for r in kept):
+        # Of long strands a few ways to lie on one another first, since what they give mostly leaves nothing new to the others.
+        for every in (STRAND, 8, 1) if n[x] > 1 and n[some].sum() > 2 * len(some) else (1,):
+            # No alignment has more words than both hold, and only two equal words end a passage, beyond what is known or, at a single place, the link.
+            many = n[some].sum() > 512  # of few, all are looked at sooner
+            known = spans or ([(int(off[x]), int(off[x] + ahead[x]) + WORDS)] if n[x] == 1 and ahead[x] + WORDS < words else [])
+            can = np.logical_and.reduce([beyond(x, *span) for span in known]) if known and many else np.ones(len(size), bool)
+            if every == 1 and many and can[some].any():
+                can &= nth_of().counts(bounds[x], bounds[x + 1]) >= similarity * words - 1e-9
+            some = some[can[some] | (some == x)]  # what a kind alone holds isn't counted
+            y, i, j = ways(n[x], gap[x], n[some], gap[some], every)
+            y = some[y]
+            apart = at[x] + i * gap[x] - at[y] - j * gap[y]
+            always = (y < earlier) | ((y < same) & (apart >= words))
+            later = (y < last_earlier) | ((y < last_same) & (apart + last_at[x] - at[x] >= words))
+            times = np.where(gap[y] == gap[x], np.minimum(n[x] - i, n[y] - j), 1)
+            a0, b0 = off[x] + i * gap[x], off[y] + j * gap[y]
+            a1, b1 = a0 + (times - 1) * gap[x] + ahead[x] + WORDS, b0 + (times - 1) * gap[x] + ahead[y] + WORDS
+            new = ~inside(a0 - np.minimum(a0, b0 + BAND), a1 + np.minimum(size[x] - a1, size[y] - b1 + BAND))
+            rows = np.flatnonzero((always | later if every == 1 else always) & new)
+            y, i, j, apart, always, times, a0, a1, b0, b1 = (c[rows] for c in (y, i, j, apart, always, times, a0, a1, b0, b1))
+            left = fit_lengths(v, bounds[x] + a0 - 1, bounds[y] + b0 - 1, np.minimum(a0, b0), -1, backward)
+            long = np.minimum(a1 - a0, b1 - b0) + left >= words
+            rows = np.flatnonzero(~(long & inside(a0 - left, a1 + np.minimum(size[x] - a1, size[y] - b1))))
+            y, i, j, apart, always, times, a0, a1, b0, b1, left = (c[rows] for c in (y, i, j, apart, always, times, a0, a1, b0, b1, left))
+            p, q, u, z = bounds[x] + a0 - 1, bounds[y] + b0 - 1, bounds[x] + a1, bounds[y] + b1
+            right = fit_lengths(v, u, z, np.minimum(size[x] - a1, size[y] - b1), 1, onward)
+            start, end = a0 - left, a1 + right
+            fits = np.minimum(a1 - a0, b1 - b0) + left + right >= words
+            # Sources that come before all of the kind: of ends over equal words, so many that they hold what all do.
+            able, judged = np.flatnonzero(always & fits & ~inside(start, end)), {}
+            while len(able):
+                kept = able[outermost(start[able], end[able], words)].tolist()
                 for r in kept:
-                    add(r, judged[r])
-                break
-            able = able[[judged.get(r, True) is not None for r in able.tolist()]]
+                    if r not in judged:
+                        k = y[r]
+                        judged[r] = passage(w(x), w(int(k)), (int(start[r]), int(end[r]), int(b0[r] - left[r]), int(b1[r] + right[r])), words, similarity)
+                if all(judged[r] for r in kept):
+                    for r in kept:
+                        add(r, judged[r])
+                    break
+                able = able[[judged.get(r, True) is not None for r in able.tolist()]]
         wrong = np.zeros(len(y), bool)
         wrong[[r for r, found in judged.items() if found is None]] = True
         # Ends over changed words, and sources that come before some of the kind: one after the other.
@@ -492,15 +532,14 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
         rest[rest] = ~(fits & ~wrong & inside(start, end))[rest]
         bare = np.flatnonzero(rest & (~fits | wrong))
         if len(bare):
-            # Only two equal words end a passage, and no alignment has more words than both hold.
-            can = np.zeros(len(ids), bool)
-            can[y[bare]] = True
-            can &= np.logical_and.reduce([beyond(x, *span) for span in spans]) if spans else beyond(x, int(off[x]), int(off[x] + ahead[x]) + WORDS) if n[x] == 1 else True
-            if can.any():
-                can &= nth_of.counts(bounds[x], bounds[x + 1]) >= similarity * words - 1e-9
+            # What is known by now leaves fewer.
+            known = spans or known
+            can = np.logical_and.reduce([beyond(x, *span) for span in known]) if known else np.ones(len(size), bool)
+            if can[y[bare]].any():
+                can &= nth_of().counts(bounds[x], bounds[x + 1]) >= similarity * words - 1e-9
             rest[bare[~can[y[bare]]]] = False
             bare = bare[can[y[bare]]]
-            held = words_of.held(bounds[x], bounds[x + 1]) if len(bare) else None
+            held = words_of().held(bounds[x], bounds[x + 1]) if len(bare) else None
             for c in range(0, len(bare), 2_048):
                 r = bare[c : c + 2_048]
                 before, before_y = end_lengths(twos, p[r], q[r], a0[r], b0[r], -1)
@@ -517,7 +556,7 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
         while len(order):
             r, order = int(order[0]), order[1:]
             k = int(y[r])
-            found = aligned_passage(w[x], w[k], (int(a0[r]), int(a1[r]), int(b0[r]), int(b1[r])), words, similarity)
+            found = aligned_passage(w(x), w(int(k)), (int(a0[r]), int(a1[r]), int(b0[r]), int(b1[r])), words, similarity)
             if found and not inside(np.array([found[0]]), np.array([found[1]]))[0]:
                 add(r, found)
                 order = order[~inside(start[order], end[order])]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from netloom.llm import chains
 from netloom.llm.chains import repeated_passages
@@ -80,3 +81,36 @@ def test_bounds_of_ends_hold_for_every_alignment():
         best = chains.best_surplus(can_before, can_after, held[np.maximum(a0 - 1 - k, 0)][None], held[np.minimum(a0 + 5 + k, at - 1)][None], one(5), 20, 0.75)[0]
         assert best >= chains.aligned_words(a[found[0] : found[1]], b[found[2] : found[3]]) - 0.75 * max(found[1] - found[0], found[3] - found[2]) - 1e-9
     assert tried > 50
+
+
+def strands_of_a_pair(rng, sizes, kinds_of_words=40):
+    """What ``meet`` reads of documents that say two words again and again, sizes of them times, between other words."""
+    rows = []
+    for i, n in enumerate(sizes):
+        sides = [[rng.randrange(2, kinds_of_words) for _ in range(chains.MARGIN)] for _ in range(2)]
+        rows.append({"id": i, "at": 100, "ahead": 12, "off": chains.MARGIN, "gap": 2, "n": n - 8, "own": 0, "i": 0, "j": 0, "last_id": i, "last_at": 100, "w": sides[0] + [0, 1] * n + sides[1]})
+    kinds = [("id", pa.int64()), *((c, pa.int32()) for c in ("at", "ahead", "off", "gap", "n", "last_at")), *((c, pa.int64()) for c in ("own", "i", "j", "last_id")), ("w", pa.list_(pa.int32()))]
+    return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
+
+
+def test_strands_that_meet_cover_what_all_ways_do():
+    t = strands_of_a_pair(random.Random(7), (20, 31, 26, 40, 33, 12, 60, 11, 60))
+    got = {(x, p + chains.MARGIN) for x, _, _, _, _, start, end, *_ in chains.meet(t, 50, 0.75) for p in range(start, end - 49)}
+    want, rows = set(), t.to_pylist()
+    for x, a in enumerate(rows):
+        for b in rows[:x]:
+            for i, j in [(0, j) for j in range(b["n"])] + [(i, 0) for i in range(1, a["n"])]:
+                length = (min(a["n"] - i, b["n"] - j) - 1) * 2 + 12 + chains.WORDS
+                a0, b0 = chains.MARGIN + 2 * i, chains.MARGIN + 2 * j
+                if found := chains.aligned_passage(a["w"], b["w"], (a0, a0 + length, b0, b0 + length), 50, 0.75):
+                    want |= {(x, p) for p in range(found[0], found[1] - 49)}
+    assert got >= want and len(want) > 100
+
+
+def test_few_ways_in_which_strands_may_meet_are_looked_at(monkeypatch):
+    rng, looked = random.Random(8), []
+    fit = chains.fit_lengths
+    monkeypatch.setattr(chains, "fit_lengths", lambda v, p, *more: looked.append(len(p)) or fit(v, p, *more))
+    t = strands_of_a_pair(rng, [rng.randrange(100, 130) for _ in range(60)], 10**6)
+    assert {x for x, *_ in chains.meet(t, 50, 0.75)} == set(range(60))  # the first repeats itself
+    assert sum(looked) < 60 * 60 * 20  # all ways are about 200 for each two
