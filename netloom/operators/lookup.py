@@ -20,13 +20,27 @@ def key_of(prefix: Column, width: int) -> Column:
     return F.conv(F.concat(F.lit("1"), prefix), 2, 10).cast("long") if width < 63 else prefix
 
 
+def unpacked(rows: DataFrame, key: str) -> DataFrame:
+    """The rows that have a ``key``, which the planner takes for at least nine times as large, by a join with a table of one row.
+
+    What seems small it broadcasts before it has seen any, by the size of compressed files; beyond that, by the size that was measured."""
+    one = F.broadcast(rows.sparkSession.sql("select * from values (true) as one(_one)"))
+    return rows.join(one, F.col(key).isNotNull() >= F.col("_one")).drop("_one")
+
+
+def _keyed(networks: DataFrame, width: int) -> DataFrame:
+    """The networks with ``_key``."""
+    return unpacked(networks, "prefix").where(F.length("prefix") <= width).withColumn("_key", key_of(F.col("prefix"), width))
+
+
 def _asked(probes: DataFrame, width: int, lengths: list[int]) -> DataFrame:
-    """Each probe once for each length, with ``_key`` and ``_n``, the length."""
-    # One expression as text: a column object for each length would take longer to build than small joins to run.
-    whole = key_of(F.col("bits"), width) if width < 63 else F.lit(0)
-    key = (lambda n: f"shiftright(_whole, {width - n})") if width < 63 else (lambda n: f"substring(bits, 1, {n})")
-    keys = F.expr(f"explode(array({', '.join(f"named_struct('n', {n}, 'k', {key(n)})" for n in lengths)}))")
-    return probes.withColumn("_whole", whole).withColumn("_x", keys).select(*probes.columns, F.col("_x.k").alias("_key"), F.col("_x.n").alias("_n"))
+    """Each probe once for each length, with ``_key`` and ``_n``, the length.
+
+    The lengths are a table: after ``explode`` the planner would take so many rows for no larger than the probes, and broadcast them."""
+    each = F.broadcast(probes.sparkSession.sql(f"select * from values {', '.join(f'({n})' for n in lengths)} as lengths(_n)"))
+    asked = probes.withColumn("_whole", key_of(F.col("bits"), width)) if width < 63 else probes
+    key = F.expr(f"shiftright(_whole, {width} - _n)") if width < 63 else F.col("bits").substr(F.lit(1), F.col("_n"))
+    return asked.crossJoin(each).select(*probes.columns, key.alias("_key"), "_n")
 
 
 def covering(probes: DataFrame, networks: DataFrame, width: int = V4, how: str = "inner", lengths: Iterable[int] | None = None) -> DataFrame:
@@ -35,7 +49,7 @@ def covering(probes: DataFrame, networks: DataFrame, width: int = V4, how: str =
     Each probe is asked once for each length that occurs, or for each of ``lengths`` if given, which spares computing the networks twice. The join is on equal keys, so Spark broadcasts the networks if they are small,
     and else shuffles by key and splits prefixes that many probes share. With ``how="left"`` a probe has a row for each length."""
     lengths = list(present_lengths(networks, width) if lengths is None else lengths) or [0]
-    keyed = networks.where(F.length("prefix") <= width).withColumn("_key", key_of(F.col("prefix"), width))
+    keyed = _keyed(networks, width)
     return _asked(probes, width, lengths).join(keyed, "_key", how).drop("_key", "_n")
 
 
@@ -48,7 +62,7 @@ def lookup(probes: DataFrame, networks: DataFrame, width: int = V4, disjoint: bo
     if disjoint:
         return covering(probes, networks, width, lengths=lengths)
     lengths = list(present_lengths(networks, width) if lengths is None else lengths) or [0]
-    keyed = networks.where(F.length("prefix") <= width).withColumn("_key", key_of(F.col("prefix"), width))
+    keyed = _keyed(networks, width)
     hits = _asked(probes, width, lengths).join(keyed.select("_key"), "_key", "left_semi")
     longest = hits.groupBy(*probes.columns).agg(F.max("_n").alias("_n"))
     if width < 63:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netloom.functions.bits import V4, first_address, last_address, predecessor, range_blocks, successor
 from netloom.functions.values import merged_json
 from netloom.operators.buckets import DIGITS, bucket_of, bucket_starts
-from netloom.operators.lookup import covering
+from netloom.operators.lookup import covering, unpacked
 
 
 def cut_points(blocks: DataFrame, width: int = V4, bucket: int = DIGITS) -> DataFrame:
@@ -64,7 +64,7 @@ def resolve(blocks: DataFrame, policy: str = "none", width: int = V4, bucket: in
         value = F.array_sort(F.map_entries("record")) if is_map else F.col("record")
         # (The pieces of a range are insertions of one seq and record.)
         values = blocks.select("seq", value.alias("value")).dropDuplicates(["seq"])
-        points = winners(blocks, width, bucket, lengths).join(values, "seq", "left").select("bits", "value")
+        points = winners(blocks, width, bucket, lengths).join(unpacked(values, "seq"), "seq", "left").select("bits", "value")
         leaves = canonical_leaves(points, "value", width, bucket)
         return leaves.select("prefix", "plen", (F.map_from_entries("value") if is_map else F.col("value")).alias("record"))
     points = cut_points(blocks, width, bucket)
