@@ -7,7 +7,7 @@ from netloom.operators.lookup import covering
 from netloom.streaming import run
 
 DATA = "/root/testdata/sf0.01"
-ASKED = ["lookup_resolved", "resolve_recurse", "resolve_toplevel", "stream_rates", "ignore_empty_layer"]
+ASKED = ["lookup_resolved", "resolve_recurse", "resolve_toplevel", "stream_rates", "ignore_empty_layer", "stream_enrich"]
 
 
 def test_size_counts_every_length(spark):
