@@ -26,6 +26,13 @@ def winners(blocks: DataFrame, width: int = V4, bucket: int = DIGITS, lengths: I
     return covering(points, blocks.select("prefix", "seq"), width, "left", lengths).groupBy("bits").agg(F.max("seq").alias("seq"))
 
 
+def last_fields(blocks: DataFrame) -> DataFrame:
+    """Each prefix once with ``fields``: the last value of each key of its records, and the insertion that it is from."""
+    fields = blocks.select("prefix", "seq", F.explode("record").alias("k", "v"))
+    last = fields.groupBy("prefix", "k").agg(F.max_by("v", "seq").alias("v"), F.max("seq").alias("seq"))
+    return last.groupBy("prefix").agg(F.collect_list(F.struct("k", "seq", "v")).alias("fields"))
+
+
 def canonical_leaves(points: DataFrame, value: str, width: int = V4, bucket: int = DIGITS) -> DataFrame:
     """Cut points with a value each (null for nothing) -> the maximal aligned blocks of one value that lie between:
     prefix, plen, value; blocks of nothing included, so that they part the whole address space.
@@ -68,13 +75,16 @@ def resolve(blocks: DataFrame, policy: str = "none", width: int = V4, bucket: in
         leaves = canonical_leaves(points, "value", width, bucket)
         return leaves.select("prefix", "plen", (F.map_from_entries("value") if is_map else F.col("value")).alias("record"))
     points = cut_points(blocks, width, bucket)
-    over = covering(points, blocks, width, lengths=lengths)
     if policy == "toplevel":
-        fields = over.select("bits", "seq", F.explode("record").alias("k", "v"))
-        last = fields.groupBy("bits", "k").agg(F.max_by("v", "seq").alias("v"))
-        merged = last.groupBy("bits").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("entries"))
+        over = covering(points, last_fields(blocks), width, lengths=lengths)
+        each = F.array_sort(F.flatten(F.collect_list("fields")))
+        merged = over.groupBy("bits").agg(each.alias("all"))
+        # In order of keys and insertions: the last of each key.
+        ends = F.filter("all", lambda x, i: ~x["k"].eqNullSafe(F.get("all", i + 1)["k"]))
+        merged = merged.select("bits", F.transform(ends, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))).alias("entries"))
         leaves = canonical_leaves(points.join(merged, "bits", "left"), "entries", width, bucket)
         return leaves.select("prefix", "plen", F.map_from_entries("entries").alias("record"))
+    over = covering(points, blocks, width, lengths=lengths)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "record"))), lambda x: x["record"])
     merged = over.groupBy("bits").agg(in_order.alias("all")).select("bits", merged_json("all").alias("record"))
     return canonical_leaves(points.join(merged, "bits", "left"), "record", width, bucket)
