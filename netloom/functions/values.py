@@ -164,6 +164,18 @@ def text_record(record) -> Column:
     return _vectorised("map<string,string>", lambda r: {k: text_value(v) for k, v in json.loads(r).items()}, record)
 
 
+def shape(value):
+    """A value without its scalars: what decides where a merge writes, not what."""
+    if isinstance(value, dict):
+        return {k: shape(v) for k, v in value.items()}
+    return [shape(v) for v in value] if isinstance(value, list) else 0
+
+
+def json_shape(record) -> Column:
+    """A JSON object -> its keys at all depths and its arrays' lengths, as text."""
+    return _vectorised("string", lambda r: canonical(shape(json.loads(r))), record)
+
+
 def merged_json(records) -> Column:
     """A list of JSON objects in order of insertion -> their recursive merge."""
 

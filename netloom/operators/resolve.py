@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.bits import V4, first_address, last_address, predecessor, range_blocks, successor
-from netloom.functions.values import merged_json
+from netloom.functions.values import json_shape, merged_json
 from netloom.operators.buckets import DIGITS, bucket_of, bucket_starts
 from netloom.operators.lookup import covering, unpacked
 
@@ -33,6 +33,13 @@ def last_fields(blocks: DataFrame) -> DataFrame:
     return last.groupBy("prefix").agg(F.collect_list(F.struct("k", "seq", "v")).alias("fields"))
 
 
+def last_shapes(blocks: DataFrame) -> DataFrame:
+    """Each prefix once with ``records``, in which a record is left out if a later one of the prefix has the same shape: the same keys at all depths
+    and arrays of the same lengths. Whatever is inserted between the two, the later one replaces all that the earlier one sets."""
+    last = blocks.groupBy("prefix", json_shape("record").alias("_shape")).agg(F.max_by("record", "seq").alias("record"), F.max("seq").alias("seq"))
+    return last.groupBy("prefix").agg(F.collect_list(F.struct("seq", "record")).alias("records"))
+
+
 def canonical_leaves(points: DataFrame, value: str, width: int = V4, bucket: int = DIGITS) -> DataFrame:
     """Cut points with a value each (null for nothing) -> the maximal aligned blocks of one value that lie between:
     prefix, plen, value; blocks of nothing included, so that they part the whole address space.
@@ -84,7 +91,7 @@ def resolve(blocks: DataFrame, policy: str = "none", width: int = V4, bucket: in
         merged = merged.select("bits", F.transform(ends, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))).alias("entries"))
         leaves = canonical_leaves(points.join(merged, "bits", "left"), "entries", width, bucket)
         return leaves.select("prefix", "plen", F.map_from_entries("entries").alias("record"))
-    over = covering(points, blocks, width, lengths=lengths)
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("seq", "record"))), lambda x: x["record"])
+    over = covering(points, last_shapes(blocks), width, lengths=lengths)
+    in_order = F.transform(F.array_sort(F.flatten(F.collect_list("records"))), lambda x: x["record"])
     merged = over.groupBy("bits").agg(in_order.alias("all")).select("bits", merged_json("all").alias("record"))
     return canonical_leaves(points.join(merged, "bits", "left"), "record", width, bucket)

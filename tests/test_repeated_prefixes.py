@@ -1,7 +1,10 @@
 """A prefix that is inserted often must not be met once for each insertion by every address under it."""
 
+import json
+
 from test_resolve import BUCKET, W, brute, leaves_of, some_blocks
 
+from netloom.functions.values import deep_merge
 from netloom.operators import resolve
 
 
@@ -26,3 +29,20 @@ def test_toplevel(spark, monkeypatch):
     df = spark.createDataFrame(blocks, "prefix string, seq long, record map<string,string>")
     assert leaves_of(resolve.resolve(df, "toplevel", W, BUCKET)) == brute(blocks, lambda over: {k: v for r in over for k, v in r.items()})
     assert all(map(once, seen))
+
+
+def test_recurse(spark, monkeypatch):
+    """Scalars, objects and arrays replace one another."""
+    shapes = (lambda i: {"m": {"x": i}}, lambda i: {"m": i}, lambda i: {"m": {"y": {"z": i}}}, lambda i: {"m": [i, {"a": i}]}, lambda i: {"m": [i]}, lambda i: {"n": {}, "m": {"x": {"z": i}}})
+    blocks, seen = often(8, lambda x, i: json.dumps(shapes[int(x * 6)](i))), met(monkeypatch)
+
+    def fold(over):
+        out = {}
+        for r in over:
+            out = deep_merge(out, json.loads(r))
+        return json.dumps(out, sort_keys=True, separators=(",", ":"))
+
+    df = spark.createDataFrame(blocks, "prefix string, seq long, record string")
+    assert leaves_of(resolve.resolve(df, "recurse", W, BUCKET)) == brute(blocks, fold)
+    assert all(map(once, seen))
+    assert all(len(r.records) <= len(shapes) for r in seen[0].collect())
