@@ -23,7 +23,12 @@ def cut_points(blocks: DataFrame, width: int = V4, bucket: int = DIGITS) -> Data
 def winners(blocks: DataFrame, width: int = V4, bucket: int = DIGITS, lengths: Iterable[int] | None = None) -> DataFrame:
     """Each cut point with the last inserted block over it: bits, seq (null where nothing lies)."""
     points = cut_points(blocks, width, bucket)
-    return covering(points, blocks.select("prefix", "seq"), width, "left", lengths).groupBy("bits").agg(F.max("seq").alias("seq"))
+    return covering(points, last_of_each(blocks), width, "left", lengths).groupBy("bits").agg(F.max("seq").alias("seq"))
+
+
+def last_of_each(blocks: DataFrame) -> DataFrame:
+    """Each prefix once, with its last ``seq``: what a point under it can get. So a point meets one network of a length, however often it was inserted."""
+    return blocks.groupBy("prefix").agg(F.max("seq").alias("seq"))
 
 
 def last_fields(blocks: DataFrame) -> DataFrame:

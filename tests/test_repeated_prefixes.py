@@ -24,6 +24,13 @@ def once(networks) -> bool:
     return networks.count() == networks.select("prefix").distinct().count() == 5
 
 
+def test_last_insertion(spark, monkeypatch):
+    blocks, seen = often(5, lambda x, i: "abc"[int(x * 3)]), met(monkeypatch)
+    df = spark.createDataFrame(blocks, "prefix string, seq long, record string")
+    assert leaves_of(resolve.resolve(df, "none", W, BUCKET)) == brute(blocks, lambda over: over[-1])
+    assert all(map(once, seen))
+
+
 def test_toplevel(spark, monkeypatch):
     blocks, seen = often(6, lambda x, i: {"xyz"[int(x * 3)]: str(i), "k": str(i % 2)} if i % 9 else {}), met(monkeypatch)
     df = spark.createDataFrame(blocks, "prefix string, seq long, record map<string,string>")
