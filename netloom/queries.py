@@ -320,7 +320,7 @@ def stream_rates(spark, d):
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     asked = stream.select(F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)").alias("ts"), digits("event_id", PROBE).alias("bits"))
-    counts = rates(enrich(asked, db).select("ts", F.col("record").alias("segment")), "ts", "segment", "1 day")
+    counts = rates(enrich(asked, db, lengths=LENGTHS).select("ts", F.col("record").alias("segment")), "ts", "segment", "1 day")
     return run_once(counts).select(F.date_format(F.to_utc_timestamp("window.start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "segment", F.col("count").alias("events"))
 
 

@@ -2,10 +2,15 @@
 
 import json
 
+import pytest
 from test_resolve import BUCKET, W, brute, leaves_of, some_blocks
 
+from netloom import queries as Q
 from netloom.functions.values import deep_merge
-from netloom.operators import resolve
+from netloom.operators import lookup, resolve
+from netloom.streaming import run
+
+DATA = "/root/testdata/sf0.001"
 
 
 def often(seed: int, value) -> list[tuple[str, int, object]]:
@@ -53,3 +58,13 @@ def test_recurse(spark, monkeypatch):
     assert leaves_of(resolve.resolve(df, "recurse", W, BUCKET)) == brute(blocks, fold)
     assert all(map(once, seen))
     assert all(len(r.records) <= len(shapes) for r in seen[0].collect())
+
+
+@pytest.mark.parametrize("name", ["stream_rates"])
+def test_stream_resolves_once(spark, monkeypatch, name):
+    """The networks' lengths are known, so the networks aren't resolved before the stream begins."""
+    asked = []
+    monkeypatch.setattr(lookup, "present_lengths", lambda *a: asked.append(a) or list(range(25)))
+    monkeypatch.setattr(run, "run_once", lambda stream: spark.createDataFrame([], stream.schema))
+    Q.QUERIES[name](spark, DATA)
+    assert not asked
