@@ -309,7 +309,7 @@ def stream_enrich(spark, d):
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     asked = stream.select(F.col("event_id").alias("pos"), digits("event_id", PROBE).alias("bits"))
-    return run_once(enrich(asked, db).select("pos", F.col("record").alias("segment")))
+    return run_once(enrich(asked, db, lengths=LENGTHS).select("pos", F.col("record").alias("segment")))
 
 
 def stream_rates(spark, d):

@@ -60,7 +60,7 @@ def test_recurse(spark, monkeypatch):
     assert all(len(r.records) <= len(shapes) for r in seen[0].collect())
 
 
-@pytest.mark.parametrize("name", ["stream_rates"])
+@pytest.mark.parametrize("name", ["stream_rates", "stream_enrich"])
 def test_stream_resolves_once(spark, monkeypatch, name):
     """The networks' lengths are known, so the networks aren't resolved before the stream begins."""
     asked = []
