@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import DOC_BITS, BitFilter, discard, first_smallest, mix64, passed, release, shuffle_partitions, steps, stored, text_steps, word_hashes
+from netloom.llm.common import BASE, BASE_INV, DOC_BITS, BitFilter, discard, first_smallest, mix64, passed, powers, release, shuffle_partitions, steps, stored, text_steps, word_hashes
 
 #: Words in a seed; seeds in a window, of which the smallest is taken.
 WORDS, WINDOW = 5, 8
@@ -150,18 +150,26 @@ def fit_passage(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int)
 
 def common_lengths(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where a's and b's beginnings may end: (words of a, words of b, length of their longest common subsequence), at nothing or two equal words, within BAND."""
-    out = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    same = np.zeros(out.shape, bool)
+    same = np.zeros((len(a) + 1, len(b) + 1), bool)
     same[0, 0] = True
-    b = np.array(b)
-    for i, w in enumerate(a):
-        same[i + 1, 1:] = b == w
-        out[i + 1, 1:] = np.maximum.accumulate(np.maximum(out[i, 1:], out[i, :-1] + same[i + 1, 1:]))
+    same[1:, 1:] = np.equal.outer(np.array(a, np.int64), np.array(b, np.int64))
     twice = same.copy()  # one equal word may be chance
     twice[1:, 1:] &= same[:-1, :-1]
     x, y = np.nonzero(twice)
     near = np.abs(x - y) <= BAND
-    return x[near], y[near], out[x[near], y[near]]
+    x, y = x[near], y[near]
+    # As in aligned_words: after y words of b, a bit is 0 where one more word of a makes the subsequence longer.
+    where: dict[int, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    after = [v]
+    for w in b:
+        m = v & where.get(w, 0)
+        v = ((v + m) | (v - m)) & full
+        after.append(v)
+    return x, y, np.array([i - (after[j] & (1 << i) - 1).bit_count() for i, j in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
 
 
 def align_ends(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, words: int, similarity: float) -> tuple[int, int, int, int] | None:
@@ -285,6 +293,19 @@ def fit_lengths(v: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, s
     return out
 
 
+def windows(v: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of texts, and behind the last, a number for the up to MARGIN words before it and one for those from it on, equal for equal words; at a bound between two
+    texts, the words before it are those of the first."""
+    n = len(v)
+    sums = np.append(np.uint64(0), np.cumsum(mix64(v.astype(np.uint64)) * powers(BASE, n), dtype=np.uint64))
+    back = powers(BASE_INV, n + 1)
+    k = np.arange(n + 1)
+    before = np.maximum(k - MARGIN, bounds[np.maximum(np.searchsorted(bounds, k, side="left") - 1, 0)])
+    behind = np.minimum(k + MARGIN, bounds[np.minimum(np.searchsorted(bounds, k, side="right"), len(bounds) - 1)])
+    hashes = (mix64((sums[y] - sums[x]) * back[x]) + (y - x).astype(np.uint64) for x, y in ((before, k), (k, behind)))
+    return tuple(np.unique(h, return_inverse=True)[1] for h in hashes)
+
+
 def end_lengths(twos: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q_most: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether ``align_ends`` can add each number of words (0 to MARGIN) from p on by ``step``, which is up to two equal words, at most BAND apart; and the most from q on."""
     n = np.arange(1, MARGIN)[None, :]  # two words end with the n-th and the next
@@ -316,6 +337,46 @@ def best_surplus(before: np.ndarray, after: np.ndarray, held_before: np.ndarray,
     return both.max(axis=1) + (1 - similarity) * core
 
 
+def end_table(v: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q_most: np.ndarray, step: int) -> np.ndarray:
+    """For many pairs at once what ``common_lengths`` gives for the words from p and q on by ``step``: for each number of words of the first (0 to MARGIN) and each pair
+    the longest common subsequence, whatever the number of words of the second; less than 0 where no alignment may end."""
+    k, r = np.arange(MARGIN)[:, None], len(p)
+    a = np.where(k < p_most, v[np.clip(p + step * k, 0, len(v) - 1)].astype(np.int64), -(1 << 62))
+    b = np.where(k < q_most, v[np.clip(q + step * k, 0, len(v) - 1)].astype(np.int64), -(1 << 61))
+    out = np.full((MARGIN + 1, r), -1, np.int8)
+    out[0] = 0
+    row, before = np.zeros((MARGIN + 1, r), np.int8), np.zeros((MARGIN + 1, r), bool)
+    before[0] = True
+    for i in range(MARGIN):
+        same = b == a[i]
+        row[1:] = np.maximum(row[1:], row[:-1] + same)
+        for j in range(2, MARGIN + 1):
+            np.maximum(row[j], row[j - 1], out=row[j])
+        x, y = max(i - BAND, 0), min(i + BAND + 1, MARGIN)
+        out[i + 1] = np.where(same[x:y] & before[x:y], row[x + 1 : y + 1], -1).max(axis=0)
+        before[0], before[1:] = False, same
+    return out
+
+
+def alignable(left: np.ndarray, right: np.ndarray, core: np.ndarray, aligned: np.ndarray, words: int, similarity: float) -> np.ndarray:
+    """Around which cores ``align_ends`` may find a passage; around the others it finds none. ``left``, ``right``: their ``end_table``; ``core``: how many words of the first text they
+    have, of which at most ``aligned`` are aligned."""
+    n = np.arange(MARGIN + 1)[:, None]
+    left, right = (np.where(t < 0, -np.inf, t - similarity * n) for t in (left, right))
+    right = np.maximum.accumulate(right[::-1], axis=0)[::-1]  # with so many words or more
+    need = np.maximum(words - core - n, 0)
+    both = np.where(need <= MARGIN, left + np.take_along_axis(right, np.minimum(need, MARGIN), axis=0), -np.inf)
+    return both.max(axis=0) + aligned - similarity * core >= -1e-9
+
+
+def by_pairs(f: Callable[[np.ndarray], tuple[np.ndarray, ...]], pairs: np.ndarray, most: int = 2_048) -> Callable[[np.ndarray], tuple[np.ndarray, ...]]:
+    """``f`` gives arrays whose first index are the rows it is asked for, of which those of equal ``pairs`` are equal: asked once for each pair, ``most`` at a time, and given for any rows."""
+    _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
+    parts = [f(first[c : c + most]) for c in range(0, len(first), most)]
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return lambda r: tuple(c[of[r]] for c in columns)
+
+
 def outermost(start: np.ndarray, end: np.ndarray, words: int) -> list[int]:
     """Spans in which every run of ``words`` words lies whole that lies whole in any of them; of equal ones the first."""
     order = np.lexsort((-end, start))
@@ -453,7 +514,7 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
     twos = pairs_of(v, bounds)
     # Made when first asked for: few rows may ask for little.
     words_of, nth_of, twos_of = (cache(lambda items=items: Holders(of, items(), len(size))) for items in (lambda: v, lambda: nth_words(v, of), lambda: twos))
-    onward, backward = runs(v, 1), runs(v, -1)
+    onward, backward, windows_of = runs(v, 1), runs(v, -1), cache(lambda: windows(v, bounds))
     w = cache(lambda k: v[bounds[k] : bounds[k + 1]].tolist())
 
     def beyond(x: int, start: int, end: int) -> np.ndarray:
@@ -513,7 +574,7 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
             start, end = a0 - left, a1 + right
             fits = np.minimum(a1 - a0, b1 - b0) + left + right >= words
             # Sources that come before all of the kind: of ends over equal words, so many that they hold what all do.
-            able, judged = np.flatnonzero(always & fits & ~inside(start, end)), {}
+            able, judged, wrong = np.flatnonzero(always & fits & ~inside(start, end)), {}, np.zeros(len(y), bool)
             while len(able):
                 kept = able[outermost(start[able], end[able], words)].tolist()
                 for r in kept:
@@ -524,9 +585,8 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
                     for r in kept:
                         add(r, judged[r])
                     break
-                able = able[[judged.get(r, True) is not None for r in able.tolist()]]
-        wrong = np.zeros(len(y), bool)
-        wrong[[r for r, found in judged.items() if found is None]] = True
+                wrong[[r for r in kept if judged[r] is None]] = True
+                able = able[~wrong[able]]
         # Ends over changed words, and sources that come before some of the kind: one after the other.
         rest = ~fits | wrong | ~always
         rest[rest] = ~(fits & ~wrong & inside(start, end))[rest]
@@ -540,16 +600,31 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
             rest[bare[~can[y[bare]]]] = False
             bare = bare[can[y[bare]]]
             held = words_of().held(bounds[x], bounds[x + 1]) if len(bare) else None
+            if len(bare):
+                # The words around the cores are often the same; what is known of them is found once.
+                before_of, after_of = windows_of()
+                sides = before_of[p[bare] + 1] * len(before_of) + before_of[q[bare] + 1], after_of[u[bare]] * len(after_of) + after_of[z[bare]]
+                ends_before = by_pairs(lambda k: end_lengths(twos, *(c[bare[k]] for c in (p, q, a0, b0)), -1), sides[0])
+                ends_after = by_pairs(lambda k: end_lengths(twos, *(c[bare[k]] for c in (u, z)), size[x] - a1[bare[k]], size[y[bare[k]]] - b1[bare[k]], 1), sides[1])
+                held_core = np.append(np.zeros((1, len(size)), np.int16), np.cumsum(held, axis=0, dtype=np.int16), axis=0)
             for c in range(0, len(bare), 2_048):
-                r = bare[c : c + 2_048]
-                before, before_y = end_lengths(twos, p[r], q[r], a0[r], b0[r], -1)
-                after, after_y = end_lengths(twos, u[r], z[r], size[x] - a1[r], size[y[r]] - b1[r], 1)
+                r, k = bare[c : c + 2_048], np.arange(c, min(c + 2_048, len(bare)))
+                (before, before_y), (after, after_y) = ends_before(k), ends_after(k)
                 k = np.arange(MARGIN)[None, :]
                 held_before = held[np.maximum(a0[r][:, None] - 1 - k, 0), y[r][:, None]]
                 held_after = held[np.minimum(a1[r][:, None] + k, size[x] - 1), y[r][:, None]]
                 enough = best_surplus(before, after, held_before, held_after, a1[r] - a0[r], words, similarity) >= -1e-9
                 start[r], end[r] = a0[r] - (before * np.arange(MARGIN + 1)).max(axis=1), a1[r] + (after * np.arange(MARGIN + 1)).max(axis=1)
                 rest[r] = enough & (end[r] - start[r] >= words) & (b1[r] - b0[r] + before_y + after_y >= words) & ~inside(start[r], end[r])
+            some_bare = np.flatnonzero(rest[bare])
+            if len(some_bare):
+                bare, sides = bare[some_bare], [side[some_bare] for side in sides]
+                left_of = by_pairs(lambda k: (end_table(v, *(c[bare[k]] for c in (p, q, a0, b0)), -1).T,), sides[0])
+                right_of = by_pairs(lambda k: (end_table(v, *(c[bare[k]] for c in (u, z)), size[x] - a1[bare[k]], size[y[bare[k]]] - b1[bare[k]], 1).T,), sides[1])
+                for c in range(0, len(bare), 2_048):
+                    r, k = bare[c : c + 2_048], np.arange(c, min(c + 2_048, len(bare)))
+                    most = np.minimum(b1[r] - b0[r], held_core[a1[r], y[r]] - held_core[a0[r], y[r]])
+                    rest[r] = alignable(left_of(k)[0].T, right_of(k)[0].T, a1[r] - a0[r], most, words, similarity)
         order = np.flatnonzero(rest)
         # Those before all in any order, then the others from the first on.
         order = order[np.lexsort((apart[order] * -1, y[order], np.where(always[order], start[order] - end[order], 0), ~always[order]))]
