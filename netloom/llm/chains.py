@@ -118,6 +118,12 @@ def best_chains(a: np.ndarray, b: np.ndarray, weight: float = WORDS, gap: float
 
 def aligned_words(a: list[int], b: list[int]) -> int:
     """Words of the longest common subsequence, by bit-parallel dynamic programming."""
+    # Equal words at either end are in one of them.
+    n = min(len(a), len(b))
+    x = next((i for i, (v, w) in enumerate(zip(a, b, strict=False)) if v != w), n)
+    y = next((i for i, (v, w) in enumerate(zip(reversed(a), reversed(b), strict=False)) if v != w), n)
+    y = min(y, n - x)
+    a, b = a[x : len(a) - y], b[x : len(b) - y]
     where: dict[int, int] = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
@@ -125,8 +131,9 @@ def aligned_words(a: list[int], b: list[int]) -> int:
     v = full
     for w in b:
         m = v & where.get(w, 0)
-        v = ((v + m) | (v - m)) & full
-    return len(a) - v.bit_count()
+        if m:
+            v = ((v + m) | (v - m)) & full
+    return x + y + len(a) - v.bit_count()
 
 
 def fit_passage(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int, int]:
@@ -337,8 +344,8 @@ def best_surplus(before: np.ndarray, after: np.ndarray, held_before: np.ndarray,
     return both.max(axis=1) + (1 - similarity) * core
 
 
-def end_table(v: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q_most: np.ndarray, step: int) -> np.ndarray:
-    """For many pairs at once what ``common_lengths`` gives for the words from p and q on by ``step``: for each number of words of the first (0 to MARGIN) and each pair
+def end_table(v: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q_most: np.ndarray, step: int) -> tuple[np.ndarray]:
+    """For many pairs at once what ``common_lengths`` gives for the words from p and q on by ``step``: for each pair and each number of words of the first (0 to MARGIN)
     the longest common subsequence, whatever the number of words of the second; less than 0 where no alignment may end."""
     k, r = np.arange(MARGIN)[:, None], len(p)
     a = np.where(k < p_most, v[np.clip(p + step * k, 0, len(v) - 1)].astype(np.int64), -(1 << 62))
@@ -355,7 +362,7 @@ def end_table(v: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q
         x, y = max(i - BAND, 0), min(i + BAND + 1, MARGIN)
         out[i + 1] = np.where(same[x:y] & before[x:y], row[x + 1 : y + 1], -1).max(axis=0)
         before[0], before[1:] = False, same
-    return out
+    return (out.T,)
 
 
 def alignable(left: np.ndarray, right: np.ndarray, core: np.ndarray, aligned: np.ndarray, words: int, similarity: float) -> np.ndarray:
@@ -369,10 +376,11 @@ def alignable(left: np.ndarray, right: np.ndarray, core: np.ndarray, aligned: np
     return both.max(axis=0) + aligned - similarity * core >= -1e-9
 
 
-def by_pairs(f: Callable[[np.ndarray], tuple[np.ndarray, ...]], pairs: np.ndarray, most: int = 2_048) -> Callable[[np.ndarray], tuple[np.ndarray, ...]]:
-    """``f`` gives arrays whose first index are the rows it is asked for, of which those of equal ``pairs`` are equal: asked once for each pair, ``most`` at a time, and given for any rows."""
+def by_pairs(f: Callable[..., tuple[np.ndarray, ...]], args: tuple, pairs: np.ndarray, most: int = 2_048) -> Callable[[np.ndarray], tuple[np.ndarray, ...]]:
+    """``f`` of words, four numbers for each row and a step gives arrays with an entry for each row, equal for rows of equal ``pairs``: it is asked once for each pair, ``most``
+    at a time; gives the entries of any rows."""
     _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
-    parts = [f(first[c : c + most]) for c in range(0, len(first), most)]
+    parts = [f(args[0], *(c[first[i : i + most]] for c in args[1:5]), args[5]) for i in range(0, len(first), most)]
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     return lambda r: tuple(c[of[r]] for c in columns)
 
@@ -601,30 +609,38 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
             bare = bare[can[y[bare]]]
             held = words_of().held(bounds[x], bounds[x + 1]) if len(bare) else None
             if len(bare):
-                # The words around the cores are often the same; what is known of them is found once.
+                # Many rows have equal words around cores of equal sizes: one speaks for them, and what is known of each two surroundings is found once.
                 before_of, after_of = windows_of()
-                sides = before_of[p[bare] + 1] * len(before_of) + before_of[q[bare] + 1], after_of[u[bare]] * len(after_of) + after_of[z[bare]]
-                ends_before = by_pairs(lambda k: end_lengths(twos, *(c[bare[k]] for c in (p, q, a0, b0)), -1), sides[0])
-                ends_after = by_pairs(lambda k: end_lengths(twos, *(c[bare[k]] for c in (u, z)), size[x] - a1[bare[k]], size[y[bare[k]]] - b1[bare[k]], 1), sides[1])
                 held_core = np.append(np.zeros((1, len(size)), np.int16), np.cumsum(held, axis=0, dtype=np.int16), axis=0)
-            for c in range(0, len(bare), 2_048):
-                r, k = bare[c : c + 2_048], np.arange(c, min(c + 2_048, len(bare)))
-                (before, before_y), (after, after_y) = ends_before(k), ends_after(k)
-                k = np.arange(MARGIN)[None, :]
-                held_before = held[np.maximum(a0[r][:, None] - 1 - k, 0), y[r][:, None]]
-                held_after = held[np.minimum(a1[r][:, None] + k, size[x] - 1), y[r][:, None]]
-                enough = best_surplus(before, after, held_before, held_after, a1[r] - a0[r], words, similarity) >= -1e-9
-                start[r], end[r] = a0[r] - (before * np.arange(MARGIN + 1)).max(axis=1), a1[r] + (after * np.arange(MARGIN + 1)).max(axis=1)
-                rest[r] = enough & (end[r] - start[r] >= words) & (b1[r] - b0[r] + before_y + after_y >= words) & ~inside(start[r], end[r])
-            some_bare = np.flatnonzero(rest[bare])
-            if len(some_bare):
-                bare, sides = bare[some_bare], [side[some_bare] for side in sides]
-                left_of = by_pairs(lambda k: (end_table(v, *(c[bare[k]] for c in (p, q, a0, b0)), -1).T,), sides[0])
-                right_of = by_pairs(lambda k: (end_table(v, *(c[bare[k]] for c in (u, z)), size[x] - a1[bare[k]], size[y[bare[k]]] - b1[bare[k]], 1).T,), sides[1])
-                for c in range(0, len(bare), 2_048):
-                    r, k = bare[c : c + 2_048], np.arange(c, min(c + 2_048, len(bare)))
-                    most = np.minimum(b1[r] - b0[r], held_core[a1[r], y[r]] - held_core[a0[r], y[r]])
-                    rest[r] = alignable(left_of(k)[0].T, right_of(k)[0].T, a1[r] - a0[r], most, words, similarity)
+                aligned = np.minimum(b1[bare] - b0[bare], held_core[a1[bare], y[bare]] - held_core[a0[bare], y[bare]])
+                key = np.zeros(len(bare), np.uint64)
+                for part in (before_of[p[bare] + 1], before_of[q[bare] + 1], after_of[u[bare]], after_of[z[bare]], (a1 - a0)[bare], (b1 - b0)[bare], aligned):
+                    key = mix64(key + part.astype(np.uint64) + np.uint64(1))
+                _, one, like = np.unique(key, return_index=True, return_inverse=True)
+                r, aligned, core = bare[one], aligned[one], (a1 - a0)[bare[one]]
+                sides = before_of[p[r] + 1] * len(before_of) + before_of[q[r] + 1], after_of[u[r]] * len(after_of) + after_of[z[r]]
+                left_of = (v, p[r], q[r], a0[r], b0[r], -1), sides[0]
+                right_of = (v, u[r], z[r], size[x] - a1[r], size[y[r]] - b1[r], 1), sides[1]
+                ends = [by_pairs(end_lengths, (twos, *args[1:]), side) for args, side in (left_of, right_of)]
+                fit, reach = np.zeros(len(r), bool), [np.zeros(len(r), np.int64) for _ in range(2)]
+                k, n_words = np.arange(MARGIN)[None, :], np.arange(MARGIN + 1)
+                for c in range(0, len(r), 2_048):
+                    g = np.arange(c, min(c + 2_048, len(r)))
+                    (before, before_y), (after, after_y) = (f(g) for f in ends)
+                    held_before = held[np.maximum(a0[r[g]][:, None] - 1 - k, 0), y[r[g]][:, None]]
+                    held_after = held[np.minimum(a1[r[g]][:, None] + k, size[x] - 1), y[r[g]][:, None]]
+                    reach[0][g], reach[1][g] = (before * n_words).max(axis=1), (after * n_words).max(axis=1)
+                    fit[g] = best_surplus(before, after, held_before, held_after, core[g], words, similarity) >= -1e-9
+                    fit[g] &= (reach[0][g] + core[g] + reach[1][g] >= words) & (b1[r[g]] - b0[r[g]] + before_y + after_y >= words)
+                start[bare], end[bare] = a0[bare] - reach[0][like], a1[bare] + reach[1][like]
+                rest[bare] = fit[like] & ~inside(start[bare], end[bare])
+                some_like = np.unique(like[rest[bare]])
+                tables = [by_pairs(end_table, (args[0], *(c[some_like] for c in args[1:5]), args[5]), side[some_like]) for args, side in (left_of, right_of)]
+                for c in range(0, len(some_like), 2_048):
+                    g = np.arange(c, min(c + 2_048, len(some_like)))
+                    (left_t,), (right_t,) = (f(g) for f in tables)
+                    fit[some_like[g]] = alignable(left_t.T, right_t.T, core[some_like[g]], aligned[some_like[g]], words, similarity)
+                rest[bare] &= fit[like]
         order = np.flatnonzero(rest)
         # Those before all in any order, then the others from the first on.
         order = order[np.lexsort((apart[order] * -1, y[order], np.where(always[order], start[order] - end[order], 0), ~always[order]))]
