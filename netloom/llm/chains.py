@@ -300,17 +300,27 @@ def fit_lengths(v: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray, s
     return out
 
 
-def windows(v: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of texts, and behind the last, a number for the up to MARGIN words before it and one for those from it on, equal for equal words; at a bound between two
-    texts, the words before it are those of the first."""
-    n = len(v)
-    sums = np.append(np.uint64(0), np.cumsum(mix64(v.astype(np.uint64)) * powers(BASE, n), dtype=np.uint64))
-    back = powers(BASE_INV, n + 1)
-    k = np.arange(n + 1)
+def span_hashes(v: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What gives hashes of the words from some places to others."""
+    sums = np.append(np.uint64(0), np.cumsum(mix64(v.astype(np.uint64)) * powers(BASE, len(v)), dtype=np.uint64))
+    back = powers(BASE_INV, len(v) + 1)
+    return lambda x, y: mix64((sums[y] - sums[x]) * back[x]) + (y - x).astype(np.uint64)
+
+
+def row_hashes(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix64(out + c.astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def windows(hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of texts, and behind the last, a number for the up to MARGIN words before it and one for those from it on, equal for equal words (of equal ``span_hashes``); at
+    a bound between two texts, the words before it are those of the first."""
+    k = np.arange(bounds[-1] + 1)
     before = np.maximum(k - MARGIN, bounds[np.maximum(np.searchsorted(bounds, k, side="left") - 1, 0)])
     behind = np.minimum(k + MARGIN, bounds[np.minimum(np.searchsorted(bounds, k, side="right"), len(bounds) - 1)])
-    hashes = (mix64((sums[y] - sums[x]) * back[x]) + (y - x).astype(np.uint64) for x, y in ((before, k), (k, behind)))
-    return tuple(np.unique(h, return_inverse=True)[1] for h in hashes)
+    return tuple(np.unique(hashes(x, y), return_inverse=True)[1] for x, y in ((before, k), (k, behind)))
 
 
 def end_lengths(twos: np.ndarray, p: np.ndarray, q: np.ndarray, p_most: np.ndarray, q_most: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -522,7 +532,9 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
     twos = pairs_of(v, bounds)
     # Made when first asked for: few rows may ask for little.
     words_of, nth_of, twos_of = (cache(lambda items=items: Holders(of, items(), len(size))) for items in (lambda: v, lambda: nth_words(v, of), lambda: twos))
-    onward, backward, windows_of = runs(v, 1), runs(v, -1), cache(lambda: windows(v, bounds))
+    onward, backward = runs(v, 1), runs(v, -1)
+    hashes_of = cache(lambda: span_hashes(v))
+    windows_of = cache(lambda: windows(hashes_of(), bounds))
     w = cache(lambda k: v[bounds[k] : bounds[k + 1]].tolist())
 
     def beyond(x: int, start: int, end: int) -> np.ndarray:
@@ -583,6 +595,12 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
             fits = np.minimum(a1 - a0, b1 - b0) + left + right >= words
             # Sources that come before all of the kind: of ends over equal words, so many that they hold what all do.
             able, judged, wrong = np.flatnonzero(always & fits & ~inside(start, end)), {}, np.zeros(len(y), bool)
+            equal = None
+            if len(able) > 16:
+                # Of rows that align the same words the first is judged for all.
+                key = row_hashes(start[able], end[able], hashes_of()(bounds[y[able]] + b0[able] - left[able], bounds[y[able]] + b1[able] + right[able]))
+                _, one, like = np.unique(key, return_index=True, return_inverse=True)
+                equal, able = (able, able[one][like]), able[np.sort(one)]
             while len(able):
                 kept = able[outermost(start[able], end[able], words)].tolist()
                 for r in kept:
@@ -595,6 +613,8 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
                     break
                 wrong[[r for r in kept if judged[r] is None]] = True
                 able = able[~wrong[able]]
+            if equal:
+                wrong[equal[0]] = wrong[equal[1]]
         # Ends over changed words, and sources that come before some of the kind: one after the other.
         rest = ~fits | wrong | ~always
         rest[rest] = ~(fits & ~wrong & inside(start, end))[rest]
@@ -613,9 +633,7 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
                 before_of, after_of = windows_of()
                 held_core = np.append(np.zeros((1, len(size)), np.int16), np.cumsum(held, axis=0, dtype=np.int16), axis=0)
                 aligned = np.minimum(b1[bare] - b0[bare], held_core[a1[bare], y[bare]] - held_core[a0[bare], y[bare]])
-                key = np.zeros(len(bare), np.uint64)
-                for part in (before_of[p[bare] + 1], before_of[q[bare] + 1], after_of[u[bare]], after_of[z[bare]], (a1 - a0)[bare], (b1 - b0)[bare], aligned):
-                    key = mix64(key + part.astype(np.uint64) + np.uint64(1))
+                key = row_hashes(before_of[p[bare] + 1], before_of[q[bare] + 1], after_of[u[bare]], after_of[z[bare]], (a1 - a0)[bare], (b1 - b0)[bare], aligned)
                 _, one, like = np.unique(key, return_index=True, return_inverse=True)
                 r, aligned, core = bare[one], aligned[one], (a1 - a0)[bare[one]]
                 sides = before_of[p[r] + 1] * len(before_of) + before_of[q[r] + 1], after_of[u[r]] * len(after_of) + after_of[z[r]]
