@@ -566,7 +566,7 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
             out.append((x, k, int(i[r] * gap[x]), int(j[r] * gap[k]), int(times[r]), s - int(off[x]), e - int(off[x]), bs - int(off[k]), be - int(off[k]), aligned))
 
         # Of long strands a few ways to lie on one another first, since what they give mostly leaves nothing new to the others.
-        for every in (STRAND, 8, 1) if n[x] > 1 and n[some].sum() > 2 * len(some) else (1,):
+        for every in (STRAND, 8, 1) if n[x] > 1 and n[some].sum() > 2 * len(some) and n[some].sum() + n[x] * len(some) > 1_024 else (1,):
             # No alignment has more words than both hold, and only two equal words end a passage, beyond what is known or, at a single place, the link.
             many = n[some].sum() > 512  # of few, all are looked at sooner
             known = spans or ([(int(off[x]), int(off[x] + ahead[x]) + WORDS)] if n[x] == 1 and ahead[x] + WORDS < words else [])
@@ -653,7 +653,8 @@ def meet(t: pa.Table, words: int, similarity: float) -> list[tuple]:
                 start[bare], end[bare] = a0[bare] - reach[0][like], a1[bare] + reach[1][like]
                 rest[bare] = fit[like] & ~inside(start[bare], end[bare])
                 some_like = np.unique(like[rest[bare]])
-                tables = [by_pairs(end_table, (args[0], *(c[some_like] for c in args[1:5]), args[5]), side[some_like]) for args, side in (left_of, right_of)]
+                some_like = some_like if len(some_like) > 16 else some_like[:0]  # few are aligned sooner
+                tables = [by_pairs(end_table, (args[0], *(c[some_like] for c in args[1:5]), args[5]), side[some_like]) for args, side in (left_of, right_of) if len(some_like)]
                 for c in range(0, len(some_like), 2_048):
                     g = np.arange(c, min(c + 2_048, len(some_like)))
                     (left_t,), (right_t,) = (f(g) for f in tables)
