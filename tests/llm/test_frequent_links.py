@@ -114,3 +114,20 @@ def test_few_ways_in_which_strands_may_meet_are_looked_at(monkeypatch):
     t = strands_of_a_pair(rng, [rng.randrange(100, 130) for _ in range(60)], 10**6)
     assert {x for x, *_ in chains.meet(t, 50, 0.75)} == set(range(60))  # the first repeats itself
     assert sum(looked) < 60 * 60 * 20  # all ways are about 200 for each two
+
+
+def test_ends_that_cannot_be_aligned_are_ruled_out_together():
+    rng, rows = random.Random(9), []
+    for _ in range(400):
+        kinds = rng.choice((2, 3, 6, 20))
+        a, b = ([rng.randrange(kinds) for _ in range(rng.randrange(20, 140))] for _ in range(2))
+        a0, b0 = rng.randrange(len(a) - 8), rng.randrange(len(b) - 8)
+        b[b0 : b0 + 5] = a[a0 : a0 + 5]
+        rows.append((a, b, a0, b0, chains.align_ends(a, b, a0, a0 + 5, b0, b0 + 5, 50, 0.75) is not None))
+    v = np.array([w for a, b, *_ in rows for w in a + b], np.int32)
+    at = np.cumsum([0] + [len(a) + len(b) for a, b, *_ in rows])[:-1]
+    n_a, n_b, a0, b0 = (np.array(c) for c in zip(*((len(a), len(b), x, y) for a, b, x, y, _ in rows), strict=True))
+    p, q = at + a0, at + n_a + b0
+    left, right = chains.end_table(v, p - 1, q - 1, a0, b0, -1)[0].T, chains.end_table(v, p + 5, q + 5, n_a - a0 - 5, n_b - b0 - 5, 1)[0].T
+    can, found = chains.alignable(left, right, np.full(len(rows), 5), np.full(len(rows), 5), 50, 0.75), np.array([r[-1] for r in rows])
+    assert can[found].all() and found.sum() > 20 and can.sum() < 2 * found.sum()
